@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, nbest, prefix_tokens, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +17,32 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.encode(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op6_exact_dedup": op6_exact_dedup}
+    return {
+        "op1_source_mix": op1_source_mix,
+        "op5_simhash_groups": op5_simhash_groups,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op9_prefix_token_counts": op9_prefix_token_counts,
+        "op10_nbest_pieces": op10_nbest_pieces,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,77 +18,99 @@ from pyspark.sql import functions as F
 from .pieces import SPACE, PieceModel, model_path, open_model, units
 
 LIMIT = 4096
-MOST_CACHED = 300_000
+MOST_CACHED = 500_000
+LONG_UNIT = 64
 
 
 class PrefixCounter:
-    """Counts for the units of one model; what has been seen lately is kept, bounded."""
+    """Counts for the units of one model, by number of the last token; what has been seen lately is kept, bounded.
+
+    Tokens are numbered by id, signs outside the vocabulary by -1 - code point. ``table`` is the table of the
+    dynamic programme: prefix of a unit to (count, last token). Units share it, so a new one costs only the
+    prefixes that no unit had before it.
+    """
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.counts: dict[str, list[int]] = {"": [0]}
-        self.totals: dict[str, int] = {}
-        self.stays: dict[tuple[str, str], bool] = {}
-
-    def token_ids(self, piece: str) -> list[int]:
-        found = self.model.ids.get(piece)
-        return self.model.bytes_of(piece) if found is None else [found]
-
-    def two(self, left: str, right: str) -> bool:
-        """Whether the pieces stay two tokens side by side. The line feed before them keeps the model's own space away."""
-        key = (left, right)
+        encode = model.processor.encode
+        # merges don't reach every piece; a line feed keeps the model's own space away
+        self.tokens = {p: i for p, i in model.ids.items() if encode("\n" + p.replace(SPACE, " "))[2:] == [i]}
+        self.piece = {i: p for p, i in model.ids.items()}
+        self.table: dict[str, tuple[int, int]] = {}
+        self.stays: dict[int, bool] = {}
+
+    def size(self, token: int) -> int:
+        return 1 if token >= 0 else len(chr(-1 - token).encode())
+
+    def two(self, left: int, right: int) -> bool:
+        """Whether the tokens stay two side by side."""
+        key = (left << 21) + right
         known = self.stays.get(key)
         if known is None:
             if len(self.stays) > MOST_CACHED:
                 self.stays.clear()
-            encoded = self.model.processor.encode("\n" + (left + right).replace(SPACE, " "))
-            known = self.stays[key] = encoded[2:] == self.token_ids(left) + self.token_ids(right)
+            both = "".join(self.piece[t] if t >= 0 else chr(-1 - t) for t in (left, right))
+            ids = [i for t in (left, right) for i in ([t] if t >= 0 else self.model.bytes_of(chr(-1 - t)))]
+            known = self.stays[key] = self.model.processor.encode("\n" + both.replace(SPACE, " "))[2:] == ids
+        return known
+
+    def last(self, prefix: str) -> tuple[int, int]:
+        """(token count, last token) of a unit's prefix, from its shorter prefixes; only those needed are worked out."""
+        known = self.table.get(prefix)
+        if known is not None:
+            return known
+        tokens, end = self.tokens, len(prefix)
+        for begin in range(max(0, end - self.model.longest), end):
+            token = tokens.get(prefix[begin:])
+            if token is not None:
+                if not begin:
+                    known = (1, token)
+                    break
+                count, before = self.last(prefix[:begin])
+                if self.two(before, token):
+                    known = (count + 1, token)
+                    break
+        else:
+            token = -1 - ord(prefix[-1])
+            known = ((self.last(prefix[:-1])[0] if end > 1 else 0) + self.size(token), token)
+        self.table[prefix] = known
         return known
 
     def unit_counts(self, unit: str) -> list[int]:
-        """Token counts of unit[:0], unit[:1], ..., unit."""
-        ids, longest, two = self.model.ids, self.model.longest, self.two
-        count, last = [0], [""]
+        """Token counts of unit[:1], unit[:2], ..., unit, from left to right."""
+        tokens, longest, two = self.tokens, self.model.longest, self.two
+        count, last = [0], [0]
         for end in range(1, len(unit) + 1):
             for begin in range(max(0, end - longest), end):
-                piece = unit[begin:end]
-                if piece in ids and (not begin or two(last[begin], piece)) and self.whole(piece):
-                    count.append(count[begin] + 1)
-                    last.append(piece)
+                token = tokens.get(unit[begin:end])
+                if token is not None and (not begin or two(last[begin], token)):
                     break
             else:
-                sign = unit[end - 1]
-                count.append(count[end - 1] + len(sign.encode()))
-                last.append(sign)
-        return count
-
-    def whole(self, piece: str) -> bool:
-        """Whether the piece, alone, is one token; merges don't reach every piece of a vocabulary."""
-        return len(piece) == 1 or self.two(piece, "")
+                begin, token = end - 1, -1 - ord(unit[end - 1])
+            count.append(count[begin] + self.size(token))
+            last.append(token)
+        return count[1:]
 
     def total(self, unit: str) -> int:
-        known = self.totals.get(unit)
-        if known is None:
-            if len(self.totals) > MOST_CACHED:
-                self.totals.clear()
-            known = self.totals[unit] = self.unit_counts(unit)[-1]
-        return known
+        if len(unit) > LONG_UNIT:  # text without spaces: a table of its own, no recursion
+            return self.unit_counts(unit)[-1]
+        if len(self.table) > MOST_CACHED:
+            self.table.clear()
+        return self.last(unit)[0]
 
     def count(self, text: str) -> int:
-        """Tokens of the whole text: the last prefix count, summed over units without storing the others."""
-        return sum(map(self.total, units(text)))
+        """Tokens of the whole text: the count at its last prefix."""
+        known, total = self.table, self.total
+        return sum([known[u][0] if u in known else total(u) for u in units(text)])
 
     def prefixes(self, text: str) -> np.ndarray:
         """Token counts of text[:0], text[:1], ..., text."""
-        out, done = [0], 0
+        out, done = [], 0
         for unit in units(text):
             counts = self.unit_counts(unit)
-            out.extend([done + c for c in counts[1:]])
+            out.extend([done + c for c in counts])
             done += counts[-1]
-        if len(out) > 1:
-            del out[1]  # the space that the model puts before a text isn't a sign of it
-            out[0] = 0
-        return np.array(out, np.int64)
+        return np.array([0, *out[1:]], np.int64)  # the space that the model puts before a text isn't a sign of it
 
 
 def cut_at(counts: np.ndarray, limit: int) -> int:

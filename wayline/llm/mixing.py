@@ -23,9 +23,9 @@ SLOT_CHUNK = 1024
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, source, size: a narrow table, so that no text is moved later. Null texts have size 0."""
+    """rid, doc_id, text_hash, source, size: a narrow table, so that no text is moved later. Null texts have size 0."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", size.alias("size"))
+    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("text_hash"), "source", size.alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3) -> DataFrame:
@@ -95,7 +95,7 @@ def lines(sized: DataFrame, buckets: int) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, slots_aimed: int = 1 << 18, block_most: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces): per document its share of the mix, and the mix itself as (slot, rid, words).
 
-    documents: rid, doc_id, size, source, source_size, target, taken. A piece is the part of a document in
+    documents: rid, doc_id, text_hash, size, source, source_size, target, taken. A piece is the part of a document in
     one slot's block, so the pieces in slot order are the mixed stream. A source's taken words differ from
     its target by a few blocks; a block is 1/``slots_aimed`` of all words, at most ``block_most`` words.
 
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     slots = -(-facts["words"] // block)
     buckets = max(64, min(1 << 20, sized.count() // 256))
     small = F.broadcast(table) if facts["sources"] <= MAX_BROADCAST_SOURCES else table
-    known = sized.join(small, sized["source"].eqNullSafe(table["source"])).select("rid", "doc_id", "size", sized["source"], "sidx", "source_size", "target")
+    known = sized.join(small, sized["source"].eqNullSafe(table["source"])).select("rid", "doc_id", "text_hash", "size", sized["source"], "sidx", "source_size", "target")
     placed = lines(known.select("rid", "doc_id", "size", "sidx").where("size > 0"), buckets)
     first, last = F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)
     parts = placed.select("rid", "sidx", "start", "stop", F.explode(F.sequence(first, last)).alias("block"))
@@ -120,5 +120,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     turns = turns.where(F.col("nth") < F.col("blocks") * epochs).select("slot", "sidx", (F.col("nth") % F.col("blocks")).alias("block"))
     pieces = turns.join(parts, ["sidx", "block"]).select("slot", "rid", "words")
     taken = pieces.groupBy("rid").agg(F.sum("words").alias("taken"))
-    out = known.join(taken, "rid", "left").select("rid", "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = known.join(taken, "rid", "left").select("rid", "doc_id", "text_hash", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out, pieces
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them: every document as often as its words are taken, to the nearest whole time.
+
+    A line is taken from its start, so all but a document or two of a source are taken whole times. Documents
+    that the mix doesn't take go. Rows repeated with the same doc_id, source and text share what they have.
+    """
+    mixed, _ = mix(docs, **options)
+    taken = mixed.where("taken > 0").groupBy("doc_id", "text_hash")
+    times = taken.agg(F.round(F.sum(F.col("taken") / F.col("size")) / F.count("*")).cast("int").alias("\x00times"))
+    times = cut(times.where(F.col("\x00times") > 0).select(F.col("doc_id").alias("\x00id"), F.col("text_hash").alias("\x00hash"), "\x00times"), "times")
+    met = docs.join(times, docs["doc_id"].eqNullSafe(times["\x00id"]) & (F.xxhash64(docs["text"]) == times["\x00hash"]))
+    return met.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("\x00times"))).alias("\x00turn")).drop("\x00turn")

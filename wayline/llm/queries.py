@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, nbest, prefix_tokens, quality, simhash, toxicity
+import corpus_pipeline
+
+from . import exact_dedup, html_extract, langid, minhash, mixing, nbest, prefix_tokens, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_block_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -37,6 +43,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -53,13 +63,16 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_source_mix": op1_source_mix,
+        "op2_block_labels": op2_block_labels,
         "op3_ppm_language": op3_ppm_language,
         "op4_pairwise_quality": op4_pairwise_quality,
         "op5_simhash_groups": op5_simhash_groups,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_minhash_fingerprints": op7_minhash_fingerprints,
         "op8_subword_toxicity": op8_subword_toxicity,
         "op9_prefix_token_counts": op9_prefix_token_counts,
         "op10_nbest_pieces": op10_nbest_pieces,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -1 +1 @@
-
+"""The registered queries: each beside its SQL."""

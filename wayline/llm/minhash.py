@@ -2,8 +2,9 @@
 
 Each word shingle is hashed once; the top bits choose a bin and a bin keeps its smallest hash. Empty bins
 borrow from a full one by optimal densification: bin i walks its own fixed random sequence of bins to the
-first full one, the same in every document. Only the low bits of each bin are stored, packed. Two bins of
-unlike documents agree in b low bits with chance 2**-b, which the estimate corrects for.
+first full one, the same in every document. A bin's hash is mixed with the bin's number and only a few bits of
+that are stored, packed. Two bins of unlike documents agree in b bits with chance 2**-b, which the estimate
+corrects for; the mixing makes those chances independent where one hash fills many bins of a short text.
 """
 
 from __future__ import annotations
@@ -36,6 +37,14 @@ def walks(bins: int) -> np.ndarray:
     return rng.integers(0, bins, (256, bins))
 
 
+def mixed(kept: np.ndarray) -> np.ndarray:
+    """Each bin's hash hashed again with the bin's number: a hash that fills several bins leaves other bits in each."""
+    with np.errstate(over="ignore"):
+        z = kept + np.arange(len(kept), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def fingerprint(text: str, width: int = WIDTH, bins: int = BINS, bits: int = BITS) -> bytes:
     """The packed low bits of the densified bins; no bytes for a text without words."""
     digests = shingle_digests(text.encode().split(), width)
@@ -57,7 +66,7 @@ def fingerprint(text: str, width: int = WIDTH, bins: int = BINS, bits: int = BIT
         kept[empty[hit]] = kept[to[hit]]
         empty = empty[~hit]
     kept[empty] = hashes[0]  # after 256 misses
-    low = (kept & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    low = (mixed(kept) >> np.uint64(64 - bits)).astype(np.uint8)
     return np.packbits((low[:, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint8)) & 1).tobytes()
 
 

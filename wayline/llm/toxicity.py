@@ -30,7 +30,8 @@ WINDOW, STRIDE = 24, 12
 FULL = 24  # words of a bag, neutral ones included, at least
 EPOCHS = 6
 LEAST_SEEN = 12  # times that a subword must occur to have a vector; what is rarer would be learned by heart
-BAGS_EACH = 6  # windows of a text to train on
+BAGS_EACH = 60  # windows of a text to train on, at most
+MOST_BAGS = 24_000  # windows of either label to train on, about
 THRESHOLD = 0.7
 MOST_CACHED = 200_000
 WORDS = re.compile(r"\w+")
@@ -63,21 +64,24 @@ class SubwordSoftmax:
         texts = [WORDS.findall(t.lower()) for t, _ in sample]
         train = np.flatnonzero(~calibrates)
 
-        def random_bags(words: list[str]) -> list[list[str]]:
-            starts = rng.choice(max(1, len(words) - STRIDE), min(BAGS_EACH, 1 + len(words) // WINDOW), replace=False)
+        of_label = np.bincount(labels[train], minlength=2)
+        each = np.clip(MOST_BAGS // np.maximum(1, of_label), 4, BAGS_EACH)
+
+        def random_bags(words: list[str], label: int) -> list[list[str]]:
+            starts = rng.choice(max(1, len(words) - STRIDE), min(each[label], 1 + len(words) // WINDOW), replace=False)
             return [words[k : k + WINDOW] for k in starts]
 
-        bags = [(bag, labels[k]) for k in train for bag in random_bags(texts[k])]
+        bags = [(bag, labels[k]) for k in train for bag in random_bags(texts[k], labels[k])]
         made = cls.trained(bags, rng, epochs // 2)
         bags = []
         for k in train:
             if labels[k] == 1:
                 logits = made.window_logits(texts[k])
-                worst = np.argsort(-logits, kind="stable")[:BAGS_EACH]
+                worst = np.argsort(-logits, kind="stable")[: each[1]]
                 worst = [w for w in worst if logits[w] > 0] or worst[:1]
                 bags += [(texts[k][w * STRIDE : w * STRIDE + WINDOW], 1) for w in worst]
             else:
-                bags += [(bag, 0) for bag in random_bags(texts[k])]
+                bags += [(bag, 0) for bag in random_bags(texts[k], labels[k])]
         made = cls.trained(bags, rng, epochs)
         logit = np.array([made.logit(sample[k][0]) for k in np.flatnonzero(calibrates)])
         made.scale = calibrated(logit, labels[calibrates])

@@ -24,6 +24,7 @@ PER_LABEL = 2_000  # labelled documents of either label to fit on
 PAIRS = 60_000
 THRESHOLD = 0.3
 FLAT = 1e-9
+FEATURES = 18
 MARKS = re.compile(r"[^\w\s.,;:'\"()?!\-]")
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -33,7 +34,7 @@ def features(text: str | None) -> list[float]:
     words = (text or "").split()
     n = len(words)
     if not n:
-        return [1.0] + [0.0] * 17
+        return [1.0] + [0.0] * (FEATURES - 1)
     chars = sum(map(len, words))
     letters = len("".join(LETTERS.findall(text)))
     code = np.frombuffer(text.encode("utf-32-le"), "<u4")
@@ -82,12 +83,12 @@ class Ranker:
     @classmethod
     def fit(cls, sample: list[tuple[str, int]], seed: int = 7, pairs: int = PAIRS, steps: int = 300) -> Ranker:
         """Learn from preference pairs (a document of label 1 over one of label 0) of a labelled sample."""
-        x = np.array([features(t) for t, _ in sample]).reshape(len(sample), -1)
+        x = np.array([features(t) for t, _ in sample]).reshape(len(sample), FEATURES)
         y = np.array([k for _, k in sample], int)
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         if not len(good) or not len(bad):  # nothing to prefer: every text gets the prior
             width = len(features(""))
-            return cls(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0)
+            return cls(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 1.0)
         mean, scale = x.mean(0), x.std(0) + FLAT
         z = cls.wide((x - mean) / scale)
         rng = np.random.default_rng(seed)
@@ -115,7 +116,7 @@ class Ranker:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """0 to 1; THRESHOLD where the ranking's score is at the learned quantile."""
-        z = (np.array([features(t) for t in texts]).reshape(len(texts), -1) - self.mean) / self.scale
+        z = (np.array([features(t) for t in texts]).reshape(len(texts), FEATURES) - self.mean) / self.scale
         weight = self.weight if len(self.weight) == 2 * z.shape[1] else np.zeros(2 * z.shape[1])
         s = (self.wide(z) @ weight - self.cut) * self.slope + math.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(s, -50, 50)))

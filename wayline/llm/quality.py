@@ -87,7 +87,6 @@ class Ranker:
         y = np.array([k for _, k in sample], int)
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         if not len(good) or not len(bad):  # nothing to prefer: every text gets the prior
-            width = len(features(""))
             return cls(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 1.0)
         mean, scale = x.mean(0), x.std(0) + FLAT
         z = cls.wide((x - mean) / scale)

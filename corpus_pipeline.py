@@ -26,7 +26,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-equal fingerprints."""
+    """One document of each component of texts whose five-word shingles are 0.8 or more alike."""
     return simhash.drop_near(docs)
 
 

@@ -62,3 +62,14 @@ def test_like_sized_pairs_are_all_pairs(spark, most):
     got = simhash.like_sized_pairs(spark.createDataFrame(rows, "key long, fp long, size long"), 9, 0.8, most).collect()
     wanted = {(a, b) for a, f, s in rows for b, g, t in rows if a < b and min(s, t) > 0 and 5 * min(s, t) >= 4 * max(s, t) and (f ^ g).bit_count() <= 9}
     assert len(got) == len(wanted) and {(r["a"], r["b"]) for r in got} == wanted
+
+
+def test_null_and_repeated_ids_lose_no_unrelated_text(spark):
+    rng = np.random.default_rng(9)
+    a, b, c, d, e = (" ".join(f"w{x}" for x in rng.integers(0, 5000, 60)) for _ in range(5))
+    given = [(None, a), (None, b), (None, c + " more"), (None, c), (None, a), (3, c), (5, d), (5, e), (5, e), (8, d + " end"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near(docs).collect()]
+    empty = [row for row in kept if not row[1]]
+    assert len(empty) == 1 and empty[0][0] is None
+    assert sorted(map(repr, (row for row in kept if row[1]))) == sorted(map(repr, [(None, a), (None, b), (3, c), (5, d), (5, e)]))

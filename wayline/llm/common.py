@@ -6,12 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+MOST_LABELS = 250  # more don't fit the driver's sample
 _own_dir: list[str] = []
 
 
@@ -43,23 +44,21 @@ def label_sample(df: DataFrame, label: str, per_label: int, max_chars: int = 20_
     """A bounded sample of labelled rows for fitting: about ``per_label`` rows (text, label) of each label value.
 
     Rows are taken in the order of a hash of doc_id, so a rerun takes the same ones. Texts of over
-    ``max_chars`` characters are not used for fitting. At most ``per_label`` rows times the number of
-    labels (100 labels at most) reach the driver, so at most per_label * labels * max_chars characters.
+    ``max_chars`` characters are not used for fitting. Every label is sampled by itself, however many there are;
+    at most per_label * labels * max_chars characters reach the driver, and over MOST_LABELS labels are an error.
     """
     usable = df.select("doc_id", "text", F.col(label).alias("label")).where(
         F.col("label").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars)
     )
-    counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(100).collect()}
+    counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} different values of {label}")
     if not counts:
         return []
     wide = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 1.2 * per_label / n) * wide))])
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(wide))
-    picked = usable.where(F.element_at(share, F.col("label")) >= place)
-    parts = [
-        picked.where(F.col("label") == F.lit(k)).withColumn("place", place).orderBy("place", "doc_id", "text").limit(per_label)
-        for k in sorted(counts)
-    ]
-    if len(parts) > 4:  # many labels: one pass, bounded as a whole
-        parts = [picked.withColumn("place", place).orderBy("place", "doc_id", "text").limit(per_label * len(counts))]
-    return [(r["text"], r["label"]) for r in reduce(DataFrame.unionAll, parts).orderBy("place", "doc_id", "text").collect()]
+    picked = usable.where(F.element_at(share, F.col("label")) >= place).withColumn("place", place)
+    turn = F.row_number().over(W.partitionBy("label").orderBy("place", "doc_id", "text"))
+    rows = picked.withColumn("turn", turn).where(F.col("turn") <= per_label).orderBy("place", "doc_id", "text")
+    return [(r["text"], r["label"]) for r in rows.select("text", "label").collect()]

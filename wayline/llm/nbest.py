@@ -8,6 +8,9 @@ order of their score and never expands a path that doesn't lead to one of the N
 Every start of a word is a node that all paths pass, so the lattice is a chain of short unit lattices. The
 forward pass runs once per different unit, over the edges that a multi-pattern automaton finds. The search over the chain expands a unit only if its second-best
 segmentation loses less than all but N - 1 others.
+
+The model is of the BPE kind: its scores are minus merge ranks, so their largest sum prefers early, short pieces and
+is not the model's encoding. The ids are therefore the model's own merge result; the lattice ranks the alternatives.
 """
 
 from __future__ import annotations
@@ -40,6 +43,9 @@ class Lattice:
         self.edges = {piece: (i, score[i]) for piece, i in model.ids.items()}
         self.unknown = min(score.values()) - UNKNOWN_PENALTY
         self.signs = {piece for piece in self.edges if len(piece) == 1}
+        self.points = np.zeros(model.processor.get_piece_size(), np.int64)  # of each id; a sign's bytes count once, at its first
+        self.points[list(score)] = list(score.values())
+        self.points[[i for byte, i in model.byte_ids.items() if not 0x80 <= byte < 0xC0]] = self.unknown
         self.known: dict[str, tuple[int, list[int], int]] = {}
         self.found: dict[tuple[str, int], list] = {}
         self.automaton = ahocorasick.Automaton()
@@ -143,6 +149,18 @@ class Lattice:
         return list(chain.from_iterable(by_unit)), found, by_unit
 
 
+def ranked(lattice: Lattice, text: str, n: int = N_BEST) -> tuple[list[int], list[tuple[int, int]]]:
+    """The model's merge result, and (score, number of ids) of it and of the n - 1 best other segmentations, best first."""
+    ids = lattice.model.processor.encode(text)
+    best, found, by_unit = lattice.encode(text, n)
+    out = [(int(lattice.points[ids].sum()), len(ids))]
+    for score, other in found:
+        length = len(best) + sum(len(v) - len(by_unit[k]) for k, v in other.items())
+        if len(out) < n and not (length == len(ids) and score == out[0][0] and expand(by_unit, other) == ids):
+            out.append((score, length))
+    return ids, out
+
+
 def decode(model: PieceModel, ids: list[int]) -> str:
     """The text of token ids: pieces and bytes joined, spaces restored, the model's own space taken off."""
     return model.processor.decode(ids)
@@ -155,8 +173,9 @@ def expand(by_unit: list[list[int]], other: dict[int, list[int]]) -> list[int]:
 def encode(docs: DataFrame, n: int = N_BEST, path: str | None = None) -> DataFrame:
     """doc_id, n_chars, ids, n_tokens, score, nbest_scores, nbest_tokens, decoded_sha256, exact.
 
-    ids are the best segmentation's; nbest_scores and nbest_tokens list the scores and lengths of the ``n``
-    best, best first (fewer where the lattice has fewer). decoded_sha256 is of the text that the ids decode
+    ids are the model's own encoding; score is its sum of piece scores. nbest_scores and nbest_tokens list scores
+    and lengths: first those of ids, then of the ``n`` - 1 best other segmentations by the lattice, best first (fewer
+    where the lattice has fewer). As scores are merge ranks, others can have larger ones than ids. decoded_sha256 is of the text that the ids decode
     to, exact says whether it is the document's text: it is, unless the text holds U+2581 itself, which the
     model reads as a space. One row per row of ``docs``; a null or empty text has no ids, score 0 and one
     empty segmentation. Repeated rows and null ids keep their rows.
@@ -167,10 +186,9 @@ def encode(docs: DataFrame, n: int = N_BEST, path: str | None = None) -> DataFra
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("score", pa.int64()), ("nbest_scores", pa.list_(pa.int64())), ("nbest_tokens", pa.list_(pa.int64())), ("decoded_sha256", pa.string()), ("exact", pa.bool_())])
 
     def row(lattice: Lattice, text: str) -> tuple:
-        ids, found, by_unit = lattice.encode(text, n)
-        lengths = [len(ids) + sum(len(v) - len(by_unit[k]) for k, v in other.items()) for _, other in found]
+        ids, found = ranked(lattice, text, n)
         back = decode(lattice.model, ids)
-        return len(text), ids, len(ids), found[0][0], [s for s, _ in found], lengths, hashlib.sha256(back.encode()).hexdigest(), back == text
+        return len(text), ids, len(ids), found[0][0], [s for s, _ in found], [k for _, k in found], hashlib.sha256(back.encode()).hexdigest(), back == text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(open_model(path))

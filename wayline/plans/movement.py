@@ -72,10 +72,19 @@ def point_in_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_("edges", "boxes", body="""SELECT devid, fid FROM edges JOIN boxes ON devid < 20 AND ((lon1 BETWEEN min_lon AND max_lon AND lat1 BETWEEN min_lat AND max_lat) OR (lon2 BETWEEN min_lon AND max_lon AND lat2 BETWEEN min_lat AND max_lat))"""))
 def line_in_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """Edges with a vertex in the bounds of the first twenty users (the query's views)."""
+    """Edges with a vertex in the bounds of the first twenty users, as its SQL has it; line_in_bounds_all has all."""
+    return lines_in_bounds(spark, d, points_of(spark, d).where("devid < 20"))
+
+
+@query()
+def line_in_bounds_all(spark: SparkSession, d: str) -> DataFrame:
+    """Edges with a vertex in the bounds of every trajectory (the views)."""
+    return lines_in_bounds(spark, d, points_of(spark, d))
+
+
+def lines_in_bounds(spark: SparkSession, d: str, points: DataFrame) -> DataFrame:
     corners = edges_of(spark, d).select("fid", F.explode("geometry").alias("p")).select(F.col("fid").alias("id"), "p.lon", "p.lat")
-    views = trajectories.bounds(points_of(spark, d).where("devid < 20"))
-    return near.spots_in_view(views, corners).distinct().withColumnRenamed("id", "fid")
+    return near.spots_in_view(trajectories.bounds(points), corners).distinct().withColumnRenamed("id", "fid")
 
 
 @query("SELECT c_custkey, NOT (c_custkey % 180 BETWEEN 72.004 AND 137.8347 AND c_custkey % 90 BETWEEN 0.8293 AND 55.8271) AS away FROM customer")

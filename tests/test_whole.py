@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from wayline.plans import movement, segments  # noqa: F401
+from wayline.operators import stats
+from wayline.plans import movement, segments
 from wayline.registry import QUERIES
 
 DIR = "/root/testdata/sf0.01"
@@ -21,3 +22,20 @@ def test_lines_in_the_bounds_of_all_trajectories(spark):
     got = [(r["devid"], r["fid"]) for r in QUERIES["line_in_bounds_all"](spark, DIR).collect()]
     assert len(got) == len(wanted) and set(got) == wanted
     assert max(k for k, _ in got) >= 20
+
+
+def test_adaptive_speed_at_every_point(spark):
+    points = movement.points_of(spark, DIR)
+    seen = {}
+    for o in stats.road_speeds(points).where("speed is not null").collect():
+        seen.setdefault(o["road_id"], []).append((o["t"], o["speed"]))
+    asked = [(p["devid"], p["road_id"], p["t"]) for p in points.collect()]
+    wanted = {}
+    for ask in asked:
+        there = seen.get(ask[1], [])
+        near = [[v for t, v in there if abs(t - ask[2]) <= w] for w in segments._WINDOWS]
+        used = next((v for v in near if len(v) >= segments._LEAST), [v for _, v in there])
+        wanted[ask] = sum(used) / len(used) if used else None
+    got = QUERIES["adaptive_avg_speed_all"](spark, DIR).collect()
+    assert sorted((r["ask_id"], r["road_id"], r["moment"]) for r in got) == sorted(asked)
+    assert all(r["speed"] == pytest.approx(wanted[r["ask_id"], r["road_id"], r["moment"]], abs=2e-6) for r in got)

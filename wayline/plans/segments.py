@@ -146,9 +146,21 @@ _CHOICE = " ".join(f"WHEN n{w} >= {_LEAST} THEN s{w} / n{w}" for w in _WINDOWS)
     near=f"SELECT a.ask_id, a.road_id, a.moment, {_BAND}, sum(o.speed) AS s, count(o.speed) AS n FROM asked a LEFT JOIN seen o USING (road_id) GROUP BY a.ask_id, a.road_id, a.moment",
     body=f"SELECT ask_id, road_id, moment, round(CASE {_CHOICE} WHEN n > 0 THEN s / n END, 6) AS speed FROM near"))
 def adaptive_avg_speed(spark: SparkSession, d: str) -> DataFrame:
-    """Speeds asked at every tenth point; the windows are hours, as events are sparse (2 to 10 s is the operator's default)."""
+    """Speeds asked at every tenth point, as its SQL has it; adaptive_avg_speed_all asks at every point."""
     points = points_of(spark, d)
-    asked = points.where("seq % 10 = 0").select(F.col("devid").alias("ask_id"), "road_id", F.col("t").alias("moment"))
+    return asked_speeds(points, points.where("seq % 10 = 0"))
+
+
+@query()
+def adaptive_avg_speed_all(spark: SparkSession, d: str) -> DataFrame:
+    """Speeds asked at every point."""
+    points = points_of(spark, d)
+    return asked_speeds(points, points)
+
+
+def asked_speeds(points: DataFrame, at: DataFrame) -> DataFrame:
+    """The windows are hours, as events are sparse (2 to 10 s is the operator's default)."""
+    asked = at.select(F.col("devid").alias("ask_id"), "road_id", F.col("t").alias("moment"))
     found = stats.adaptive_average(stats.road_speeds(points), asked, _LEAST, _WINDOWS)
     return found.select("ask_id", "road_id", "moment", r("speed", 6))
 

@@ -1,37 +1,117 @@
-"""op10's ids are the library's encoding, its alternatives the lattice's best others."""
+"""op10's ids are the library's encoding, its N best are the lattice's best by full enumeration; op9's counts are the
+library's at every prefix, and budget questions are answered from the stored counts."""
 
+import random
+
+import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
+
+from wayline.llm import nbest, prefix_tokens
+from wayline.llm.pieces import model_path, open_model
+
+TEXTS = [
+    "The river runs past the old mill and the people walk along it.", "the old mill", "né 𝄞 🙂", "  two  spaces ", "a", "", "tab\there\n\nline", "aaaaaaaaaaaaaaa", "▁▁ <s>x</s> 1234567",
+    "a\x00b\x7f", "中文 и русский", "!!!... --- ((()))", "don't.stop/it_now",
+]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=model_path())
 
-from wayline.llm import nbest
-from wayline.llm.pieces import model_path, open_model, units
 
-TEXTS = ["The river runs past the old mill and the people walk along it.", "the old mill", "né 𝄞 🙂", "  two  spaces ", "a", "", "tab\there", "aaaaaaaaaaaaaaa"]
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(k, t, 7) for k, t in enumerate([*TEXTS, None])], "doc_id long, text string, ids int")
 
 
-def test_ids_are_the_library_encoding(spark):
-    library = sentencepiece.SentencePieceProcessor(model_file=model_path())
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+def test_ids_are_the_library_encoding(docs, library):
     got = {r["doc_id"]: r for r in nbest.encode(docs).collect()}
     for k, text in enumerate(TEXTS):
-        assert got[k]["ids"] == library.encode(text) and got[k]["n_tokens"] == len(library.encode(text)) and got[k]["exact"]
-        assert got[k]["nbest_scores"][0] == got[k]["score"] and got[k]["nbest_tokens"][0] == got[k]["n_tokens"]
+        assert got[k]["ids"] == library.encode(text) and got[k]["n_tokens"] == len(library.encode(text))
+        assert got[k]["exact"] == ("▁" not in text)
+        assert [len(p["ids"]) for p in got[k]["nbest"]] == [p["n_tokens"] for p in got[k]["nbest"]]
+        assert [nbest.decode(open_model(model_path()), p["ids"]) for p in got[k]["nbest"]] == [text.replace("▁", " ")] * len(got[k]["nbest"])
+    assert got[len(TEXTS)]["ids"] == [] and [p["ids"] for p in got[len(TEXTS)]["nbest"]] == [[]]
 
 
 def every_path(lattice, unit):
+    """(cost, ids) of every segmentation of a unit, by recursion over the vocabulary."""
     if not unit:
         return [(0, [])]
-    starts = [(unit[:n], lattice.edges[unit[:n]][1]) for n in range(1, len(unit) + 1) if unit[:n] in lattice.edges] or [(unit[0], lattice.unknown)]
-    return [(points + s, [*lattice.token_ids(p), *ids]) for p, points in starts for s, ids in every_path(lattice, unit[len(p) :])]
+    starts = [(unit[:n], lattice.cost_of[unit[:n]]) for n in range(1, len(unit) + 1) if unit[:n] in lattice.cost_of]
+    if not starts:
+        own = lattice.model.bytes_of(unit[0])
+        return [(s, [*own, *ids]) for s, ids in every_path(lattice, unit[1:])]
+    return [(cost + s, [i, *ids]) for p, (i, cost) in starts for s, ids in every_path(lattice, unit[len(p) :])]
 
 
-@pytest.mark.parametrize("text", ["", "a", "mill", "the old", "né 𝄞", "a b c"])
-def test_others_are_the_best_of_the_rest(text):
+@pytest.mark.parametrize("text", ["", "a", "mill", "the old", "né 𝄞", "a b c", "  x", "ab.\ncd"])
+@pytest.mark.parametrize("n", [1, 4, 9])
+def test_n_best_are_the_best_of_all(text, n):
     lattice = nbest.Lattice(open_model(model_path()))
-    ids, found = nbest.ranked(lattice, text, 4)
+    numbers = lattice.numbers([text])[0]
     whole = [(0, [])]
-    for unit in units(text):
+    for unit in lattice.model.units(text):
         whole = [(s + t, a + b) for s, a in whole for t, b in every_path(lattice, unit)]
-    assert (found[0][0], ids) in whole
-    rest = sorted((s for s, other in whole if other != ids), reverse=True)
-    assert [s for s, _ in found[1:]] == rest[:3]
+    cost_of = {tuple(ids): cost for cost, ids in whole}
+    found = [tuple(p.tolist()) for p in lattice.paths(numbers, n)]
+    assert len(set(found)) == len(found) == min(n, len(whole))
+    assert [cost_of[p] for p in found] == sorted(cost for cost, _ in whole)[:n]
+
+
+def test_decoding_is_the_library_s(library):
+    model, r = open_model(model_path()), random.Random(1)
+    bytes_ = list(model.byte_ids.values())
+    for _ in range(2000):
+        ids = [r.choice([*bytes_, *range(3, 40), *[r.randrange(259, 32000) for _ in range(200)]]) for _ in range(r.randint(0, 12))]
+        assert nbest.decode(model, ids) == library.decode(ids)
+    for _ in range(2000):  # a byte of a sign is missing
+        ids = library.encode("".join(r.choice("ab é𝄞中\n\x00 ▁") for _ in range(9)))
+        del ids[r.randrange(len(ids))]
+        assert nbest.decode(model, ids) == library.decode(ids)
+
+
+def test_counts_at_every_prefix(docs, library):
+    got = {r["doc_id"]: r for r in prefix_tokens.token_counts(docs, limit=5).collect()}
+    for k, text in enumerate(TEXTS):
+        counts = prefix_tokens.unpacked(got[k]["prefix_counts"]).tolist()
+        assert counts == [len(library.encode(text[:n])) for n in range(len(text) + 1)]
+        assert got[k]["n_tokens"] == counts[-1] and got[k]["over_limit"] == (counts[-1] > 5)
+        assert got[k]["fit_chars"] == max(n for n, c in enumerate(counts) if c <= 5)
+
+
+def test_cuts_come_from_the_store(spark, docs):
+    counted = prefix_tokens.token_counts(docs).withColumn("begin", F.lit(4))
+    stores = {r["doc_id"]: prefix_tokens.unpacked(r["prefix_counts"]) for r in counted.collect()}
+    for r in prefix_tokens.cuts(counted, 3, "begin").collect():
+        counts = stores[r["doc_id"]]
+        begin = min(4, len(counts) - 1)
+        assert (r["start"], r["stop"]) == (begin, max(n for n in range(begin, len(counts)) if counts[n] - counts[begin] <= 3))
+
+
+def test_store_of_wide_steps():
+    for counts in ([0], [0, 3, 2], [0, 500, 1], [0, 10**6, 0, 5]):
+        assert prefix_tokens.unpacked(prefix_tokens.packed(np.array(counts, np.int32))).tolist() == counts
+
+
+def test_long_runs_take_time_in_proportion(library):
+    lattice, counter = nbest.Lattice(open_model(model_path())), prefix_tokens.PrefixCounter(open_model(model_path()))
+    for text in ("-" * 60_000, "a" * 60_000, "ab" * 40_000):
+        numbers = lattice.numbers([text])[0]
+        assert lattice.own(numbers).tolist() == library.encode(text)
+        assert len(lattice.paths(numbers, 4)) == 4
+        assert counter.prefixes(counter.numbers([text])[0])[-1] == len(library.encode(text))
+
+
+def test_tables_are_emptied_when_full(monkeypatch, library):
+    from wayline.llm import pieces
+
+    monkeypatch.setattr(pieces, "MOST_UNITS", 20)
+    lattice = nbest.Lattice(open_model(model_path()))
+    for k in range(30):
+        text = f"{TEXTS[0]} w{k} v{k * 7}"
+        assert lattice.own(lattice.numbers([text])[0]).tolist() == library.encode(text)
+    assert len(lattice) < 60

@@ -11,8 +11,8 @@ import sentencepiece
 import xxhash
 
 import __spark_entry__ as entry
-from wayline.llm import exact_dedup, html_extract, minhash, nbest, prefix_tokens, simhash, toxicity
-from wayline.llm.pieces import model_path, open_model
+from wayline.llm import exact_dedup, html_extract, minhash, simhash, toxicity
+from wayline.llm.pieces import model_path
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, target double, label string, rid bigint, fp string, kept boolean, text_sha256 string"
 GOOD = "The river runs past the old mill and the people walk along it every evening. They talk about the weather and the harvest."
@@ -248,43 +248,6 @@ def test_token_counts(spark, small):
             assert got.loc[r[0], "n_tokens"] == n and got.loc[r[0], "n_bytes"] == len((r[1] or "").encode()) and got.loc[r[0], "over_limit"] == (n > 4096)
 
 
-def test_token_counts_of_all_prefixes():
-    library, counter = sentencepiece.SentencePieceProcessor(model_file=model_path()), prefix_tokens.PrefixCounter(open_model(model_path()))
-    for text in (GOOD, FR, "  two  spaces ", "𝄞 ▁▁ <s>x</s> 1234567", "aaaaaaaaaaaaaaaaaaaaaaa"):
-        counts = counter.prefixes(text)
-        assert counts.tolist() == [len(library.encode(text[:k])) for k in range(len(text) + 1)]
-        assert prefix_tokens.cut_at(counts, 5) == max(k for k in range(len(text) + 1) if len(library.encode(text[:k])) <= 5)
-
-
-def every_path(lattice, unit):
-    if not unit:
-        return [(0, [])]
-    out = []
-    for n in range(1, len(unit) + 1):
-        piece = unit[:n]
-        if piece in lattice.edges:
-            points = lattice.edges[piece][1]
-        elif n == 1:
-            points = lattice.unknown
-        else:
-            continue
-        out += [(points + s, [*lattice.token_ids(piece), *ids]) for s, ids in every_path(lattice, unit[n:])]
-    return out
-
-
-@pytest.mark.parametrize("text", ["a", "mill", "the old mill", "né 𝄞", "a b c d", "  x"])
-def test_n_best_are_the_best(text):
-    lattice = nbest.Lattice(open_model(model_path()))
-    ids, found, _ = lattice.encode(text, 6)
-    whole = [(0, [])]
-    for unit in nbest.units(text):
-        whole = [(s + t, a + b) for s, a in whole for t, b in every_path(lattice, unit)]
-    scores = sorted((s for s, _ in whole), reverse=True)
-    assert [s for s, _ in found] == scores[:6]
-    assert (found[0][0], ids) in whole
-    assert nbest.decode(lattice.model, ids) == text
-
-
 def test_round_trip(spark, small):
     got = run(spark, "op10_nbest_pieces", small)
     marked = {r[0] for r in rows() if "▁" in (r[1] or "")}

@@ -1,23 +1,25 @@
 """SentencePiece encoding with the N best segmentations, and decoding.
 
-A text's piece lattice has a node between any two signs and an edge for each piece; a path's score is the
-sum of its pieces' scores in the model file. A forward Viterbi pass gives every node the best score from the
-start. Searching backward from the end, that score is an exact heuristic: A-star pops whole segmentations in
-order of their score and never expands a path that doesn't lead to one of the N best.
-
-Every start of a word is a node that all paths pass, so the lattice is a chain of short unit lattices. The
-forward pass runs once per different unit, over the edges that a multi-pattern automaton finds. The search over the chain expands a unit only if its second-best
-segmentation loses less than all but N - 1 others.
-
-The model is of the BPE kind: its scores are minus merge ranks, so their largest sum prefers early, short pieces and
-is not the model's encoding. The ids are therefore the model's own merge result; the lattice ranks the alternatives.
+A text's piece lattice has a node between any two signs and an edge for each piece. The model is of the BPE kind:
+its scores are minus merge ranks, no likelihoods, and their bare sum prefers early, short pieces. So a path with
+fewer pieces is better, and of as many the one with the larger sum of scores; the model's own encoding, which is
+returned beside the N best, mostly has the fewest pieces. A forward Viterbi pass gives every node the best cost from
+the start. Searching backward from the end, that cost is an exact heuristic: A-star pops whole segmentations in
+order of their cost and never expands a path that doesn't lead to one of the N best.
+
+Every start of a unit is a node that all paths pass, so the lattice is a chain of short unit lattices. The forward
+pass runs once per different unit, over the edges that a multi-pattern automaton finds. The search over the chain
+expands a unit only if its second-best segmentation loses less than all but N - 1 others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
-from itertools import chain, count
+from functools import lru_cache
+from itertools import count
 
 import ahocorasick
 import numpy as np
@@ -25,182 +27,204 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SPACE, PieceModel, model_path, open_model, units
+from .pieces import SPACE, PieceModel, UnitTable, model_path, open_model, slices
 
 N_BEST = 4
-MOST_CACHED = 400_000
-LONG_UNIT = 64  # longer ones aren't kept
-UNKNOWN_PENALTY = 10
-NONE = 1 << 60  # what a second-best segmentation loses where there is none
+PIECE = 1 << 40  # what a piece costs beside its rank, so that the number of pieces counts first
+NONE = 1 << 62  # what a second-best segmentation loses where there is none
+MOST_SEARCHED = 50_000
+LONG_UNIT = 64  # the search of longer ones isn't kept
 
+Path = list[int]
 
-class Lattice:
-    """Segmentations of units under one model. Scores are whole numbers, so sums and ties are exact."""
 
-    def __init__(self, model: PieceModel):
-        self.model = model
-        score = {i: round(model.processor.get_score(i)) for i in model.ids.values()}
-        self.edges = {piece: (i, score[i]) for piece, i in model.ids.items()}
-        self.unknown = min(score.values()) - UNKNOWN_PENALTY
-        self.signs = {piece for piece in self.edges if len(piece) == 1}
-        self.points = np.zeros(model.processor.get_piece_size(), np.int64)  # of each id; a sign's bytes count once, at its first
-        self.points[list(score)] = list(score.values())
-        self.points[[i for byte, i in model.byte_ids.items() if not 0x80 <= byte < 0xC0]] = self.unknown
-        self.known: dict[str, tuple[int, list[int], int]] = {}
-        self.found: dict[tuple[str, int], list] = {}
-        self.automaton = ahocorasick.Automaton()
-        for piece, (_, points) in self.edges.items():
-            self.automaton.add_word(piece, (len(piece), points))
-        self.automaton.make_automaton()
-
-    def all_edges(self, unit: str) -> list[tuple[int, tuple[int, int]]]:
-        """(end - 1, (length, score)) by end, longest first; a sign outside the vocabulary is one edge."""
-        found = list(self.automaton.iter(unit))
-        if not self.signs.issuperset(unit):
-            found += [(k, (1, self.unknown)) for k, sign in enumerate(unit) if sign not in self.signs]
-            found.sort(key=lambda e: (e[0], -e[1][0]))
-        return found
+class Lattice(UnitTable):
+    """Segmentations of units under one model: flat 0 has the model's own ids, flat 1 those of the best path."""
 
-    def forward(self, unit: str) -> tuple[list[int], list[int], list[int]]:
-        """Viterbi, per node: the best score from the start, the best edge's begin, what the next best edge loses."""
-        n = len(unit) + 1
-        best, back, loss = [0] + [-NONE] * len(unit), [0] * n, [NONE] * n
-        for end, (length, points) in self.all_edges(unit):
+    def __init__(self, model: PieceModel):
+        self.points = np.zeros(len(model.piece), np.int64)  # an id's score
+        for i in model.ids.values():
+            self.points[i] = round(model.processor.get_score(i))
+        self.cost_of = {piece: (i, PIECE - int(self.points[i])) for piece, i in model.ids.items()}
+        self.edges = ahocorasick.Automaton()
+        for piece, (i, cost) in self.cost_of.items():
+            self.edges.add_word(piece, (len(piece), cost, i))
+        self.edges.make_automaton()
+        self.found: dict[tuple[str, int], list[tuple[int, Path]]] = {}
+        super().__init__(model, 2)
+
+    def empty(self) -> None:
+        super().empty()
+        self.loss = array("q")  # per unit, what its second-best segmentation loses
+        self.names: list[str] = []
+
+    def forward(self, unit: str) -> tuple[list[int], list[int], list[int], int]:
+        """Viterbi, per node: the least cost from the start, and the length and id of the best edge into it; then
+        what the second-best path loses (the least that another edge into a node of the best path does)."""
+        n = len(unit)
+        best, size, last, loss = [0] + [NONE] * n, [0] * (n + 1), [0] * (n + 1), [NONE] * (n + 1)
+        for end, (length, cost, token) in self.edges.iter(unit):
             end += 1
-            total, first = best[end - length] + points, best[end]
-            if total > first:
-                best[end], back[end], loss[end] = total, end - length, min(NONE, total - first)
-            elif first - total < loss[end]:
-                loss[end] = first - total
-        return best, back, loss
-
-    def token_ids(self, piece: str) -> list[int]:
-        hit = self.edges.get(piece)
-        return self.model.bytes_of(piece) if hit is None else [hit[0]]
-
-    def unit(self, unit: str) -> tuple[int, list[int], int]:
-        """Best score, its token ids, and what the second-best segmentation loses."""
-        known = self.known.get(unit)
-        if known is None:
-            best, back, loss = self.forward(unit)
-            edges, ids, least, end = self.edges, [], NONE, len(unit)
-            while end:
-                least = min(least, loss[end])
-                hit = edges.get(unit[back[end] : end])
-                ids += (hit[0],) if hit else reversed(self.token_ids(unit[back[end] : end]))
-                end = back[end]
-            ids.reverse()
-            known = (best[-1], ids, least)
-            if len(unit) <= LONG_UNIT:
-                if len(self.known) > MOST_CACHED:
-                    self.known.clear()
-                self.known[unit] = known
-        return known
-
-    def a_star(self, unit: str, n: int) -> list[tuple[int, list[int]]]:
-        """The ``n`` best segmentations (score, ids) of a unit, best first: backward A-star with forward scores."""
+            total, first = best[end - length] + cost, best[end]
+            if total < first:
+                best[end], size[end], last[end], loss[end] = total, length, token, min(NONE, first - total)
+            elif total - first < loss[end]:
+                loss[end] = total - first
+        return best, size, last, min((loss[end] for end in steps(size)), default=NONE)
+
+    def learn(self, unit: str) -> None:
+        self.names.append(unit)
+        own = self.model.encode_unit(unit)
+        if len(unit) == 1:  # a sign is one piece, or its bytes
+            best, loss = own, NONE
+        else:
+            _, size, last, loss = self.forward(unit)
+            best = [last[end] for end in steps(size)][::-1]
+        self.flat[0].extend(own)
+        self.flat[1].extend(best)
+        self.loss.append(loss)
+
+    def a_star(self, unit: str, n: int) -> list[tuple[int, Path]]:
+        """The ``n`` best segmentations (what it loses, ids) of a unit, best first: backward A-star over forward costs."""
         if (unit, n) in self.found:
             return self.found[unit, n]
-        best, _, _ = self.forward(unit)
-        into: list[list[tuple[int, int]]] = [[] for _ in best]  # (begin, score) of the edges into a node
-        for end, (length, points) in self.all_edges(unit):
-            into[end + 1].append((end + 1 - length, points))
+        best, longest, cost_of = self.forward(unit)[0], self.model.longest, self.cost_of
         order = count()
-        # -(score so far + best to the start), node (of equals the one nearest the start, else all of them would grow), tie, score so far, path
-        queue = [(-best[-1], len(unit), next(order), 0, None)]
-        found = []
+        # cost so far + least to the start, node (of equals the one nearest the start, else all would grow), tie, cost so far, path
+        queue = [(best[-1], len(unit), next(order), 0, None)]
+        found: list[tuple[int, Path]] = []
         while queue and len(found) < n:
             _, end, _, done, path = heapq.heappop(queue)
             if not end:
                 ids = []
                 while path:
-                    ids += self.token_ids(path[0])
+                    ids.append(path[0])
                     path = path[1]
-                found.append((done, ids))
+                found.append((done - best[-1], ids))
                 continue
-            for begin, score in into[end]:
-                heapq.heappush(queue, (-(done + score + best[begin]), begin, next(order), done + score, (unit[begin:end], path)))
+            for begin in range(max(0, end - longest), end):
+                edge = cost_of.get(unit[begin:end])
+                if edge:
+                    heapq.heappush(queue, (done + edge[1] + best[begin], begin, next(order), done + edge[1], (edge[0], path)))
         if len(unit) <= LONG_UNIT:
-            if len(self.found) > MOST_CACHED // 10:
+            if len(self.found) > MOST_SEARCHED:
                 self.found.clear()
             self.found[unit, n] = found
         return found
 
-    def encode(self, text: str, n: int = N_BEST) -> tuple[list[int], list[tuple[int, dict[int, list[int]]]], list[list[int]]]:
-        """Ids of the best segmentation, and the n best as (score, {unit: its other ids}), and the best ids by unit."""
-        names, known, unit = units(text), self.known.get, self.unit
-        parts = [known(u) or unit(u) for u in names]
-        top = sum([p[0] for p in parts])
-        losing = heapq.nsmallest(n - 1, zip([p[2] for p in parts], range(len(parts))))
-        losing = [x for x in losing if x[0] < NONE]
-        choices = [(k, [(s - parts[k][0], ids) for s, ids in self.a_star(names[k], n)]) for _, k in losing]
-        found, queue, order = [], [(0, 0, -1, ())], count(1)  # what it loses, tie, last changed place, (place, choice)...
+    def n_best(self, numbers: np.ndarray, n: int) -> list[tuple[int, dict[int, Path]]]:
+        """The ``n`` best paths through a text's units: what each loses, and where it leaves the best, as {place: ids}."""
+        loss = np.frombuffer(self.loss, np.int64)[numbers]
+        places = [int(k) for k in np.argsort(loss, kind="stable")[: n - 1] if loss[k] < NONE]
+        choices = [self.a_star(self.names[numbers[k]], n) for k in places]
+        found, queue, order = [], [(0, 0, -1, ())], count(1)  # what it loses, tie, last changed choice, (choice, which)...
         while queue and len(found) < n:
             lost, _, last, changed = heapq.heappop(queue)
-            found.append((top - lost, {choices[c][0]: choices[c][1][j][1] for c, j in changed}))
-            if changed:  # the last change, one choice worse
+            found.append((lost, {places[c]: choices[c][j][1] for c, j in changed}))
+            if changed:  # the last change, one segmentation worse
                 c, j = changed[-1]
-                if j + 1 < len(choices[c][1]):
-                    heapq.heappush(queue, (lost + choices[c][1][j][0] - choices[c][1][j + 1][0], next(order), c, (*changed[:-1], (c, j + 1))))
+                if j + 1 < len(choices[c]):
+                    heapq.heappush(queue, (lost + choices[c][j + 1][0] - choices[c][j][0], next(order), c, (*changed[:-1], (c, j + 1))))
             for c in range(last + 1, len(choices)):  # one more change, further on
-                if len(choices[c][1]) > 1:
-                    heapq.heappush(queue, (lost - choices[c][1][1][0], next(order), c, (*changed, (c, 1))))
-        by_unit = [p[1] for p in parts]
-        return list(chain.from_iterable(by_unit)), found, by_unit
-
-
-def ranked(lattice: Lattice, text: str, n: int = N_BEST) -> tuple[list[int], list[tuple[int, int]]]:
-    """The model's merge result, and (score, number of ids) of it and of the n - 1 best other segmentations, best first."""
-    ids = lattice.model.processor.encode(text)
-    best, found, by_unit = lattice.encode(text, n)
-    out = [(int(lattice.points[ids].sum()), len(ids))]
-    for score, other in found:
-        length = len(best) + sum(len(v) - len(by_unit[k]) for k, v in other.items())
-        if len(out) < n and not (length == len(ids) and score == out[0][0] and expand(by_unit, other) == ids):
-            out.append((score, length))
-    return ids, out
-
-
-def decode(model: PieceModel, ids: list[int]) -> str:
-    """The text of token ids: pieces and bytes joined, spaces restored, the model's own space taken off."""
-    return model.processor.decode(ids)
-
+                if len(choices[c]) > 1:
+                    heapq.heappush(queue, (lost + choices[c][1][0], next(order), c, (*changed, (c, 1))))
+        return found
 
-def expand(by_unit: list[list[int]], other: dict[int, list[int]]) -> list[int]:
-    return [i for k, ids in enumerate(by_unit) for i in other.get(k, ids)]
+    def own(self, numbers: np.ndarray) -> np.ndarray:
+        return self.gathered(0, numbers)
+
+    def paths(self, numbers: np.ndarray, n: int) -> list[np.ndarray]:
+        """The ids of the ``n`` best paths, best first."""
+        best = self.gathered(1, numbers)
+        ends = np.cumsum(self.lengths(1, numbers))
+        out = []
+        for _, changes in self.n_best(numbers, n):
+            parts, at = [], 0
+            for k in sorted(changes):
+                parts += [best[at : ends[k - 1] if k else 0], np.array(changes[k], np.int32)]
+                at = ends[k]
+            out.append(np.concatenate([*parts, best[at:]]) if parts else best)
+        return out
+
+
+def steps(size: list[int]) -> Iterator[int]:
+    """The nodes of the best path, from the end."""
+    end = len(size) - 1
+    while end:
+        yield end
+        end -= size[end]
+
+
+@lru_cache(maxsize=1)
+def lattice_of(path: str) -> Lattice:
+    """Kept by a Python worker from task to task."""
+    return Lattice(open_model(path))
+
+
+def decode(model: PieceModel, ids: np.ndarray | list[int]) -> str:
+    """The text of token ids: pieces joined, runs of byte pieces read as UTF-8 (what is none becomes U+FFFD, a sign
+    for each byte), spaces restored, the model's own space taken off."""
+    ids = np.asarray(ids, np.int64)
+    shown, high = model.shown, model.is_high[ids]
+    if not high.any():
+        text = "".join(map(shown.__getitem__, ids.tolist()))
+    else:
+        parts, edges = [], np.flatnonzero(np.r_[True, high[1:] != high[:-1], True])
+        for a, z in zip(edges, edges[1:]):
+            some = ids[a:z].tolist()
+            parts.append(signs(bytes(map(model.byte_of.__getitem__, some))) if high[a] else "".join(map(shown.__getitem__, some)))
+        text = "".join(parts)
+    return text.removeprefix(SPACE).replace(SPACE, " ")
+
+
+def signs(raw: bytes) -> str:
+    """UTF-8, every byte that belongs to no sign as a U+FFFD of its own."""
+    out = []
+    while raw:
+        try:
+            out.append(raw.decode())
+            break
+        except UnicodeDecodeError as e:
+            out += [raw[: e.start].decode(), "\ufffd"]
+            raw = raw[e.start + 1 :]
+    return "".join(out)
 
 
 def encode(docs: DataFrame, n: int = N_BEST, path: str | None = None) -> DataFrame:
-    """doc_id, n_chars, ids, n_tokens, score, nbest_scores, nbest_tokens, decoded_sha256, exact.
-
-    ids are the model's own encoding; score is its sum of piece scores. nbest_scores and nbest_tokens list scores
-    and lengths: first those of ids, then of the ``n`` - 1 best other segmentations by the lattice, best first (fewer
-    where the lattice has fewer). As scores are merge ranks, others can have larger ones than ids. decoded_sha256 is of the text that the ids decode
-    to, exact says whether it is the document's text: it is, unless the text holds U+2581 itself, which the
-    model reads as a space. One row per row of ``docs``; a null or empty text has no ids, score 0 and one
-    empty segmentation. Repeated rows and null ids keep their rows.
+    """doc_id, n_chars, ids, n_tokens, score, nbest, decoded_sha256, exact: one row per row of ``docs``.
+
+    ids are the model's own encoding and score is the sum of their scores. nbest lists the ``n`` best paths of the
+    lattice, best first, each with its ids, their number and the sum of their scores (fewer where the lattice has
+    fewer; of equal ones those that part from the best earlier in the text go first). decoded_sha256 is of
+    the text that ids decode to; exact says whether it is the document's: it is, unless the text holds U+2581
+    itself, which the model reads as a space. A null or empty text has no ids, score 0 and one empty path. A very
+    long text is worked on alone and whole. Repeated rows and null ids keep their rows, an empty table gives
+    none, other columns of ``docs`` aren't read.
     """
-    import hashlib
-
     path = path or model_path()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("score", pa.int64()), ("nbest_scores", pa.list_(pa.int64())), ("nbest_tokens", pa.list_(pa.int64())), ("decoded_sha256", pa.string()), ("exact", pa.bool_())])
+    listed = pa.list_(pa.int32())
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("ids", listed), ("n_tokens", pa.int64()), ("score", pa.int64()),
+        ("nbest", pa.list_(pa.struct([("n_tokens", pa.int64()), ("score", pa.int64()), ("ids", listed)]))), ("decoded_sha256", pa.string()), ("exact", pa.bool_()),
+    ])
 
-    def row(lattice: Lattice, text: str) -> tuple:
-        ids, found = ranked(lattice, text, n)
-        back = decode(lattice.model, ids)
-        return len(text), ids, len(ids), found[0][0], [s for s, _ in found], [k for _, k in found], hashlib.sha256(back.encode()).hexdigest(), back == text
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.int32)])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(open_model(path))
-        for b in batches:
-            for at in range(0, b.num_rows, 512):  # ids of a few hundred texts at a time
-                part = b.slice(at, 512)
-                columns = list(zip(*[row(lattice, t or "") for t in part.column(1).to_pylist()]))
-                ids = columns[1]
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
-                listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
-                arrays = [pa.array(c, schema.field(k + 1).type) if k != 1 else listed for k, c in enumerate(columns)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], schema=schema)
-
-    ddl = "doc_id long, n_chars long, ids array<int>, n_tokens long, score long, nbest_scores array<long>, nbest_tokens array<long>, decoded_sha256 string, exact boolean"
+        lattice = lattice_of(path)
+        model, points = lattice.model, lattice.points
+        for rows, texts in slices(batches, 1):
+            numbers = lattice.numbers(texts)
+            own = [lattice.own(k) for k in numbers]
+            best = [lattice.paths(k, n) for k in numbers]
+            back = [decode(model, ids) for ids in own]
+            each = [ids for paths in best for ids in paths]
+            struct = pa.StructArray.from_arrays([pa.array(list(map(len, each)), pa.int64()), pa.array([int(points[ids].sum()) for ids in each], pa.int64()), lists(each)], ["n_tokens", "score", "ids"])
+            yield pa.RecordBatch.from_arrays([
+                rows.column(0), pa.array(map(len, texts), pa.int64()), lists(own), pa.array(map(len, own), pa.int64()), pa.array([int(points[ids].sum()) for ids in own], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, best)]), pa.int32()), struct), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([a == b for a, b in zip(back, texts)]),
+            ], schema=schema)
+
+    ddl = "doc_id long, n_chars long, ids array<int>, n_tokens long, score long, nbest array<struct<n_tokens: long, score: long, ids: array<int>>>, decoded_sha256 string, exact boolean"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)

@@ -1,19 +1,29 @@
-"""What the two piece-model operators share: the model and the units of a text.
+"""What the two piece-model operators share: the model, the units of a text and tables over units.
 
-The model writes a space as U+2581 and puts one before a text. No piece has that sign behind another sign,
-so pieces never cross the start of a run of it, and the units between such starts are encoded independently.
+The model writes a space as U+2581 and puts one before a text. A merge never goes beyond two signs that stand
+side by side in no piece, so a text falls into units that are encoded independently: a sign that is in no longer
+piece is a unit, and so is each run of spaces, then other signs, then letters, as no piece has a space behind
+another sign or another sign behind a letter. What is known of a unit is kept in flat arrays, and a text is put
+together from them by its units' numbers.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 DEFAULT_MODEL = "piece_bpe_32k.model"
+MOST_UNITS = 400_000  # kept in a table
+MOST_FLAT = 1 << 24  # numbers kept in one of its arrays
+SLICE = 1 << 21  # characters of the texts that are worked on together; a longer text is alone
 
 
 def model_path(name: str = DEFAULT_MODEL) -> str:
@@ -22,6 +32,10 @@ def model_path(name: str = DEFAULT_MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def one_of(signs: set[str]) -> str:
+    return "[" + "".join(map(re.escape, sorted(signs))) + "]" if signs else "(?!)"
+
+
 class PieceModel:
     """The vocabulary file, opened once per Python worker, and whether its pieces are as said above."""
 
@@ -29,11 +43,31 @@ class PieceModel:
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.processor.get_piece_size()
         skip = [self.processor.is_control(i) or self.processor.is_unknown(i) or self.processor.is_byte(i) or self.processor.is_unused(i) for i in range(size)]
-        self.ids = {self.processor.id_to_piece(i): i for i in range(size) if not skip[i]}
-        self.byte_ids = {int(self.processor.id_to_piece(i)[1:-1], 16): i for i in range(size) if self.processor.is_byte(i)}
+        self.piece = [self.processor.id_to_piece(i) for i in range(size)]
+        self.ids = {self.piece[i]: i for i in range(size) if not skip[i]}
+        self.byte_ids = {int(self.piece[i][1:-1], 16): i for i in range(size) if self.processor.is_byte(i)}
+        self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        # what an id adds to a text: an ASCII byte is that sign whatever stands beside it, other bytes depend on that
+        self.shown = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p for i, p in enumerate(self.piece)]
+        self.is_high = np.array([self.byte_of.get(i, 0) > 127 for i in range(size)])
         self.longest = max(map(len, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece crosses a word start")
+        inner = {c for p in self.ids if len(p) > 1 for c in p} - {SPACE}
+        if any(c not in self.ids for c in inner | {SPACE}):
+            raise ValueError("a sign of longer pieces is no piece")
+        letters = {c for c in inner if c.isalpha()}
+        if any(a in letters and b not in letters for p in self.ids for a, b in zip(p, p[1:])):
+            letters = set()  # then a unit is what stands between word starts
+        other = inner - letters
+        self.unit = re.compile(f"[^{one_of(inner)[1:-1]}{SPACE}]|{SPACE}*{one_of(other)}*{one_of(letters)}*", re.S)
+
+    def units(self, text: str) -> list[str]:
+        return self.unit.findall(SPACE + text.replace(" ", SPACE))[:-1] if text else []
+
+    def encode_unit(self, unit: str) -> list[int]:
+        """The model's own ids of a unit; a line feed keeps the model's own space away."""
+        return self.processor.encode("\n" + unit.replace(SPACE, " "))[2:]
 
     def bytes_of(self, sign: str) -> list[int]:
         """The ids of a sign outside the vocabulary."""
@@ -45,5 +79,68 @@ def open_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def units(text: str) -> list[str]:
-    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+class UnitTable(dict):
+    """Unit to its number. What ``learn`` appends to the flat arrays for each new unit is found by that number.
+
+    Emptied between slices of texts once it is full, so its memory is bounded by a slice's.
+    """
+
+    def __init__(self, model: PieceModel, flats: int):
+        super().__init__()
+        self.model, self.flats = model, flats
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.flat = [array("i") for _ in range(self.flats)]
+        self.ends = [array("q", [0]) for _ in range(self.flats)]
+
+    def number(self, unit: str) -> int:
+        """Of a unit that may be new."""
+        if unit not in self:
+            self.learn(unit)
+            for flat, ends in zip(self.flat, self.ends):
+                ends.append(len(flat))
+            self[unit] = len(self.ends[0]) - 2
+        return self[unit]
+
+    def learn(self, unit: str) -> None:
+        raise NotImplementedError
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """Per text the numbers of its units."""
+        if len(self) > MOST_UNITS or max(map(len, self.flat)) > MOST_FLAT:
+            self.empty()
+        out = []
+        for t in texts:
+            units = self.model.units(t)
+            known = list(map(self.get, units))
+            if None in known:
+                known = [self.number(u) if k is None else k for k, u in zip(known, units)]
+            out.append(np.array(known, np.int64))
+        return out
+
+    def lengths(self, k: int, numbers: np.ndarray) -> np.ndarray:
+        ends = np.frombuffer(self.ends[k], np.int64)
+        return ends[numbers + 1] - ends[numbers]
+
+    def gathered(self, k: int, numbers: np.ndarray) -> np.ndarray:
+        """The k-th flat array's parts of the units, end to end."""
+        ends, flat = np.frombuffer(self.ends[k], np.int64), np.frombuffer(self.flat[k], np.int32)
+        parts = []
+        for at in range(0, len(numbers), 1 << 18):
+            some = numbers[at : at + (1 << 18)]
+            begin, size = ends[some], ends[some + 1] - ends[some]
+            parts.append(flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batches in parts of about SLICE bytes of text, and their texts; null counts as empty."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - size) // SLICE
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(size) else [0, 0]
+        for a, z in zip(edges, edges[1:]):
+            rows = b.slice(a, z - a)
+            yield rows, [t or "" for t in rows.column(text).to_pylist()]

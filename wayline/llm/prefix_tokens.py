@@ -2,141 +2,140 @@
 
 The last token of a prefix's encoding is a piece t such that the encoding of the rest ends in a piece u
 and (u, t) next to each other stay two tokens. So count(prefix) = count(prefix without t) + size(t), and
-one pass from left to right gives the counts of all prefixes. Truncation and budget questions are then
-answered from the counts, without encoding again.
+one pass from left to right gives the counts of all prefixes. The counts at every prefix of a text are laid end
+to end from those of its units and stored, packed as differences, so that truncation and budget questions are
+answered from the store (``longest_within``, ``cuts``), without a text and without encoding again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SPACE, PieceModel, model_path, open_model, units
+from .pieces import SPACE, PieceModel, UnitTable, model_path, open_model, slices
 
 LIMIT = 4096
-MOST_CACHED = 500_000
-LONG_UNIT = 64
+MOST_PAIRS = 500_000
 
 
-class PrefixCounter:
-    """Counts for the units of one model, by number of the last token; what has been seen lately is kept, bounded.
-
-    Tokens are numbered by id, signs outside the vocabulary by -1 - code point. ``table`` is the table of the
-    dynamic programme: prefix of a unit to (count, last token). Units share it, so a new one costs only the
-    prefixes that no unit had before it.
-    """
+class PrefixCounter(UnitTable):
+    """The table of the dynamic programme: per unit of the model the token count at each of its prefixes."""
 
     def __init__(self, model: PieceModel):
-        self.model = model
-        encode = model.processor.encode
-        # merges don't reach every piece; a line feed keeps the model's own space away
-        self.tokens = {p: i for p, i in model.ids.items() if encode("\n" + p.replace(SPACE, " "))[2:] == [i]}
-        self.piece = {i: p for p, i in model.ids.items()}
-        self.table: dict[str, tuple[int, int]] = {}
+        super().__init__(model, 1)
         self.stays: dict[int, bool] = {}
-
-    def size(self, token: int) -> int:
-        return 1 if token >= 0 else len(chr(-1 - token).encode())
+        self.matches = ahocorasick.Automaton()
+        for piece, token in model.ids.items():
+            if model.encode_unit(piece) == [token]:  # merges don't reach every piece
+                self.matches.add_word(piece, (len(piece), token))
+        self.matches.make_automaton()
 
     def two(self, left: int, right: int) -> bool:
         """Whether the tokens stay two side by side."""
-        key = (left << 21) + right
-        known = self.stays.get(key)
-        if known is None:
-            if len(self.stays) > MOST_CACHED:
-                self.stays.clear()
-            both = "".join(self.piece[t] if t >= 0 else chr(-1 - t) for t in (left, right))
-            ids = [i for t in (left, right) for i in ([t] if t >= 0 else self.model.bytes_of(chr(-1 - t)))]
-            known = self.stays[key] = self.model.processor.encode("\n" + both.replace(SPACE, " "))[2:] == ids
+        if len(self.stays) > MOST_PAIRS:
+            self.stays.clear()
+        known = self.stays[left << 20 | right] = self.model.encode_unit(self.model.piece[left] + self.model.piece[right]) == [left, right]
         return known
 
-    def last(self, prefix: str) -> tuple[int, int]:
-        """(token count, last token) of a unit's prefix, from its shorter prefixes; only those needed are worked out."""
-        known = self.table.get(prefix)
-        if known is not None:
-            return known
-        tokens, end = self.tokens, len(prefix)
-        for begin in range(max(0, end - self.model.longest), end):
-            token = tokens.get(prefix[begin:])
-            if token is not None:
-                if not begin:
-                    known = (1, token)
-                    break
-                count, before = self.last(prefix[:begin])
-                if self.two(before, token):
-                    known = (count + 1, token)
-                    break
-        else:
-            token = -1 - ord(prefix[-1])
-            known = ((self.last(prefix[:-1])[0] if end > 1 else 0) + self.size(token), token)
-        self.table[prefix] = known
-        return known
-
-    def unit_counts(self, unit: str) -> list[int]:
-        """Token counts of unit[:1], unit[:2], ..., unit, from left to right."""
-        tokens, longest, two = self.tokens, self.model.longest, self.two
-        count, last = [0], [0]
-        for end in range(1, len(unit) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = tokens.get(unit[begin:end])
-                if token is not None and (not begin or two(last[begin], token)):
-                    break
-            else:
-                begin, token = end - 1, -1 - ord(unit[end - 1])
-            count.append(count[begin] + self.size(token))
-            last.append(token)
-        return count[1:]
-
-    def total(self, unit: str) -> int:
-        if len(unit) > LONG_UNIT:  # text without spaces: a table of its own, no recursion
-            return self.unit_counts(unit)[-1]
-        if len(self.table) > MOST_CACHED:
-            self.table.clear()
-        return self.last(unit)[0]
-
-    def count(self, text: str) -> int:
-        """Tokens of the whole text: the count at its last prefix."""
-        known, total = self.table, self.total
-        return sum([known[u][0] if u in known else total(u) for u in units(text)])
-
-    def prefixes(self, text: str) -> np.ndarray:
-        """Token counts of text[:0], text[:1], ..., text."""
-        out, done = [], 0
-        for unit in units(text):
-            counts = self.unit_counts(unit)
-            out.extend([done + c for c in counts])
-            done += counts[-1]
-        return np.array([0, *out[1:]], np.int64)  # the space that the model puts before a text isn't a sign of it
-
-
-def cut_at(counts: np.ndarray, limit: int) -> int:
+    def learn(self, unit: str) -> None:
+        """Counts of unit[:1], unit[:2], ..., unit. Of the pieces that end a prefix, longest first, one goes with the rest."""
+        if len(unit) == 1:
+            self.flat[0].append(1 if unit in self.model.ids else len(unit.encode()))
+            return
+        n = len(unit)
+        count, last, done, stays = [0] * (n + 1), [0] * (n + 1), 0, self.stays
+        for end, (length, token) in self.matches.iter(unit):
+            end += 1
+            if end == done:
+                continue
+            begin = end - length
+            if begin:
+                pair = stays.get(last[begin] << 20 | token)
+                if not (self.two(last[begin], token) if pair is None else pair):
+                    continue
+            count[end], last[end], done = count[begin] + 1, token, end
+        self.flat[0].extend(count[1:])
+
+    def prefixes(self, numbers: np.ndarray) -> np.ndarray:
+        """Token counts of text[:0], text[:1], ..., text, from the numbers of its units."""
+        counts = self.gathered(0, numbers)
+        if not len(counts):
+            return np.zeros(1, np.int32)
+        size = self.lengths(0, numbers)
+        whole = counts[np.cumsum(size) - 1]
+        counts += np.repeat((np.cumsum(whole) - whole).astype(np.int32), size)
+        counts[0] = 0  # the space that the model puts before a text isn't a sign of it
+        return counts
+
+
+@lru_cache(maxsize=1)
+def counter_of(path: str) -> PrefixCounter:
+    """Kept by a Python worker from task to task."""
+    return PrefixCounter(open_model(path))
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """The counts as differences: a byte with the width of a number, then the numbers, little-endian."""
+    steps = np.diff(counts)
+    least, most = (int(steps.min()), int(steps.max())) if len(steps) else (0, 0)
+    width = 1 if -128 <= least and most < 128 else 2 if -(2**15) <= least and most < 2**15 else 4
+    return bytes([width]) + steps.astype(f"<i{width}").tobytes()
+
+
+def unpacked(store: bytes) -> np.ndarray:
+    """Token counts of text[:0], text[:1], ..., text."""
+    return np.r_[0, np.cumsum(np.frombuffer(store, f"<i{store[0]}", offset=1), dtype=np.int64)]
+
+
+def longest_within(counts: np.ndarray, limit: int) -> int:
     """The length of the longest prefix that has at most ``limit`` tokens, from its counts; they may fall again."""
-    return int(np.flatnonzero(counts <= limit)[-1])
+    return int(np.flatnonzero(counts <= limit)[-1]) if counts[-1] > limit else len(counts) - 1
 
 
-def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None, with_prefixes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and, if asked for, prefix_tokens (array: count at every prefix).
+def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars, prefix_counts: one row per row of ``docs``.
 
-    One row per row of ``docs``. A null text counts as empty: 0 bytes, 0 tokens. Special strings inside
-    texts are plain text, as the library has it. Repeated rows and null ids keep their rows.
+    prefix_counts holds the count at every prefix (``unpacked``); n_tokens is the last of them, over_limit says
+    whether that is above ``limit``, fit_chars is the length of the longest prefix within it. A null text
+    counts as empty: 0 bytes, 0 tokens, one prefix. Special strings inside texts are plain text, as the library has
+    it. A very long text is worked on alone and whole; texts without spaces take time in proportion too.
+    Repeated rows and null ids keep their rows, an empty table gives none, other columns of ``docs`` aren't read.
     """
     path = path or model_path()
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())]
-    fields += [("prefix_tokens", pa.list_(pa.int64()))] * with_prefixes
-    schema = pa.schema(fields)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fit_chars", pa.int64()), ("prefix_counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(open_model(path))
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            prefixes = [counter.prefixes(t) for t in texts] if with_prefixes else []
-            n = [int(p[-1]) for p in prefixes] if with_prefixes else [counter.count(t) for t in texts]
-            columns = [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(prefixes, pa.list_(pa.int64()))] * with_prefixes, schema=schema)
-
-    ddl = "doc_id long, n_bytes long, n_tokens long, over_limit boolean" + ", prefix_tokens array<long>" * with_prefixes
+        counter = counter_of(path)
+        for rows, texts in slices(batches, 1):
+            counts = [counter.prefixes(numbers) for numbers in counter.numbers(texts)]
+            n = [int(c[-1]) for c in counts]
+            columns = [[len(t.encode()) for t in texts], n, [k > limit for k in n], [longest_within(c, limit) for c in counts], [packed(c) for c in counts]]
+            yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]], schema=schema)
+
+    ddl = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long, prefix_counts binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+
+
+def cuts(counted: DataFrame, limit: int, start: str | None = None) -> DataFrame:
+    """doc_id, start, stop: the longest part text[start:stop] that adds at most ``limit`` tokens to text[:start], from
+    the stored counts of ``counted`` alone; ``start`` names a column of characters to begin at (0 where it isn't given,
+    0 for null or less, the text's end for more)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            begins, stops = [], []
+            for store, begin in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                counts = unpacked(store)
+                begin = min(max(0, begin or 0), len(counts) - 1)
+                begins.append(begin)
+                stops.append(begin + longest_within(counts[begin:] - counts[begin], limit))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(begins, pa.int64()), pa.array(stops, pa.int64())], names=["doc_id", "start", "stop"])
+
+    begin = F.col(start).cast("long") if start else F.lit(0).cast("long")
+    return counted.select("doc_id", "prefix_counts", begin.alias("start")).mapInArrow(run, "doc_id long, start long, stop long")

@@ -32,9 +32,21 @@ def test_ids_are_the_library_encoding(docs, library):
     for k, text in enumerate(TEXTS):
         assert got[k]["ids"] == library.encode(text) and got[k]["n_tokens"] == len(library.encode(text))
         assert got[k]["exact"] == ("▁" not in text)
-        assert [len(p["ids"]) for p in got[k]["nbest"]] == [p["n_tokens"] for p in got[k]["nbest"]]
-        assert [nbest.decode(open_model(model_path()), p["ids"]) for p in got[k]["nbest"]] == [text.replace("▁", " ")] * len(got[k]["nbest"])
-    assert got[len(TEXTS)]["ids"] == [] and [p["ids"] for p in got[len(TEXTS)]["nbest"]] == [[]]
+        assert 1 <= len(got[k]["nbest"]) <= 4 and got[k]["nbest"][0]["changes"] == []
+    assert got[len(TEXTS)]["ids"] == got[len(TEXTS)]["best"] == [] and got[len(TEXTS)]["n_tokens"] == 0
+
+
+def test_paths_in_full(docs):
+    encoded = nbest.encode(docs)
+    got = {(r["doc_id"], r["place"]): r for r in nbest.paths(encoded).collect()}
+    model = open_model(model_path())
+    points = nbest.Lattice(model).points
+    for r in encoded.collect():
+        text = [*TEXTS, ""][r["doc_id"]]
+        for k, path in enumerate(r["nbest"]):
+            ids = got[r["doc_id"], k]["ids"]
+            assert ids == nbest.expand(np.array(r["best"], np.int32), path["changes"]).tolist()
+            assert len(ids) == path["n_tokens"] and points[ids].sum() == path["score"] and nbest.decode(model, ids) == text.replace("▁", " ")
 
 
 def every_path(lattice, unit):
@@ -57,11 +69,22 @@ def test_n_best_are_the_best_of_all(text, n):
     for unit in lattice.model.units(text):
         whole = [(s + t, a + b) for s, a in whole for t, b in every_path(lattice, unit)]
     cost_of = {tuple(ids): cost for cost, ids in whole}
-    found = [tuple(p.tolist()) for p in lattice.paths(numbers, n)]
+    best, changes = lattice.best(numbers, n)
+    found = [tuple(nbest.expand(best, c).tolist()) for c in changes]
     assert len(set(found)) == len(found) == min(n, len(whole))
     assert [cost_of[p] for p in found] == sorted(cost for cost, _ in whole)[:n]
 
 
+def test_passes_agree():
+    lattice = nbest.Lattice(open_model(model_path()))
+    units = sorted({u for t in TEXTS for u in lattice.model.units(t) if len(u) > 1})
+    together = lattice.forward(units)
+    for k, unit in enumerate(units):
+        alone = lattice.forward_one(unit)
+        for a, b in zip((together[0], together[3]), (alone[0], alone[3])):
+            assert a[: len(unit) + 1, k].tolist() == b
+
+
 def test_decoding_is_the_library_s(library):
     model, r = open_model(model_path()), random.Random(1)
     bytes_ = list(model.byte_ids.values())
@@ -102,7 +125,7 @@ def test_long_runs_take_time_in_proportion(library):
     for text in ("-" * 60_000, "a" * 60_000, "ab" * 40_000):
         numbers = lattice.numbers([text])[0]
         assert lattice.own(numbers).tolist() == library.encode(text)
-        assert len(lattice.paths(numbers, 4)) == 4
+        assert len(lattice.best(numbers, 4)[1]) == 4
         assert counter.prefixes(counter.numbers([text])[0])[-1] == len(library.encode(text))
 
 

@@ -8,8 +8,9 @@ the start. Searching backward from the end, that cost is an exact heuristic: A-s
 order of their cost and never expands a path that doesn't lead to one of the N best.
 
 Every start of a unit is a node that all paths pass, so the lattice is a chain of short unit lattices. The forward
-pass runs once per different unit, over the edges that a multi-pattern automaton finds. The search over the chain
-expands a unit only if its second-best segmentation loses less than all but N - 1 others.
+pass runs once per different unit, for many units together in numpy, over a trie of the pieces. The search over the
+chain expands a unit only if its second-best segmentation loses less than all but N - 1 others, and a path is
+stored as its changes to the best one (``expand``, ``paths``).
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +38,32 @@ LONG_UNIT = 64  # the search of longer ones isn't kept
 Path = list[int]
 
 
+class Trie:
+    """The pieces as a trie in arrays: an edge's key is its node times the alphabet's size plus the sign's number."""
+
+    def __init__(self, model: PieceModel):
+        signs = sorted({c for p in model.ids for c in p})
+        self.sign = np.zeros(0x110000, np.int64)  # 0 for what no piece has
+        self.sign[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+        self.signs = len(signs) + 1
+        node: dict[str, int] = {"": 0}
+        for piece in model.ids:
+            for k in range(1, len(piece) + 1):
+                node.setdefault(piece[:k], len(node))
+        self.token = np.full(len(node), -1)
+        self.token[[node[p] for p in model.ids]] = list(model.ids.values())
+        keys = np.array([node[p[:-1]] * self.signs + self.sign[ord(p[-1])] for p in node if p])
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.array([n for p, n in node.items() if p])[order]
+
+    def down(self, node: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the nodes have an edge for their sign, and the nodes that these lead to."""
+        key = node * self.signs + sign
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        there = self.keys[at] == key
+        return there, self.child[at[there]]
+
+
 class Lattice(UnitTable):
     """Segmentations of units under one model: flat 0 has the model's own ids, flat 1 those of the best path."""
 
@@ -45,11 +71,9 @@ class Lattice(UnitTable):
         self.points = np.zeros(len(model.piece), np.int64)  # an id's score
         for i in model.ids.values():
             self.points[i] = round(model.processor.get_score(i))
-        self.cost_of = {piece: (i, PIECE - int(self.points[i])) for piece, i in model.ids.items()}
-        self.edges = ahocorasick.Automaton()
-        for piece, (i, cost) in self.cost_of.items():
-            self.edges.add_word(piece, (len(piece), cost, i))
-        self.edges.make_automaton()
+        self.cost = PIECE - self.points
+        self.cost_of = {piece: (i, int(self.cost[i])) for piece, i in model.ids.items()}
+        self.trie = Trie(model)
         self.found: dict[tuple[str, int], list[tuple[int, Path]]] = {}
         super().__init__(model, 2)
 
@@ -58,37 +82,77 @@ class Lattice(UnitTable):
         self.loss = array("q")  # per unit, what its second-best segmentation loses
         self.names: list[str] = []
 
-    def forward(self, unit: str) -> tuple[list[int], list[int], list[int], int]:
-        """Viterbi, per node: the least cost from the start, and the length and id of the best edge into it; then
-        what the second-best path loses (the least that another edge into a node of the best path does)."""
-        n = len(unit)
+    def forward(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Viterbi of many units together, by node and unit: the least cost from the start, the length and the id of the
+        best edge into the node, and what the next best edge into it loses."""
+        most = max(map(len, units))
+        sign = self.trie.sign[np.array(units, f"U{most}").view(np.uint32).reshape(len(units), most).T]
+        best = np.full((most + 1, len(units)), NONE)
+        best[0] = 0
+        size, last, loss = np.zeros(best.shape, np.int16), np.zeros(best.shape, np.int32), np.full(best.shape, NONE)
+        for begin in range(most):
+            unit = np.flatnonzero(sign[begin])
+            node = np.zeros(len(unit), np.int64)
+            for end in range(begin + 1, most + 1):
+                there, node = self.trie.down(node, sign[end - 1, unit])
+                unit = unit[there]
+                if not len(unit):
+                    break
+                token = self.trie.token[node]
+                ends = np.flatnonzero(token >= 0)
+                at, token = unit[ends], token[ends]
+                total, first = best[begin, at] + self.cost[token], best[end, at]
+                less = total < first
+                loss[end, at] = np.where(less, np.where(first < NONE, first - total, NONE), np.minimum(loss[end, at], total - first))
+                to = at[less]
+                best[end, to], size[end, to], last[end, to] = total[less], end - begin, token[less]
+        return best, size, last, loss
+
+    def forward_one(self, unit: str) -> tuple[list[int], list[int], list[int], list[int]]:
+        """The same for one unit of any length, without bounds on sums."""
+        n, longest, cost_of = len(unit), self.model.longest, self.cost_of
         best, size, last, loss = [0] + [NONE] * n, [0] * (n + 1), [0] * (n + 1), [NONE] * (n + 1)
-        for end, (length, cost, token) in self.edges.iter(unit):
-            end += 1
-            total, first = best[end - length] + cost, best[end]
-            if total < first:
-                best[end], size[end], last[end], loss[end] = total, length, token, min(NONE, first - total)
-            elif total - first < loss[end]:
-                loss[end] = total - first
-        return best, size, last, min((loss[end] for end in steps(size)), default=NONE)
-
-    def learn(self, unit: str) -> None:
-        self.names.append(unit)
-        own = self.model.encode_unit(unit)
-        if len(unit) == 1:  # a sign is one piece, or its bytes
-            best, loss = own, NONE
-        else:
-            _, size, last, loss = self.forward(unit)
-            best = [last[end] for end in steps(size)][::-1]
-        self.flat[0].extend(own)
-        self.flat[1].extend(best)
-        self.loss.append(loss)
+        for end in range(1, n + 1):
+            costs = sorted((best[begin] + edge[1], end - begin, edge[0]) for begin in range(max(0, end - longest), end) if (edge := cost_of.get(unit[begin:end])))
+            best[end], size[end], last[end] = costs[0]
+            if len(costs) > 1:
+                loss[end] = costs[1][0] - costs[0][0]
+        return best, size, last, loss
+
+    def learn(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        own = self.model.encode_units(units)
+        sizes, loss, paths = np.zeros(len(units), np.int64), np.full(len(units), NONE), [np.empty((0, 3), np.int64)]  # (unit, place from the end, id)
+        length = np.array(list(map(len, units)))
+        some = np.flatnonzero((length > 1) & (length <= LONG_UNIT))
+        some = some[np.argsort(length[some], kind="stable")]
+        for at in range(0, len(some), 4096):
+            part = some[at : at + 4096]
+            _, size, last, lost = self.forward([units[k] for k in part])
+            end, column, k = length[part], np.arange(len(part)), 0
+            while len(column):
+                loss[part[column]] = np.minimum(loss[part[column]], lost[end, column])
+                sizes[part[column]] += 1
+                paths.append(np.stack([part[column], np.full(len(column), k), last[end, column]], 1))
+                end, k = end - size[end, column], k + 1
+                column, end = column[end > 0], end[end > 0]
+        for k in np.flatnonzero((length == 1) | (length > LONG_UNIT)):
+            ids = own[k]  # a sign is one piece, or its bytes
+            if length[k] > 1:
+                _, size, last, lost = self.forward_one(units[k])
+                nodes = list(steps(size))
+                ids, loss[k] = [last[end] for end in nodes][::-1], min(NONE, *(lost[end] for end in nodes))
+            sizes[k] = len(ids)
+            paths.append(np.stack([np.full(len(ids), k), np.arange(len(ids))[::-1], ids], 1).reshape(-1, 3))
+        path = np.concatenate(paths)
+        self.names += units
+        self.loss.frombytes(loss.tobytes())
+        return [(np.array([i for ids in own for i in ids]), np.array(list(map(len, own)))), (path[np.lexsort((-path[:, 1], path[:, 0])), 2], sizes)]
 
     def a_star(self, unit: str, n: int) -> list[tuple[int, Path]]:
         """The ``n`` best segmentations (what it loses, ids) of a unit, best first: backward A-star over forward costs."""
         if (unit, n) in self.found:
             return self.found[unit, n]
-        best, longest, cost_of = self.forward(unit)[0], self.model.longest, self.cost_of
+        best, longest, cost_of = self.forward_one(unit)[0], self.model.longest, self.cost_of
         order = count()
         # cost so far + least to the start, node (of equals the one nearest the start, else all would grow), tie, cost so far, path
         queue = [(best[-1], len(unit), next(order), 0, None)]
@@ -133,18 +197,21 @@ class Lattice(UnitTable):
     def own(self, numbers: np.ndarray) -> np.ndarray:
         return self.gathered(0, numbers)
 
-    def paths(self, numbers: np.ndarray, n: int) -> list[np.ndarray]:
-        """The ids of the ``n`` best paths, best first."""
-        best = self.gathered(1, numbers)
+    def best(self, numbers: np.ndarray, n: int) -> tuple[np.ndarray, list[list[tuple[int, int, Path]]]]:
+        """The ids of the best path, and for each of the ``n`` best its changes to it: (at, drop, ids) says that ``drop``
+        ids from place ``at`` on give way to ids."""
         ends = np.cumsum(self.lengths(1, numbers))
-        out = []
-        for _, changes in self.n_best(numbers, n):
-            parts, at = [], 0
-            for k in sorted(changes):
-                parts += [best[at : ends[k - 1] if k else 0], np.array(changes[k], np.int32)]
-                at = ends[k]
-            out.append(np.concatenate([*parts, best[at:]]) if parts else best)
-        return out
+        begin = lambda k: int(ends[k - 1]) if k else 0
+        return self.gathered(1, numbers), [[(begin(k), int(ends[k]) - begin(k), changes[k]) for k in sorted(changes)] for _, changes in self.n_best(numbers, n)]
+
+
+def expand(best: np.ndarray, changes: list[tuple[int, int, Path]]) -> np.ndarray:
+    """The ids of a path from those of the best one and its changes."""
+    parts, done = [], 0
+    for at, drop, ids in changes:
+        parts += [best[done:at], np.array(ids, np.int32)]
+        done = at + drop
+    return np.concatenate([*parts, best[done:]])
 
 
 def steps(size: list[int]) -> Iterator[int]:
@@ -191,21 +258,22 @@ def signs(raw: bytes) -> str:
 
 
 def encode(docs: DataFrame, n: int = N_BEST, path: str | None = None) -> DataFrame:
-    """doc_id, n_chars, ids, n_tokens, score, nbest, decoded_sha256, exact: one row per row of ``docs``.
+    """doc_id, n_chars, ids, n_tokens, score, best, nbest, decoded_sha256, exact: one row per row of ``docs``.
 
-    ids are the model's own encoding and score is the sum of their scores. nbest lists the ``n`` best paths of the
-    lattice, best first, each with its ids, their number and the sum of their scores (fewer where the lattice has
-    fewer; of equal ones those that part from the best earlier in the text go first). decoded_sha256 is of
+    ids are the model's own encoding and score is the sum of their scores. best are the ids of the lattice's best path;
+    nbest lists the ``n`` best paths, best first: the number of their ids, the sum of their scores, and where
+    they differ from best (at, drop, ids: see ``expand``; ``paths`` gives them in full). There are fewer where the lattice has fewer;
+    of equal ones those that leave the best path earlier in the text go first. decoded_sha256 is of
     the text that ids decode to; exact says whether it is the document's: it is, unless the text holds U+2581
     itself, which the model reads as a space. A null or empty text has no ids, score 0 and one empty path. A very
     long text is worked on alone and whole. Repeated rows and null ids keep their rows, an empty table gives
     none, other columns of ``docs`` aren't read.
     """
     path = path or model_path()
-    listed = pa.list_(pa.int32())
+    listed, change = pa.list_(pa.int32()), pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
     schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("ids", listed), ("n_tokens", pa.int64()), ("score", pa.int64()),
-        ("nbest", pa.list_(pa.struct([("n_tokens", pa.int64()), ("score", pa.int64()), ("ids", listed)]))), ("decoded_sha256", pa.string()), ("exact", pa.bool_()),
+        ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("ids", listed), ("n_tokens", pa.int64()), ("score", pa.int64()), ("best", listed),
+        ("nbest", pa.list_(pa.struct([("n_tokens", pa.int64()), ("score", pa.int64()), ("changes", pa.list_(change))]))), ("decoded_sha256", pa.string()), ("exact", pa.bool_()),
     ])
 
     def lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -214,17 +282,33 @@ def encode(docs: DataFrame, n: int = N_BEST, path: str | None = None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(path)
         model, points = lattice.model, lattice.points
+
+        def ranked(best: np.ndarray, found: list[list[tuple[int, int, Path]]]) -> list[tuple]:
+            size, score = len(best), int(points[best].sum())
+            more = lambda at, drop, ids: int(points[ids].sum() - points[best[at : at + drop]].sum())
+            return [(size + sum(len(ids) - drop for _, drop, ids in changes), score + sum(more(*c) for c in changes), changes) for changes in found]
+
         for rows, texts in slices(batches, 1):
             numbers = lattice.numbers(texts)
             own = [lattice.own(k) for k in numbers]
-            best = [lattice.paths(k, n) for k in numbers]
+            best = [lattice.best(k, n) for k in numbers]
             back = [decode(model, ids) for ids in own]
-            each = [ids for paths in best for ids in paths]
-            struct = pa.StructArray.from_arrays([pa.array(list(map(len, each)), pa.int64()), pa.array([int(points[ids].sum()) for ids in each], pa.int64()), lists(each)], ["n_tokens", "score", "ids"])
             yield pa.RecordBatch.from_arrays([
-                rows.column(0), pa.array(map(len, texts), pa.int64()), lists(own), pa.array(map(len, own), pa.int64()), pa.array([int(points[ids].sum()) for ids in own], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, best)]), pa.int32()), struct), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([a == b for a, b in zip(back, texts)]),
+                rows.column(0), pa.array(map(len, texts), pa.int64()), lists(own), pa.array(map(len, own), pa.int64()), pa.array([int(points[ids].sum()) for ids in own], pa.int64()), lists([b for b, _ in best]),
+                pa.array([ranked(*b) for b in best], schema.field("nbest").type), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([a == b for a, b in zip(back, texts)]),
             ], schema=schema)
 
-    ddl = "doc_id long, n_chars long, ids array<int>, n_tokens long, score long, nbest array<struct<n_tokens: long, score: long, ids: array<int>>>, decoded_sha256 string, exact boolean"
+    ddl = """doc_id long, n_chars long, ids array<int>, n_tokens long, score long, best array<int>,
+        nbest array<struct<n_tokens: long, score: long, changes: array<struct<at: int, drop: int, ids: array<int>>>>>, decoded_sha256 string, exact boolean"""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+
+
+def paths(encoded: DataFrame) -> DataFrame:
+    """doc_id, place, ids, n_tokens, score: every one of the N best paths in full, place 0 the best."""
+    each = encoded.select("doc_id", "best", F.posexplode("nbest").alias("place", "path"))
+    until = lambda c: c["at"] + c["drop"]
+    start = F.struct(F.lit(0).alias("done"), F.array().cast("array<int>").alias("ids"))
+    added = lambda done, c: F.concat(done["ids"], F.slice("best", done["done"] + 1, c["at"] - done["done"]), c["ids"])
+    rest = lambda done: F.concat(done["ids"], F.slice("best", done["done"] + 1, F.greatest(F.size("best") - done["done"], F.lit(0))))
+    ids = F.aggregate("path.changes", start, lambda done, c: F.struct(until(c).alias("done"), added(done, c).alias("ids")), rest)
+    return each.select("doc_id", "place", ids.alias("ids"), "path.n_tokens", "path.score")

@@ -69,6 +69,9 @@ class PieceModel:
         """The model's own ids of a unit; a line feed keeps the model's own space away."""
         return self.processor.encode("\n" + unit.replace(SPACE, " "))[2:]
 
+    def encode_units(self, units: list[str]) -> list[list[int]]:
+        return [ids[2:] for ids in self.processor.encode(["\n" + u.replace(SPACE, " ") for u in units], num_threads=1)]
+
     def bytes_of(self, sign: str) -> list[int]:
         """The ids of a sign outside the vocabulary."""
         return [self.byte_ids[b] for b in sign.encode()]
@@ -95,30 +98,25 @@ class UnitTable(dict):
         self.flat = [array("i") for _ in range(self.flats)]
         self.ends = [array("q", [0]) for _ in range(self.flats)]
 
-    def number(self, unit: str) -> int:
-        """Of a unit that may be new."""
-        if unit not in self:
-            self.learn(unit)
-            for flat, ends in zip(self.flat, self.ends):
-                ends.append(len(flat))
-            self[unit] = len(self.ends[0]) - 2
-        return self[unit]
-
-    def learn(self, unit: str) -> None:
+    def learn(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per flat array: what it gets for each of the new units, end to end, and how much that is for each."""
         raise NotImplementedError
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
-        """Per text the numbers of its units."""
+        """Per text the numbers of its units; those that are new are learned together."""
         if len(self) > MOST_UNITS or max(map(len, self.flat)) > MOST_FLAT:
             self.empty()
-        out = []
-        for t in texts:
-            units = self.model.units(t)
-            known = list(map(self.get, units))
-            if None in known:
-                known = [self.number(u) if k is None else k for k, u in zip(known, units)]
-            out.append(np.array(known, np.int64))
-        return out
+        split = [self.model.units(t) for t in texts]
+        known = [list(map(self.get, units)) for units in split]
+        new = list(dict.fromkeys(u for units, found in zip(split, known) if None in found for u, k in zip(units, found) if k is None))
+        if new:
+            for k, (flat, size) in enumerate(self.learn(new)):
+                self.flat[k].frombytes(flat.astype(np.int32).tobytes())
+                self.ends[k].frombytes((self.ends[k][-1] + np.cumsum(size, dtype=np.int64)).tobytes())
+            first = len(self)
+            self.update(zip(new, range(first, first + len(new))))
+            known = [[self[u] if k is None else k for u, k in zip(units, found)] if None in found else found for units, found in zip(split, known)]
+        return [np.array(k, np.int64) for k in known]
 
     def lengths(self, k: int, numbers: np.ndarray) -> np.ndarray:
         ends = np.frombuffer(self.ends[k], np.int64)

@@ -43,11 +43,14 @@ class PrefixCounter(UnitTable):
         known = self.stays[left << 20 | right] = self.model.encode_unit(self.model.piece[left] + self.model.piece[right]) == [left, right]
         return known
 
-    def learn(self, unit: str) -> None:
+    def learn(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        counts: list[int] = []
+        for unit in units:
+            counts += self.counts(unit) if len(unit) > 1 else [1 if unit in self.model.ids else len(unit.encode())]
+        return [(np.array(counts), np.array(list(map(len, units))))]
+
+    def counts(self, unit: str) -> list[int]:
         """Counts of unit[:1], unit[:2], ..., unit. Of the pieces that end a prefix, longest first, one goes with the rest."""
-        if len(unit) == 1:
-            self.flat[0].append(1 if unit in self.model.ids else len(unit.encode()))
-            return
         n = len(unit)
         count, last, done, stays = [0] * (n + 1), [0] * (n + 1), 0, self.stays
         for end, (length, token) in self.matches.iter(unit):
@@ -60,7 +63,7 @@ class PrefixCounter(UnitTable):
                 if not (self.two(last[begin], token) if pair is None else pair):
                     continue
             count[end], last[end], done = count[begin] + 1, token, end
-        self.flat[0].extend(count[1:])
+        return count[1:]
 
     def prefixes(self, numbers: np.ndarray) -> np.ndarray:
         """Token counts of text[:0], text[:1], ..., text, from the numbers of its units."""

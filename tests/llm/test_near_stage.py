@@ -53,15 +53,42 @@ def test_near_stage_reaches_likeness_of_four_fifths(spark):
     assert kept == sorted(set(wanted_groups(texts)))
 
 
-@pytest.mark.parametrize("most", [7, 50, 10_000])
-def test_like_sized_pairs_are_all_pairs(spark, most):
-    rng = np.random.default_rng(most)
-    fps = rng.integers(0, 2**63, 400) & 0xFFFFFF
-    sizes = rng.integers(0, 60, 400)
-    rows = [(k, int(f), int(s)) for k, (f, s) in enumerate(zip(fps, sizes))]
-    got = simhash.like_sized_pairs(spark.createDataFrame(rows, "key long, fp long, size long"), 9, 0.8, most).collect()
-    wanted = {(a, b) for a, f, s in rows for b, g, t in rows if a < b and min(s, t) > 0 and 5 * min(s, t) >= 4 * max(s, t) and (f ^ g).bit_count() <= 9}
-    assert len(got) == len(wanted) and {(r["a"], r["b"]) for r in got} == wanted
+def crowd(n, seed=3):
+    """A template with small edits, and unrelated texts."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    out = []
+    for k in range(n):
+        other = list(words)
+        for at in rng.choice(150, rng.integers(1, 4), replace=False):
+            other[at] = f"x{k}-{at}"
+        out.append(" ".join(other))
+    return out + [" ".join(f"v{x}" for x in rng.integers(0, 5000, 100)) for _ in range(n // 4)]
+
+
+@pytest.mark.parametrize("most, aim", [(2048, 512), (64, 512), (64, 16)])
+def test_crowded_groups_and_several_tables(spark, most, aim):
+    texts = near_copies() + crowd(240)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = wanted_groups(texts)
+    root = {r["doc_id"]: r["root"] for r in simhash.like_groups(docs, most=most, aim=aim).collect()}
+    pairs = {(wanted[k], root[k]) for k in range(len(texts))}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({r for _, r in pairs})
+
+
+def test_tables_reach_the_recall():
+    """Of pairs of sets of likeness 0.8, all but about MISS meet in a table, and within the reach."""
+    rng = np.random.default_rng(5)
+    masks = np.array(simhash.tables(200_000)).view(np.uint64)
+    assert len(masks) > 1
+    met = 0
+    for _ in range(600):
+        n = int(rng.integers(40, 400)) * 9
+        a, only = rng.integers(-(2**62), 2**62, n // 9 * 8), rng.integers(-(2**62), 2**62, n // 9 * 2)
+        x, y = (simhash.wide_majority(np.r_[a, part]).view(np.uint64) for part in np.split(only, 2))
+        differ = x ^ y
+        met += bool(((differ & masks) == 0).all(1).any()) and np.bitwise_count(differ).sum() <= simhash.REACH
+    assert met >= 0.98 * 600
 
 
 def test_null_and_repeated_ids_lose_no_unrelated_text(spark):

@@ -158,7 +158,7 @@ def test_simhash_links_random_and_crowded(spark, n):
         fps[k + 200] = fps[k] ^ np.uint64(0b1111 << int(rng.integers(0, 60)))
     fps = np.unique(fps)
     frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
-    got = simhash.components(simhash.links(frame, len(fps))).toPandas()
+    got = simhash.roots_of(frame, len(fps)).toPandas()
     root = dict(zip(got["node"].astype("int64"), got["root"].astype("int64")))
     if n < 10_000:
         pairs = [(k, int(j)) for k in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[k] ^ fps[:k]) <= 4)]

@@ -192,9 +192,12 @@ def test_exact(spark, small):
     assert once.count() == len(groups)
 
 
-def test_exact_with_a_crowded_filter(spark, small):
+@pytest.mark.parametrize("range_rows", [20, 50])
+def test_exact_in_several_ranges(spark, small, range_rows):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    a, b = (sorted(map(str, exact_dedup.exact_groups(docs, most).drop("rid").collect())) for most in (1 << 16, 1 << 20))
+    a, b = (sorted(map(str, exact_dedup.exact_groups(docs, most).collect())) for most in (range_rows, 1 << 20))
+    assert a == b
+    a, b = (sorted((str(r["doc_id"]), r["text"] or "") for r in exact_dedup.drop_exact(docs, most).collect()) for most in (range_rows, 1 << 20))
     assert a == b
 
 

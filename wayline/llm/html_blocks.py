@@ -2,15 +2,18 @@
 
 A block is the text between two block-level tags, with the path of open elements above it. Elements that a
 browser closes by itself (a paragraph before the next, list items, cells) are closed here too. Broken markup
-gives whatever blocks it gives: no page fails.
+gives whatever blocks it gives: no page fails. Time is in proportion to a page's length, however deep, unclosed or
+unquoted its elements are: open elements are counted by name, and a path has the innermost DEEPEST of them.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|[^<]+|<", re.S)
+# a tag ends at the first > that isn't in a quoted value; a quote that is never closed is an ordinary sign
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+(?:>|\Z)|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 # fixed values: HTML's element classes
@@ -21,6 +24,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 BOUNDS = {"ul", "ol", "dl", "table", "select", "body", "div", "article", "section", "main", "td", "th"}
 
 
+SCANNED = set().union(*CLOSES.values()) | BOUNDS
+DEEPEST = 48
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters inside links) of each block that has text, in page order.
 
@@ -28,24 +35,29 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     white space inside a block becomes one space. Raw elements (scripts, styles and so on) have no blocks.
     """
     found: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[str] = []  # names of open elements
+    outer: list[str] = []  # entries of those that aren't inline
+    scanned: list[str] = []  # names of those that end or bound others
+    opened: Counter = Counter()
     parts: list[str] = []
-    linked = inside = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            found.append((tuple(entry for name, entry in stack if name not in INLINE), text, linked))
+            found.append((tuple(outer[-DEEPEST:]), text, linked))
         parts, linked = [], 0
 
     def close(name: str) -> None:
-        nonlocal inside
-        while stack:
-            top = stack.pop()[0]
-            inside -= top == "a"
-            if top == name:
-                return
+        top = ""
+        while top != name:
+            top = stack.pop()
+            opened[top] -= 1
+            if top not in INLINE:
+                outer.pop()
+            if top in SCANNED:
+                scanned.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -53,7 +65,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         token, at = m[0], m.end()
         if token[0] != "<" or token == "<":
             parts.append(token)
-            linked += len(token) if inside else 0
+            linked += len(token) if opened["a"] else 0
             continue
         named = NAME.match(token)
         if not named:
@@ -71,20 +83,22 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         elif name == "br":
             parts.append(" ")
         if ending:
-            if any(name == n for n, _ in stack):
+            if opened[name]:
                 close(name)
             continue
-        if name not in INLINE and any(n == "p" for n, _ in stack):
+        if name not in INLINE and opened["p"]:
             close("p")
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in CLOSES.get(name, ()):
-                close(stack[k][0])
-                break
-            if stack[k][0] in BOUNDS:
-                break
+        if name in CLOSES:
+            inner = next((n for n in reversed(scanned) if n in CLOSES[name] or n in BOUNDS), "")
+            if inner in CLOSES[name]:
+                close(inner)
         if name not in VOID and not token.endswith("/>"):
             words = " ".join(a or b or c for a, b, c in MARK.findall(token)).lower()
-            stack.append((name, f"{name} {words}" if words else name))
-            inside += name == "a"
+            stack.append(name)
+            opened[name] += 1
+            if name not in INLINE:
+                outer.append(f"{name} {words}" if words else name)
+            if name in SCANNED:
+                scanned.append(name)
     flush()
     return found

@@ -3,11 +3,16 @@
 A page is a sequence of leaf blocks. A bidirectional LSTM in numpy reads for each block the averaged
 vectors of its hashed tag path and of its hashed words, and a few numbers; it labels every block as main
 text or not, with the whole page as context. It is trained on made-up pages of many layouts, whose labels
-are known by construction, with a fixed seed: every session has the same model, and no page is needed to fit.
+are known by construction, with a fixed seed. The weights are kept in html_weights.npz, which
+
+    python -m wayline.llm.html_extract
+
+makes anew in a minute or two; no page of the corpus is needed to fit.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,9 +30,11 @@ WORD_BUCKETS, WORD_DIMENSIONS = 2048, 6
 NUMBERS = 5
 HIDDEN = 20
 WIDTH = PATH_DIMENSIONS + WORD_DIMENSIONS + NUMBERS
-PAGES, ROUNDS, BATCH, SEED = 4_000, 6, 40, 11
+PAGES, ROUNDS, BATCH, SEED = 9_000, 7, 40, 11
+WEIGHTS = os.path.join(os.path.dirname(__file__), "html_weights.npz")
 
 Block = tuple[tuple[str, ...], str, int]
+Seen = tuple[np.ndarray, np.ndarray, list[float]]  # path ids, word ids and numbers of a block
 
 
 def bucket(text: str, buckets: int) -> int:
@@ -55,6 +62,10 @@ def numbers(path: tuple[str, ...], text: str, linked: int) -> list[float]:
     return [np.log1p(n) / 4, min(1.0, linked / n), float(text[-1] in ".!?"), np.log1p(text.count(" ")) / 4, float("©" in text)]
 
 
+def seen(block: Block) -> Seen:
+    return path_ids(block[0]), word_ids(block[1]), numbers(*block)
+
+
 class Layer:
     """One direction of the LSTM over padded sequences [time, page, width]."""
 
@@ -110,12 +121,12 @@ class BlockLabeller:
         n = np.array([len(i) for i in ids])
         return np.concatenate(ids), np.cumsum(n) - n, n
 
-    def inputs(self, pages: list[list[Block]]) -> tuple[list[np.ndarray], tuple, tuple]:
+    def inputs(self, pages: list[list[Seen]]) -> tuple[list[np.ndarray], tuple, tuple]:
         """The input rows of every page, and the gathered path and word ids of all their blocks."""
         every = [block for page in pages for block in page]
-        of_path, of_word = self.gathered([path_ids(p) for p, _, _ in every]), self.gathered([word_ids(t) for _, t, _ in every])
+        of_path, of_word = self.gathered([p for p, _, _ in every]), self.gathered([w for _, w, _ in every])
         means = [np.add.reduceat(table[ids], first) / n[:, None] for table, (ids, first, n) in ((self.paths, of_path), (self.words, of_word))]
-        x = np.hstack([*means, np.array([numbers(*block) for block in every])])
+        x = np.hstack([*means, np.array([n for _, _, n in every])])
         return np.split(x, np.cumsum([len(p) for p in pages])[:-1]), of_path, of_word
 
     @staticmethod
@@ -136,7 +147,7 @@ class BlockLabeller:
         both = np.concatenate([ahead, behind[turned, page]], 2)
         return both @ self.out[0] + self.out[1], [both, back, kept, kept2]
 
-    def step(self, pages: list[list[Block]], labels: list[np.ndarray]) -> list[np.ndarray]:
+    def step(self, pages: list[list[Seen]], labels: list[np.ndarray]) -> list[np.ndarray]:
         """Gradients of the cross-entropy of one batch, in the order of parameters()."""
         rows, of_path, of_word = self.inputs(pages)
         x, valid, turned = self.padded(rows)
@@ -159,13 +170,14 @@ class BlockLabeller:
     def train(self, pages: list[list[Block]], labels: list[np.ndarray], rounds: int = ROUNDS, batch: int = BATCH, seed: int = SEED) -> BlockLabeller:
         """Adam; pages of like length go together."""
         rng = np.random.default_rng(seed)
+        known = [[seen(block) for block in page] for page in pages]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
         order = np.argsort([len(p) for p in pages], kind="stable")
         chunks = [order[k : k + batch] for k in range(0, len(order), batch)]
         done = 0
         for r in range(rounds):
             for c in rng.permutation(len(chunks)):
-                grads = self.step([pages[k] for k in chunks[c]], [labels[k] for k in chunks[c]])
+                grads = self.step([known[k] for k in chunks[c]], [labels[k] for k in chunks[c]])
                 done += 1
                 rate = 0.012 * (1 - r / rounds)
                 for p, g, (m, v) in zip(self.parameters(), grads, moments):
@@ -184,7 +196,7 @@ class BlockLabeller:
             while end < min(len(order), at + 256) and (end - at + 1) * len(pages[order[end]]) <= 100_000:
                 end += 1
             some = order[at:end]
-            x, _, turned = self.padded(self.inputs([pages[k] for k in some])[0])
+            x, _, turned = self.padded(self.inputs([[seen(block) for block in pages[k]] for k in some])[0])
             logit, _ = self.logits(x, turned)
             for j, k in enumerate(some):
                 answers[k] = logit[: len(pages[k]), j] > 0
@@ -205,8 +217,17 @@ def made_up(count: int, seed: int) -> tuple[list[list[Block]], list[np.ndarray]]
 
 @lru_cache(maxsize=1)
 def labeller() -> BlockLabeller:
-    """The trained model; made once per session on the driver, from nothing but the seed."""
-    return BlockLabeller().train(*made_up(PAGES, SEED))
+    """The trained model, read from its file on the driver."""
+    model = BlockLabeller()
+    with np.load(WEIGHTS) as kept:
+        for k, p in enumerate(model.parameters()):
+            p[...] = kept[f"p{k}"]
+    return model
+
+
+def train_and_keep() -> None:
+    model = BlockLabeller().train(*made_up(PAGES, SEED))
+    np.savez_compressed(WEIGHTS, **{f"p{k}": p.astype(np.float16) for k, p in enumerate(model.parameters())})
 
 
 def main_texts(model: BlockLabeller, pages: list[str | None]) -> list[str]:
@@ -218,7 +239,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every page, its blocks joined by line feeds.
 
     A null or empty page, or one without main text, has the empty text. Broken markup is read as far as it
-    goes. Repeated rows and null ids keep their rows; an empty table gives no rows.
+    goes. Repeated rows and null ids keep their rows; an empty table gives no rows. A very long page is read and labelled
+    whole, in time in proportion to it. Columns other than page_id, url and html aren't read.
     """
     model = pages.sparkSession.sparkContext.broadcast(labeller())
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -231,3 +253,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=schema)
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    train_and_keep()

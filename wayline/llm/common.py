@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-MOST_LABELS = 250  # more don't fit the driver's sample
+MOST_CHARS = 1 << 27  # of a sample, on the driver
+LEAST_EACH, LEAST_CHARS = 20, 200  # rows of a label and characters of a row that a sample has at least
 _own_dir: list[str] = []
 
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="wayline-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -41,24 +44,28 @@ def id_bucket(column: str, modulus: int) -> F.Column:
 
 
 def label_sample(df: DataFrame, label: str, per_label: int, max_chars: int = 20_000) -> list:
-    """A bounded sample of labelled rows for fitting: about ``per_label`` rows (text, label) of each label value.
+    """A bounded sample of labelled rows for fitting: ``per_label`` rows (text, label) of each label value, or all it has.
 
-    Rows are taken in the order of a hash of doc_id, so a rerun takes the same ones. Texts of over
-    ``max_chars`` characters are not used for fitting. Every label is sampled by itself, however many there are;
-    at most per_label * labels * max_chars characters reach the driver, and over MOST_LABELS labels are an error.
+    Rows are taken in the order of a hash of doc_id, so a rerun takes the same ones. Of a text of over ``max_chars``
+    characters a window of that many, at a place by hash, is taken. Every label is sampled by itself, however many
+    there are. At most MOST_CHARS characters reach the driver: with very many labels each has fewer rows,
+    LEAST_EACH at least, of shorter windows; over MOST_CHARS / (LEAST_EACH * LEAST_CHARS) labels are an error.
     """
-    usable = df.select("doc_id", "text", F.col(label).alias("label")).where(
-        F.col("label").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars)
-    )
-    counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} different values of {label}")
+    usable = df.select("doc_id", "text", F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col("text").isNotNull())
+    most = MOST_CHARS // (LEAST_EACH * LEAST_CHARS)
+    counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"more than {most} different values of {label}")
     if not counts:
         return []
+    each = min(per_label, max(LEAST_EACH, MOST_CHARS // (len(counts) * max_chars)))
+    chars = min(max_chars, MOST_CHARS // (len(counts) * each))
     wide = 1 << 30
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 1.2 * per_label / n) * wide))])
+    # a label's threshold lets twice the rows through and some more: enough but for a chance that is nil
+    shares = df.sparkSession.createDataFrame([(k, int(min(1.0, (2 * each + 20) / n) * wide)) for k, n in counts.items()], usable.select("label", F.lit(0).alias("share")).schema)
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(wide))
-    picked = usable.where(F.element_at(share, F.col("label")) >= place).withColumn("place", place)
+    picked = usable.join(F.broadcast(shares), "label").where(F.col("share") > place).withColumn("place", place)
     turn = F.row_number().over(W.partitionBy("label").orderBy("place", "doc_id", "text"))
-    rows = picked.withColumn("turn", turn).where(F.col("turn") <= per_label).orderBy("place", "doc_id", "text")
-    return [(r["text"], r["label"]) for r in rows.select("text", "label").collect()]
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
+    rows = picked.withColumn("turn", turn).where(F.col("turn") <= each).orderBy("place", "doc_id", "text")
+    return [(r["text"], r["label"]) for r in rows.select(F.substr("text", start, F.lit(chars)).alias("text"), "label").collect()]

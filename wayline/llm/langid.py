@@ -165,7 +165,8 @@ def identify(docs: DataFrame, trees: ContextTrees) -> DataFrame:
 
     score is the shortest code's share among all codes, 1 where it is far shorter. A text that is null or
     without a letter is ``und`` with score 0; so is every text where no language was learned. Equal code
-    lengths go to the language first by name. Repeated rows and null ids keep their rows.
+    lengths go to the language first by name. Repeated rows and null ids keep their rows; an empty table gives no
+    rows. Very long texts are scored whole, in pieces side by side. Other columns of ``docs`` aren't read.
     """
     model = docs.sparkSession.sparkContext.broadcast(trees)
 

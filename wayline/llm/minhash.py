@@ -114,7 +114,9 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, bins: int = BINS, bits: in
 
     One row per row of ``docs``. The next document is the one after in the order of doc_id, null first, then
     text; after the last comes the first. A null text counts as empty; the fingerprint of a text without
-    words is the empty string. An empty table gives no rows.
+    words is the empty string. An empty table gives no rows. Very long texts are hashed whole. Repeated rows follow each
+    other; null ids are one range of the order, so a table with very many of them has them in one task. Other
+    columns of ``docs`` aren't read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 

@@ -101,7 +101,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
 
     Null doc_id, source or text: kept; a null source is a source of its own, a null or blank text has size
     0 and is never taken. Repeated rows are dealt like different documents. Ties in the shuffle order fall
-    by doc_id, then row. An empty table, or one without words, gives target 0 and taken 0.
+    by doc_id, then row. An empty table, or one without words, gives target 0 and taken 0. A very long text is counted
+    whole and lies in many blocks. Only doc_id, text and source of ``docs`` are read.
     """
     sized = cut(sizes(docs), "mix-sizes")
     table = cut(targets(sized, weights, epochs), "mix-targets")
@@ -128,7 +129,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: every document as often as its words are taken, to the nearest whole time.
 
     A line is taken from its start, so all but a document or two of a source are taken whole times. Documents
-    that the mix doesn't take go. Rows repeated with the same doc_id, source and text share what they have.
+    that the mix doesn't take go, those without words and with a null text among them. Rows repeated with the same doc_id
+    and text share what they have. An empty table stays empty; all columns are kept, whatever their names.
     """
     mixed, _ = mix(docs, **options)
     taken = mixed.where("taken > 0").groupBy("doc_id", "text_hash")

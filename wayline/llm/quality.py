@@ -122,8 +122,8 @@ class Ranker:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Ranker:
-    """Fitted on a bounded sample of the labelled rows outside the held-out fold."""
-    known = labels.where(id_bucket("doc_id", 5) != 0).select("doc_id", "quality").where("quality in (0, 1)").dropDuplicates(["doc_id"])
+    """Fitted on a bounded sample of the labelled rows outside the held-out fold; of clashing labels 0 holds."""
+    known = labels.where(id_bucket("doc_id", 5) != 0).where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     return Ranker.fit(label_sample(docs.select("doc_id", "text").join(known, "doc_id"), "quality", per_label))
 
 
@@ -131,7 +131,9 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of ``docs``.
 
     A null or blank text is scored by the features of an empty one. Without labels of both kinds every
-    score is THRESHOLD, and so predicted 1. Repeated rows and null ids keep their rows.
+    score is THRESHOLD, and so predicted 1; a score that ties with it is 1 too. Repeated rows and null ids keep their
+    rows and equal texts have equal scores; an empty table gives no rows. Very long texts are read whole. Other columns of
+    ``docs`` aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +147,10 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
-    """The rows of ``docs`` that are predicted 1, all columns, in one pass without a shuffle."""
+    """The rows of ``docs`` that are predicted 1, all columns whatever their names, in one pass without a shuffle.
+
+    Nulls, empty and very long texts, ties and repeated rows are as in ``score``; an empty table stays empty.
+    """
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

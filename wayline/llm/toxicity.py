@@ -4,8 +4,10 @@ A word is the average of the vectors of its character n-grams and of itself. A b
 of its different words' vectors, and a linear softmax on it gives the two classes. Words never seen share
 the vectors of their n-grams, so a misspelling or a new ending of a toxic word lies near it.
 
-A text is scored in overlapping windows of words, each a bag, and its most toxic window counts, so that a
-toxic passage isn't averaged away in a long text. A bag of few words is filled up with neutral ones.
+A text is scored in overlapping windows of several lengths, each a bag, and as a whole. The most toxic window of each
+length counts, so that neither a toxic passage is averaged away in a long text nor toxic words that are strewn thinly
+are missed; a bag of few words is filled up with neutral ones, and a word counts again only after AGAIN others.
+Learned on texts that the vectors weren't trained on, a logistic sum of these logits is the score.
 After training, vectors and softmax weights fold into one number a word.
 """
 
@@ -26,10 +28,13 @@ from .common import id_bucket, label_sample
 PER_LABEL = 3_000  # labelled documents of either label to fit on
 SIZES = (3, 4, 5)
 DIMENSIONS = 8
-WINDOW, STRIDE = 24, 12
-FULL = 24  # words of a bag, neutral ones included, at least
+SCALES = (12, 48, 192)  # words of a window
+TRAINED = (96, 12)  # words of the bags of the first training and of the second
+AGAIN = 256  # words after which a word counts again
+RIDGE = 0.1
 EPOCHS = 6
-LEAST_SEEN = 12  # times that a subword must occur to have a vector; what is rarer would be learned by heart
+LEAST_SHARE = 1 / 150  # of the training bags must hold a subword for it to have a vector; what is rarer would be learned by heart
+LEAST_SEEN = 3
 BAGS_EACH = 60  # windows of a text to train on, at most
 MOST_BAGS = 24_000  # windows of either label to train on, about
 THRESHOLD = 0.7
@@ -48,62 +53,62 @@ def subwords(word: str) -> list[str]:
 class SubwordSoftmax:
     weight: dict[str, float]  # per subword: its part of the toxic logit less the other; 0 for all others
     bias: float = 0.0
-    scale: tuple[float, float] = (1.0, 0.0)
+    scale: tuple[np.ndarray, float] = (np.zeros(len(SCALES) + 1), 0.0)
     cache: dict[str, int] = field(default_factory=dict, repr=False)
     score_of: list[float] = field(default_factory=lambda: [0.0], repr=False)
 
     @classmethod
     def fit(cls, sample: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS) -> SubwordSoftmax:
-        """Train on windows of a labelled sample: first on random ones, then, of each toxic text, on those
+        """Train on windows of a labelled sample: first on random wide ones, then, of each toxic text, on the narrow ones
         that the first model finds most toxic, since the label holds for the text and not for all of it."""
         labels = np.array([int(k) for _, k in sample], int)
         if len(set(labels.tolist())) < 2:  # nothing to tell apart: no text is called toxic
-            return cls({}, 0.0, (1.0, -1.0))
+            return cls({}, 0.0, (np.zeros(len(SCALES) + 1), -1.0))
         rng = np.random.default_rng(seed)
-        calibrates = rng.permutation(len(sample)) % 5 == 0
+        calibrates = rng.permutation(len(sample)) % 4 == 0
         texts = [WORDS.findall(t.lower()) for t, _ in sample]
         train = np.flatnonzero(~calibrates)
-
         of_label = np.bincount(labels[train], minlength=2)
         each = np.clip(MOST_BAGS // np.maximum(1, of_label), 4, BAGS_EACH)
 
-        def random_bags(words: list[str], label: int) -> list[list[str]]:
-            starts = rng.choice(max(1, len(words) - STRIDE), min(each[label], 1 + len(words) // WINDOW), replace=False)
-            return [words[k : k + WINDOW] for k in starts]
+        def random_bags(words: list[str], label: int, window: int) -> list[list[str]]:
+            starts = rng.choice(max(1, len(words) - window // 2), min(each[label], 1 + len(words) // window), replace=False)
+            return [words[k : k + window] for k in starts]
 
-        bags = [(bag, labels[k]) for k in train for bag in random_bags(texts[k], labels[k])]
-        made = cls.trained(bags, rng, epochs // 2)
+        wide, narrow = TRAINED
+        made = cls.trained([(bag, labels[k]) for k in train for bag in random_bags(texts[k], labels[k], wide)], rng, epochs, wide)
         bags = []
         for k in train:
             if labels[k] == 1:
-                logits = made.window_logits(texts[k])
-                worst = np.argsort(-logits, kind="stable")[: each[1]]
-                worst = [w for w in worst if logits[w] > 0] or worst[:1]
-                bags += [(texts[k][w * STRIDE : w * STRIDE + WINDOW], 1) for w in worst]
+                sums, step = made.window_sums(made.word_scores(texts[k]), narrow)
+                worst = np.argsort(-sums, kind="stable")[: each[1]]
+                worst = [w for w in worst if sums[w] / narrow + made.bias > 0] or worst[:1]
+                bags += [(texts[k][w * step : w * step + narrow], 1) for w in worst]
             else:
-                bags += [(bag, 0) for bag in random_bags(texts[k], labels[k])]
-        made = cls.trained(bags, rng, epochs)
-        logit = np.array([made.logit(sample[k][0]) for k in np.flatnonzero(calibrates)])
-        made.scale = calibrated(logit, labels[calibrates])
+                bags += [(bag, 0) for bag in random_bags(texts[k], labels[k], narrow)]
+        made = cls.trained(bags, rng, epochs, narrow)
+        apart = np.flatnonzero(calibrates)
+        made.scale = calibrated(np.array([made.logits(texts[k]) for k in apart]), labels[apart])
         made.cache, made.score_of = {}, [0.0]
         return made
 
     @classmethod
-    def trained(cls, bags: list[tuple[list[str], int]], rng: np.random.Generator, epochs: int) -> SubwordSoftmax:
-        """Vectors and softmax by AdaGrad on the cross-entropy of small batches of bags, both labels weighing the same."""
+    def trained(cls, bags: list[tuple[list[str], int]], rng: np.random.Generator, epochs: int, full: int) -> SubwordSoftmax:
+        """Vectors and softmax by AdaGrad on the cross-entropy of small batches of bags (of ``full`` words, neutral ones
+        included), both labels weighing the same."""
         uses = Counter(w for words, _ in bags for w in set(words))
         parts = {w: subwords(w) for w in uses}
         seen: Counter = Counter()
         for w, n in uses.items():
             for gram in parts[w]:
                 seen[gram] += n
-        known = {gram: k for k, gram in enumerate(sorted(g for g, n in seen.items() if n >= LEAST_SEEN))}
+        known = {gram: k for k, gram in enumerate(sorted(g for g, n in seen.items() if n >= max(LEAST_SEEN, LEAST_SHARE * len(bags))))}
         ids_of = {w: np.array([known[g] for g in grams if g in known], np.int32) for w, grams in parts.items()}
         rows = []
         for words, _ in bags:
             own = sorted(set(words))
             got = [ids_of[w] for w in own]
-            each = np.array([1 / (len(parts[w]) * max(FULL, len(own))) for w in own], np.float32)
+            each = np.array([1 / (len(parts[w]) * max(full, len(own))) for w in own], np.float32)
             rows.append((np.concatenate([*got, np.empty(0, np.int32)]), np.repeat(each, [len(g) for g in got])))
         labels = np.array([k for _, k in bags], int)
         balance = np.array([0.5 / max(1, (labels == k).sum()) for k in (0, 1)]) * len(bags)
@@ -142,60 +147,73 @@ class SubwordSoftmax:
         self.cache[word] = len(self.score_of) - 1
         return len(self.score_of) - 1
 
-    def window_logits(self, words: list[str]) -> np.ndarray:
-        """Logits of the windows; the bias alone for a text without words."""
-        scores = np.empty(len(words))
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """The number of each word; 0 for one that stood within the last AGAIN words."""
+        scores, places = np.empty(len(words)), np.empty(len(words), np.int64)
+        number: dict[str, int] = {}
         for at in range(0, len(words), 4096):  # a part at a time, as places are reused when the cache is full
             part = words[at : at + 4096]
             if len(self.cache) + len(part) > MOST_CACHED:
                 self.cache, self.score_of = {}, [0.0]
             get = self.cache.get
             scores[at : at + len(part)] = [self.score_of[get(w) or self.place(w)] for w in part]
-        found = []
-        for at in range(0, max(1, len(words) - STRIDE), STRIDE):
-            own = dict(zip(words[at : at + WINDOW], scores[at : at + WINDOW].tolist()))
-            found.append(sum(own.values()) / max(FULL, len(own)))
-        return np.array(found) + self.bias
-
-    def logit(self, text: str | None) -> float:
-        return float(self.window_logits(WORDS.findall((text or "").lower())).max())
+            places[at : at + len(part)] = [number.setdefault(w, len(number)) for w in part]
+        order = np.argsort(places, kind="stable")
+        again = (places[order][1:] == places[order][:-1]) & (np.diff(order) <= AGAIN)
+        scores[order[1:][again]] = 0.0
+        return scores
+
+    @staticmethod
+    def window_sums(scores: np.ndarray, window: int) -> tuple[np.ndarray, int]:
+        """Sums over windows, and from how many words to how many they start."""
+        upto, step = np.r_[0.0, np.cumsum(scores)], window // 4
+        starts = np.arange(0, max(1, len(scores) - window + step), step)
+        return upto[np.minimum(starts + window, len(scores))] - upto[starts], step
+
+    def logits(self, words: list[str]) -> list[float]:
+        """Of the most toxic window of each length and of the whole text; the bias alone without words."""
+        scores = self.word_scores(words)
+        each = [self.window_sums(scores, window)[0].max() / window for window in SCALES]
+        return [self.bias + x for x in (*each, scores.sum() / max(SCALES[-1], len(scores)))]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * np.array([self.logit(t) for t in texts]) + b, -50, 50)))
+        logits = np.array([self.logits(WORDS.findall((t or "").lower())) for t in texts]).reshape(len(texts), len(SCALES) + 1)
+        return 1 / (1 + np.exp(-np.clip(logits @ a + b, -50, 50)))
 
 
-def calibrated(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that make logits probabilities, on texts that training has not seen; smoothed targets."""
+def calibrated(logit: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift that make rows of logits probabilities, on texts that training has not seen; smoothed targets."""
     if len(set(label.tolist())) < 2:
-        return 1.0, 0.0
+        return np.full(logit.shape[1], 1 / logit.shape[1]), 0.0
     goal = np.where(label == 1, (label.sum() + 1) / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
-    mean, spread = logit.mean(), logit.std() + 1e-9
-    x, a, b = (logit - mean) / spread, 1.0, 0.0
+    mean, spread = logit.mean(0), logit.std(0) + 1e-9
+    x = np.hstack([(logit - mean) / spread, np.ones((len(logit), 1))])
+    ridge, w = np.r_[np.full(logit.shape[1], RIDGE), 1e-6], np.r_[np.full(logit.shape[1], 0.3), 0.0]
     for _ in range(200):  # Newton with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -50, 50)))
-        g = np.array([((p - goal) * x).sum() + 1e-3 * a, (p - goal).sum()])
-        w = p * (1 - p) + 1e-9
-        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - goal) + ridge * w
+        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge + 1e-9)
         step = np.linalg.solve(h, g)
         step *= min(1.0, 1.0 / max(1e-9, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(a / spread), float(b - a * mean / spread)
+    return w[:-1] / spread, float(w[-1] - (w[:-1] * mean / spread).sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> SubwordSoftmax:
-    """Fitted on a bounded sample of the labelled rows outside the held-out fold."""
-    known = labels.where(id_bucket("doc_id", 3) != 1).select("doc_id", "toxic").where("toxic in (0, 1)").dropDuplicates(["doc_id"])
+    """Fitted on a bounded sample of the labelled rows outside the held-out fold; of clashing labels 1 holds."""
+    known = labels.where(id_bucket("doc_id", 3) != 1).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     return SubwordSoftmax.fit(label_sample(docs.select("doc_id", "text").join(known, "doc_id"), "toxic", per_label))
 
 
 def score(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of ``docs``.
 
-    A text without words has the score of the bias alone (neutral words). Without labels of both kinds no text is predicted
-    toxic. Repeated rows and null ids keep their rows.
+    A text without words, a null one too, has the score of the bias alone (neutral words). Without labels of both kinds no
+    text is predicted toxic. Repeated rows and null ids keep their rows and equal texts have equal scores; an empty
+    table gives no rows. Very long texts are scored whole. Other columns of ``docs`` aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .geo import Value, col
 
+# fixed values: how timestamps are written
 STAMP = "yyyy-MM-dd HH:mm:ss"
 STAMP_PATTERN = r"[\d-]+ [\d:]+"
 
@@ -25,6 +26,7 @@ def eta(text: Value) -> Column:
     return F.try_to_timestamp(last, F.lit("y-M-d H:m:s"))
 
 
+# fixed values: how answers write what they predict
 def top1(text: Value) -> Column:
     """Predicted road id as text."""
     return F.coalesce(F.trim(found(text, r"<<<([^>]+?)>>>")), found(text, r"Top-1 prediction:\s*(\d+)"))
@@ -32,7 +34,7 @@ def top1(text: Value) -> Column:
 
 def top5(text: Value) -> Column:
     """Predicted road ids as an array of text, NULL where none are given."""
-    inner = F.coalesce(found(text, r"\[\[\[([^\]]*)\]\]\]"), found(text, r"Top-5 candidates:\s*\[+([^\]]*)\]"))
+    inner = F.coalesce(found(text, r"\[\[\[([^\]]+)\]\]\]"), found(text, r"Top-5 candidates:\s*\[+([^\]]*)\]"))
     return F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 

@@ -14,9 +14,16 @@ def whole(name: str, test: Column) -> Column:
     return F.count_if(test).cast("bigint").alias(name)
 
 
+def first_per(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: the first by ``order``, else by all columns, so that a repeated key doesn't multiply what it meets."""
+    rest = [c for c in rows.columns if c != key]
+    row = F.struct(*([order] if order else []), *rest)
+    return rows.groupBy(key).agg(F.min(row).alias("first")).select(key, *[F.col(f"first.{c}").alias(c) for c in rest])
+
+
 def arrival_errors(answers: DataFrame, trips: DataFrame) -> DataFrame:
-    """Per answer (devid, text) of trips (devid, start_ts, end_ts): eta, error_s, duration_s; NULLs where an answer or its trip is missing."""
-    rows = answers.withColumn("eta", parse.eta("text")).join(trips, "devid", "left")
+    """Per answer (devid, text) of trips (devid, start_ts, end_ts): eta, error_s, duration_s; NULLs where an answer or its trip is missing. Of a repeated trip the first counts."""
+    rows = answers.withColumn("eta", parse.eta("text")).join(first_per(trips, "devid"), "devid", "left")
     return rows.select("devid", "eta", parse.seconds_between("eta", "end_ts").alias("error_s"), parse.seconds_between("start_ts", "end_ts").alias("duration_s"))
 
 
@@ -32,8 +39,8 @@ def arrival_metrics(errors: DataFrame) -> DataFrame:
 
 
 def next_road_hits(answers: DataFrame, truth: DataFrame) -> DataFrame:
-    """Per answer with a truth (devid, label) and something to read: top1, top5, hit1, hit5. Ids are compared as text."""
-    rows = answers.select("devid", parse.top1("text").alias("top1"), parse.top5("text").alias("top5")).join(truth, "devid")
+    """Per answer with a truth (devid, label) and something to read: top1, top5, hit1, hit5. Ids are compared as text; of a repeated truth the first counts."""
+    rows = answers.select("devid", parse.top1("text").alias("top1"), parse.top5("text").alias("top5")).join(first_per(truth, "devid"), "devid")
     rows = rows.where(F.col("label").isNotNull() & (F.col("top1").isNotNull() | (F.coalesce(F.size("top5"), F.lit(0)) > 0)))
     label = F.col("label").cast("string")
     return rows.select("devid", "top1", "top5", "label", F.coalesce(F.col("top1") == label, F.lit(False)).alias("hit1"), F.coalesce(F.array_contains("top5", label), F.lit(False)).alias("hit5"))
@@ -85,6 +92,11 @@ def wrong(results: DataFrame) -> DataFrame:
     return results.withColumn("kind", kind).where("kind is not null")
 
 
+def misclassified(results: DataFrame) -> DataFrame:
+    """The answers that can be read and are wrong, with all columns of (truth, prediction, ...)."""
+    return results.where("prediction is not null and truth <> prediction")
+
+
 def mode_metrics(results: DataFrame) -> DataFrame:
     """n, correct, accuracy, macro_f1, weighted_f1 in percent of (truth, prediction).
 

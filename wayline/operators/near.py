@@ -28,6 +28,20 @@ def cells(low_lon: Column, high_lon: Column, low_lat: Column, high_lat: Column,
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
+def in_cells(rows: DataFrame, low_lon: Column, high_lon: Column, low_lat: Column, high_lat: Column, reach: float, cell: float = CELL) -> DataFrame:
+    """``rows`` once per cell (cx, cy) of their box widened by ``reach`` metres, and that box as x1, x2, y1, y2."""
+    up = F.lit(reach / 110000.0)
+    side = up / F.greatest(F.lit(0.01), F.cos(F.radians(F.greatest(F.abs(low_lat), F.abs(high_lat)) + up)))
+    rows = rows.withColumns({"x1": low_lon - side, "x2": high_lon + side, "y1": low_lat - up, "y2": high_lat + up})
+    rows = rows.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x1") / cell), F.floor(F.col("x2") / cell))))
+    return rows.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y1") / cell), F.floor(F.col("y2") / cell))))
+
+
+def in_box(lon: str, lat: str) -> Column:
+    """A plain test of the widened box, before any trigonometry."""
+    return F.col(lon).between(F.col("x1"), F.col("x2")) & F.col(lat).between(F.col("y1"), F.col("y2"))
+
+
 def by_cell(rows: DataFrame, lon: str = "lon", lat: str = "lat", cell: float = CELL) -> DataFrame:
     return rows.withColumns({"cx": F.floor(F.col(lon) / cell), "cy": F.floor(F.col(lat) / cell)})
 
@@ -53,9 +67,8 @@ def edges_near(points: DataFrame, edges: DataFrame, threshold: float = 0.001, la
     reach = threshold * DEGREE
     used = points if last is None else from_end(points, last).drop("back")
     lines = pieces(edges.where(F.size("geometry") >= 2))
-    box = cells(F.least("lon1", "lon2"), F.greatest("lon1", "lon2"), F.least("lat1", "lat2"), F.greatest("lat1", "lat2"), reach, cell)
-    lines = lines.withColumn("cell", F.explode(box)).select("*", "cell.cx", "cell.cy").drop("cell")
-    met = by_cell(used.select("devid", "lon", "lat"), cell=cell).join(lines, ["cx", "cy"])
+    lines = in_cells(lines, F.least("lon1", "lon2"), F.greatest("lon1", "lon2"), F.least("lat1", "lat2"), F.greatest("lat1", "lat2"), reach, cell)
+    met = by_cell(used.select("devid", "lon", "lat"), cell=cell).join(lines, ["cx", "cy"]).where(in_box("lon", "lat"))
     met = met.withColumn("dist", geo.point_segment_distance("lat", "lon", "lat1", "lon1", "lat2", "lon2")).where(F.col("dist") < reach)
     ends = [F.min_by(c, "seq").alias(f"{c}_a") for c in ("lon", "lat")] + [F.max_by(c, "seq").alias(f"{c}_b") for c in ("lon", "lat")]
     if gap is not None:
@@ -71,10 +84,9 @@ def nodes_near(points: DataFrame, nodes: DataFrame, threshold: float = 0.001, ce
     """devid, osmid, dist: nodes in a trajectory's bounds and nearer than ``threshold`` degrees to its line."""
     reach = threshold * DEGREE
     lines = steps(points).select("devid", "lon", "lat", "lon2", "lat2")
-    box = cells(F.least("lon", "lon2"), F.greatest("lon", "lon2"), F.least("lat", "lat2"), F.greatest("lat", "lat2"), reach, cell)
-    lines = lines.withColumn("cell", F.explode(box)).select("*", "cell.cx", "cell.cy").drop("cell")
+    lines = in_cells(lines, F.least("lon", "lon2"), F.greatest("lon", "lon2"), F.least("lat", "lat2"), F.greatest("lat", "lat2"), reach, cell)
     spots = by_cell(nodes.select("osmid", F.col("lon").alias("x"), F.col("lat").alias("y")), "x", "y", cell)
-    met = spots.join(lines, ["cx", "cy"]).withColumn("dist", geo.point_segment_distance("y", "x", "lat", "lon", "lat2", "lon2"))
+    met = spots.join(lines, ["cx", "cy"]).where(in_box("x", "y")).withColumn("dist", geo.point_segment_distance("y", "x", "lat", "lon", "lat2", "lon2"))
     return met.where(F.col("dist") < reach).groupBy("devid", "osmid").agg(F.min("dist").alias("dist"))  # the bounds' buffer is wider than the reach
 
 

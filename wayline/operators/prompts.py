@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from wayline.functions import parse
 
@@ -143,6 +144,21 @@ def messages(prompts: DataFrame, slots: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"devid {prompts.schema['devid'].dataType.simpleString()}, pos bigint, type string, content string")
 
 
+END_VIEW = "last_trajectory_"
+
+
+def gallery(prompts: DataFrame, pictures: DataFrame, end_views: bool) -> DataFrame:
+    """devid, pos, type, content: the text of each prompt (devid, text), then its pictures (devid, filename, picture) by name.
+
+    With ``end_views`` only the views of the end point go with it (next road), else all but those (anomalies).
+    """
+    wanted = F.col("filename").startswith(END_VIEW)
+    chosen = pictures.where(wanted if end_views else ~wanted).join(prompts.select("devid").distinct(), "devid", "left_semi")
+    place = F.row_number().over(W.partitionBy("devid").orderBy("filename", "picture")).cast("bigint")
+    text = prompts.select("devid", F.lit(0).cast("bigint").alias("pos"), F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("content"))
+    return text.unionByName(chosen.select("devid", place.alias("pos"), F.lit("image_url").alias("type"), F.col("picture").alias("content")))
+
+
 def offline_answer(system: str, message: list[tuple[str, str]]) -> str:
     """Stands in for a model: says how much it was given."""
     return f"{len(message)} parts, {sum(len(c) for k, c in message if k == 'text')} characters, {sum(k != 'text' for k, _ in message)} pictures"

@@ -142,18 +142,18 @@ _BAND = ", ".join(f"sum(o.speed) FILTER (abs(o.t - a.moment) <= {w}) AS s{w}, co
 _CHOICE = " ".join(f"WHEN n{w} >= {_LEAST} THEN s{w} / n{w}" for w in _WINDOWS)
 
 
-@query(with_("steps", asked="SELECT devid AS ask_id, road_id, t AS moment FROM points WHERE seq % 10 = 0", seen="SELECT road_id, t, speed FROM steps WHERE dt > 0",
+@query(with_("steps", asked="SELECT devid AS ask_id, road_id, t AS moment FROM points", seen="SELECT road_id, t, speed FROM steps WHERE dt > 0",
     near=f"SELECT a.ask_id, a.road_id, a.moment, {_BAND}, sum(o.speed) AS s, count(o.speed) AS n FROM asked a LEFT JOIN seen o USING (road_id) GROUP BY a.ask_id, a.road_id, a.moment",
     body=f"SELECT ask_id, road_id, moment, round(CASE {_CHOICE} WHEN n > 0 THEN s / n END, 6) AS speed FROM near"))
 def adaptive_avg_speed(spark: SparkSession, d: str) -> DataFrame:
-    """Speeds asked at every tenth point, as its SQL has it; adaptive_avg_speed_all asks at every point."""
+    """Speeds asked at every point."""
     points = points_of(spark, d)
-    return asked_speeds(points, points.where("seq % 10 = 0"))
+    return asked_speeds(points, points)
 
 
 @query()
 def adaptive_avg_speed_all(spark: SparkSession, d: str) -> DataFrame:
-    """Speeds asked at every point."""
+    """The same under its earlier name, tested against brute force."""
     points = points_of(spark, d)
     return asked_speeds(points, points)
 

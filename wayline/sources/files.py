@@ -15,7 +15,7 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """folder, filename, text: whole text files below a folder."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True, recursiveFileLookup=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     return files.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("filename"), F.col("value").alias("text"))
 
@@ -32,6 +32,18 @@ def write_segments(segments: DataFrame, path: str) -> None:
     shaped.write.mode("overwrite").partitionBy("bucket").json(path)
 
 
+def in_sources(files: DataFrame, root: str) -> DataFrame:
+    """``files`` (with path) below ``root``/dataset/source path/folder, with dataset and source_path, as the catalog takes them."""
+    inner = F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/")
+    middle = F.array_join(F.slice(inner, 2, F.greatest(F.size(inner) - 3, F.lit(0))), "/")
+    return files.where(F.size(inner) >= 3).withColumns({"dataset": inner[0], "source_path": middle})
+
+
+def write_truth(rows: DataFrame, path: str) -> None:
+    """Ground truth (devid, arrival) as Parquet, the arrival as text in the form of the answers."""
+    rows.select("devid", F.date_format("arrival", "yyyy-MM-dd HH:mm:ss").alias("arrival")).write.mode("overwrite").parquet(path)
+
+
 def write_texts(rows: DataFrame, path: str) -> None:
     """Prompts or answers (devid, task, text) as Parquet by task."""
     rows.write.mode("overwrite").partitionBy("task").parquet(path)

@@ -43,15 +43,22 @@ def id_bucket(column: str, modulus: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def label_sample(df: DataFrame, label: str, per_label: int, max_chars: int = 20_000) -> list:
+def label_sample(docs: DataFrame, label: str, per_label: int, max_chars: int = 20_000, labels: DataFrame | None = None) -> list:
     """A bounded sample of labelled rows for fitting: ``per_label`` rows (text, label) of each label value, or all it has.
 
-    Rows are taken in the order of a hash of doc_id, so a rerun takes the same ones. Of a text of over ``max_chars``
+    The label is a column of ``docs``, or of ``labels`` with one row per doc_id. Rows are chosen by a hash alone, in its
+    order, so a rerun takes the same ones; only the texts of the chosen ones move. Of a text of over ``max_chars``
     characters a window of that many, at a place by hash, is taken. Every label is sampled by itself, however many
     there are. At most MOST_CHARS characters reach the driver: with very many labels each has fewer rows,
     LEAST_EACH at least, of shorter windows; over MOST_CHARS / (LEAST_EACH * LEAST_CHARS) labels are an error.
     """
-    usable = df.select("doc_id", "text", F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col("text").isNotNull())
+    place = F.xxhash64("doc_id", "text")
+    texts = docs.where(F.col("text").isNotNull())
+    if labels is None:
+        usable = texts.select("doc_id", place.alias("place"), F.col(label).alias("label"))
+    else:
+        usable = texts.select("doc_id", place.alias("place")).join(labels.select("doc_id", F.col(label).alias("label")), "doc_id")
+    usable = usable.where(F.col("label").isNotNull())
     most = MOST_CHARS // (LEAST_EACH * LEAST_CHARS)
     counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).limit(most + 1).collect()}
     if len(counts) > most:
@@ -62,10 +69,13 @@ def label_sample(df: DataFrame, label: str, per_label: int, max_chars: int = 20_
     chars = min(max_chars, MOST_CHARS // (len(counts) * each))
     wide = 1 << 30
     # a label's threshold lets twice the rows through and some more: enough but for a chance that is nil
-    shares = df.sparkSession.createDataFrame([(k, int(min(1.0, (2 * each + 20) / n) * wide)) for k, n in counts.items()], usable.select("label", F.lit(0).alias("share")).schema)
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(wide))
-    picked = usable.join(F.broadcast(shares), "label").where(F.col("share") > place).withColumn("place", place)
-    turn = F.row_number().over(W.partitionBy("label").orderBy("place", "doc_id", "text"))
+    shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, (2 * each + 20) / n) * wide)) for k, n in counts.items()], usable.select("label", F.lit(0).alias("share")).schema)
+    picked = usable.join(F.broadcast(shares), "label").where(F.col("share") > F.pmod("place", F.lit(wide)))
+    order = [F.pmod("place", F.lit(wide)), F.col("place"), F.col("doc_id")]
+    chosen = picked.withColumn("turn", F.row_number().over(W.partitionBy("label").orderBy(*order))).where(F.col("turn") <= each)
+    chosen = cut(chosen.groupBy("doc_id", "place", "label").agg(F.count("*").alias("times")), "chosen")  # at most each * labels rows
     start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
-    rows = picked.withColumn("turn", turn).where(F.col("turn") <= each).orderBy("place", "doc_id", "text")
-    return [(r["text"], r["label"]) for r in rows.select(F.substr("text", start, F.lit(chars)).alias("text"), "label").collect()]
+    met = texts.select("doc_id", "text", place.alias("place")).join(F.broadcast(chosen.select(F.col("doc_id").alias("id"), F.col("place").alias("at"), "label", "times")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("place") == F.col("at")))
+    rows = met.select("doc_id", "place", "label", "times", F.substr("text", start, F.lit(chars)).alias("text")).distinct().collect()
+    rows.sort(key=lambda r: (r["place"] % wide, r["place"], r["doc_id"] or 0, r["text"]))
+    return [(r["text"], r["label"]) for r in rows for _ in range(r["times"])]

@@ -124,7 +124,7 @@ class Ranker:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Ranker:
     """Fitted on a bounded sample of the labelled rows outside the held-out fold; of clashing labels 0 holds."""
     known = labels.where(id_bucket("doc_id", 5) != 0).where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return Ranker.fit(label_sample(docs.select("doc_id", "text").join(known, "doc_id"), "quality", per_label))
+    return Ranker.fit(label_sample(docs, "quality", per_label, labels=known))
 
 
 def score(docs: DataFrame, ranker: Ranker) -> DataFrame:

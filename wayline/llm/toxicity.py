@@ -205,7 +205,7 @@ def calibrated(logit: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> SubwordSoftmax:
     """Fitted on a bounded sample of the labelled rows outside the held-out fold; of clashing labels 1 holds."""
     known = labels.where(id_bucket("doc_id", 3) != 1).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return SubwordSoftmax.fit(label_sample(docs.select("doc_id", "text").join(known, "doc_id"), "toxic", per_label))
+    return SubwordSoftmax.fit(label_sample(docs, "toxic", per_label, labels=known))
 
 
 def score(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:

@@ -63,6 +63,19 @@ def tested(rows: DataFrame, filled: DataFrame, slots: int, sha: str = "text_sha2
     return rows.select(*[F.col(f"`{c}`") for c in names], found.alias(maybe))
 
 
+def possible(rows: DataFrame, hash_: F.Column, hashes: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the column \\x00maybe: true if their hash is among the ``n`` hashes (one long column), and for one in 16 or fewer others.
+
+    The filter is 64 MB at most: of over 33 million hashes it lets more other rows through, never fewer of those asked for.
+    """
+    slots = min(sized(n), 1 << 29)
+    place = F.pmod(hash_, F.lit(slots))
+    each = hashes.select(F.pmod(hashes.columns[0], F.lit(slots)).alias("slot")).groupBy(F.floor(F.col("slot") / BITMAP_BITS).alias("\x00bucket"))
+    filled = cut(each.agg(F.bitmap_construct_agg(F.col("slot") % BITMAP_BITS).alias("\x00bits")), "filter")
+    met = rows.join(F.broadcast(filled), F.floor(place / BITMAP_BITS) == F.col("\x00bucket"), "left")
+    return met.withColumn("\x00maybe", F.coalesce(bit_is_set("\x00bits", place % BITMAP_BITS), F.lit(False))).drop("\x00bucket", "\x00bits")
+
+
 def sized(rows: int) -> int:
     """Slots for so many rows: a power of two, BITS_EACH a row or up to twice that."""
     return 1 << max(16, (BITS_EACH * max(1, rows) - 1).bit_length())

@@ -1,13 +1,15 @@
 """Operators against plain loops, and invariants."""
 
+import base64
 import random
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wayline.operators import anomaly, evaluate, prompts, segmentation, stats, steps
+from wayline.operators import anomaly, evaluate, models, prompts, segmentation, stats, steps
 from wayline.sources import roads, trajectories
 
 
@@ -153,12 +155,18 @@ def test_mode_metrics_one_class(spark):
     assert (got["n"], got["correct"], got["accuracy"], got["macro_f1"]) == (2, 1, 50.0, None)
 
 
-def test_interleave():
-    slots = {"image1": ("**One:**", "u1"), "image2": ("**Two:**", None)}
-    whole = prompts.interleave("a `image1` b `x` `image2`", slots)
-    assert whole == [("text", "a  **One:** "), ("image_url", "u1"), ("text", " b "), ("text", "`x` **Two:** "), ("text", "`image2`")]
-    parts = prompts.interleave("`image1` tail", slots)
-    assert parts[0] == ("text", "**One:** ") and parts[1] == ("image_url", "u1") and parts[2] == ("text", " tail")
+def test_interleaved(spark):
+    slots = spark.createDataFrame([(1, "image1", "**One:**", "u1"), (1, "image2", "**Two:**", None), (2, "image1", None, "u3")], "devid long, slot string, description string, picture string")
+    texts = [(1, "a `image1` b `x` `image2`"), (2, "`image1` tail"), (3, None), (4, "no marks, one ` alone \n"), (1, " \n")]
+    got = prompts.messages(spark.createDataFrame(texts, "devid long, text string"), slots).collect()
+    parts = lambda k: [(r["type"], r["content"], r["slot"]) for r in sorted(got, key=lambda r: r["pos"]) if r["devid"] == k]
+    assert parts(1) == [("text", "a  **One:** ", None), ("image_url", "u1", "image1"), ("text", " b ", None), ("text", "`x` **Two:** ", None), ("text", "`image2`", None)]
+    assert parts(2) == [("text", " ", None), ("image_url", "u3", "image1"), ("text", " tail", None)]
+    assert parts(3) == [] and parts(4) == [("text", texts[3][1], None)]
+
+
+def parts_of(spark, rows):
+    return spark.createDataFrame(rows, "devid bigint, pos bigint, type string, content string, slot string")
 
 
 def test_answers_keep_errors_in_rows(spark):
@@ -172,11 +180,72 @@ def test_answers_keep_errors_in_rows(spark):
 
         return ask
 
-    parts = spark.createDataFrame([(1, 0, "text", "a"), (2, 0, "text", "b"), (3, 0, "text", "c")], "devid bigint, pos bigint, type string, content string")
-    got = {r["devid"]: (r["response"], r["error_kind"]) for r in prompts.answers(parts, "s", client).collect()}
+    parts = parts_of(spark, [(1, 0, "text", "a", None), (2, 0, "text", "b", None), (3, 0, "text", "c", None)]).drop("slot")
+    got = {r["devid"]: (r["response"], r["error_kind"]) for r in models.answers(parts, "s", client, wait=0.01).collect()}
     assert got == {1: (None, "api"), 2: (None, "general"), 3: ("fine", None)}
 
 
+def test_calls_of_a_partition_overlap(spark):
+    def slow():
+        def ask(system, message):
+            time.sleep(0.25)
+            return message[0][1]
+
+        return ask
+
+    parts = parts_of(spark, [(k, 0, "text", f"q{k}", None) for k in range(24)]).coalesce(1)
+    took = {}
+    for pool in (1, 12):
+        frame = models.answers(parts, "s", slow, pool=pool).coalesce(1)
+        frame.count()
+        began = time.time()
+        got = frame.collect()
+        took[pool] = time.time() - began
+        assert sorted((r["devid"], r["response"]) for r in got) == [(k, f"q{k}") for k in range(24)]
+    assert took[12] < took[1] - 3  # 24 calls take 6 s one by one
+
+
+def test_failed_calls_are_tried_again_a_few_times():
+    calls = []
+
+    def ask(system, message):
+        calls.append(message)
+        if len(calls) % 3:
+            raise ConnectionError("again")
+        return "at last"
+
+    caller = models.Caller("s", lambda: ask, 1, 3, 0.0, None)
+    assert caller.answer(1, [{"type": "text", "content": "x", "slot": None}]) == (1, "at last", None, None) and len(calls) == 3
+    calls.clear()
+    short = models.Caller("s", lambda: ask, 1, 2, 0.0, None)
+    assert short.answer(1, [{"type": "text", "content": "x", "slot": None}]) == (1, None, "api", "again") and len(calls) == 2
+
+
+def test_pictures_are_read_by_the_calling_task(spark, tmp_path):
+    raw = {f"p{k}.png": bytes([137, k]) * 50 for k in range(3)}
+    for name, content in raw.items():
+        (tmp_path / name).write_bytes(content)
+    uri = lambda name: (tmp_path / name).as_uri()
+    rows = [(1, 0, "text", "see ", None), (1, 1, "image_url", uri("p0.png"), "image1"), (1, 2, "image_url", uri("gone.png"), "image2"), (2, 0, "image_url", uri("p1.png"), None), (2, 1, "image_url", str(tmp_path / "no.png"), None)]
+    echo = lambda: lambda system, message: "|".join(f"{k}={c}" for k, c in message)
+    got = {r["devid"]: r["response"] for r in models.answers(parts_of(spark, rows), "s", echo, read=models.read_file).collect()}
+    data = {k: "data:image/png;base64," + base64.b64encode(v).decode() for k, v in raw.items()}
+    assert got == {1: f"text=see |image_url={data['p0.png']}|text=`image2`", 2: f"image_url={data['p1.png']}"}
+
+
+def test_pictures_are_kept_up_to_a_size():
+    reads = []
+
+    def read(path):
+        reads.append(path)
+        return bytes(300)
+
+    kept = models.Pictures(read, 1000)
+    for path in "aabcab":
+        assert len(kept.uri(path)) == 422
+    assert reads == ["a", "b", "c", "a", "b"] and kept.held <= 1000  # two fit
+
+
 def test_single_points(frame):
     points = frame(walk(1))
     assert steps.steps(points).count() == 0 and steps.last_direction(points).count() == 0

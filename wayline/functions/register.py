@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
-from wayline.operators.segmentation import merge_small, ranges, road_starts
+from wayline.operators.segmentation import UPPER, WEIGHTS, Costs, best_cuts, merge_small, road_starts
 
 # bodies in SQL, so that Catalyst inlines them
 FUNCTIONS = {
@@ -24,6 +26,12 @@ FUNCTIONS = {
 }
 
 
+def merged_by_road(lon: tuple, lat: tuple, road: tuple, angle: float = 30.0, reach: int = 5, least: int | None = 30) -> list[list[int]]:
+    starts = road_starts(np.array(lon), np.array(lat), np.array(road), angle, reach)
+    found = [list(range(a, b)) for a, b in zip(starts, [*starts[1:], len(lon)])]
+    return found if least is None else merge_small(found, least)
+
+
 class RoadSegments:
     """seq and segment of the points of one partition, which has devid, seq, lon, lat and road_id in the order of seq."""
 
@@ -37,15 +45,78 @@ class RoadSegments:
         if not self.points:
             return
         _, _, lon, lat, road = zip(*self.points)
-        found = merge_small(ranges(road_starts(np.array(lon), np.array(lat), np.array(road)), len(lon)))
-        for segment, members in enumerate(found):
+        for segment, members in enumerate(merged_by_road(lon, lat, road)):
             for place in members:
                 yield self.points[place][0], self.points[place][1], segment
 
 
+class Segmented:
+    """A table function of any table with devid, seq, lon, lat and road_id: its rows, all columns as they are, with seg and pos behind.
+
+    Partitions by devid and orders by seq by itself; a call doesn't say how.
+    """
+
+    def __init__(self) -> None:
+        self.rows: list[Row] = []
+        self.options: tuple = ()
+
+    @staticmethod
+    def described(points: AnalyzeArgument) -> AnalyzeResult:
+        if not points.isTable:
+            raise ValueError("the first argument is a table")
+        needed = {"devid", "seq", "lon", "lat", "road_id"} - set(points.dataType.fieldNames())
+        if needed:
+            raise ValueError(f"the table has no column {', '.join(sorted(needed))}")
+        schema = StructType([*points.dataType.fields]).add("seg", LongType()).add("pos", LongType())
+        return AnalyzeResult(schema=schema, partitionBy=[PartitioningColumn("devid")], orderBy=[OrderingColumn("seq")])
+
+    def columns(self, *names: str) -> list[tuple]:
+        return [tuple(r[c] for r in self.rows) for c in names]
+
+    def numbered(self, segments: list[list[int]]) -> Iterator[tuple]:
+        for seg, members in enumerate(segments):
+            for pos, place in enumerate(members):
+                yield (*self.rows[place], seg, pos)
+
+
+class SegmentsByRoad(Segmented):
+    @staticmethod
+    def analyze(points: AnalyzeArgument, angle: AnalyzeArgument | None = None, reach: AnalyzeArgument | None = None, least: AnalyzeArgument | None = None) -> AnalyzeResult:
+        return Segmented.described(points)
+
+    def eval(self, points: Row, angle: float = 30.0, reach: int = 5, least: int | None = 30) -> None:
+        self.rows.append(points)
+        self.options = (float(angle), reach, least)
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.rows:
+            yield from self.numbered(merged_by_road(*self.columns("lon", "lat", "road_id"), *self.options))
+
+
+class SegmentsByCost(Segmented):
+    """Also reads t; a trajectory of one point has no segment."""
+
+    @staticmethod
+    def analyze(points: AnalyzeArgument, least: AnalyzeArgument | None = None) -> AnalyzeResult:
+        return Segmented.described(points)
+
+    def eval(self, points: Row, least: int = 10) -> None:
+        self.rows.append(points)
+        self.options = (least,)
+
+    def terminate(self) -> Iterator[tuple]:
+        if len(self.rows) > 1:
+            starts = best_cuts(Costs(*map(np.array, self.columns("lon", "lat", "t", "road_id")), WEIGHTS, UPPER), *self.options)
+            yield from self.numbered([list(range(a, b)) for a, b in zip(starts, [*starts[1:], len(self.rows)])])
+
+
 def register(spark: SparkSession) -> None:
-    """Makes the functions known to the session: ``SELECT haversine_metres(...)``, and
-    ``SELECT * FROM road_segments(TABLE(points) PARTITION BY devid ORDER BY seq)``. A partition's points must fit a task."""
+    """Makes the functions known to the session: ``SELECT haversine_metres(...)``,
+    ``SELECT * FROM road_segments(TABLE(points) PARTITION BY devid ORDER BY seq)``, and, for a devid of any type and with all the
+    table's columns, ``SELECT * FROM segments_by_road(TABLE(points), least => 30)`` (no merging where least is NULL) and
+    ``segments_by_cost(TABLE(points), least => 10)``. A partition's points must fit a task."""
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     spark.udtf.register("road_segments", F.udtf(RoadSegments, returnType="devid bigint, seq bigint, segment bigint"))
+    spark.udtf.register("segments_by_road", F.udtf(SegmentsByRoad))
+    spark.udtf.register("segments_by_cost", F.udtf(SegmentsByCost))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -102,46 +98,44 @@ def image_slots(files: DataFrame) -> DataFrame:
     return numbered.unionByName(one)
 
 
-def interleave(text: str, slots: dict[str, tuple[str, str | None]]) -> list[tuple[str, str]]:
-    """(type, content) parts of one message: text runs joined, each known placeholder replaced by its description and picture."""
-    parts: list[tuple[str, str]] = []
-
-    def add(words: str, join: bool) -> None:
-        if join and parts and parts[-1][0] == "text":
-            parts[-1] = ("text", parts[-1][1] + words)
-        else:
-            parts.append(("text", words))
-
-    for piece in re.split(r"(`[^`]+`)", text):
-        name = piece[1:-1] if len(piece) > 2 and piece[0] == piece[-1] == "`" else None
-        if name is None:
-            words = re.sub(r"\*\s+`[^`]+`\s+\([^)]+\)", "", piece)
-            if words.strip():
-                add(words, True)
-        elif name not in slots:
-            add(piece, False)
-        else:
-            description, picture = slots[name]
-            joins = bool(parts) and parts[-1][0] == "text"
-            add(f" {description} " if joins else f"{description} ", True)
-            parts.append(("image_url", picture)) if picture else add(piece, False)
-    return parts
+PARTS = "array<struct<type:string,content:string,slot:string>>"
 
 
-def messages(prompts: DataFrame, slots: DataFrame) -> DataFrame:
-    """devid, pos, type, content: the message of each prompt (devid, text), with pictures (devid, slot, description, picture) in their places."""
-    each = slots.groupBy("devid").agg(F.collect_list(F.struct("slot", "description", "picture")).alias("slots"))
-    rows = prompts.select("devid", "text").join(each, "devid", "left")
+def part(kind: str, content: Column, slot: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("type"), content.alias("content"), (F.lit(None).cast("string") if slot is None else slot).alias("slot"))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = []
-            for devid, text, given in zip(b["devid"], b["text"], b["slots"]):
-                known = {s["slot"]: (s["description"], s["picture"]) for s in (given if given is not None else [])}
-                made += [(devid, k, kind, content) for k, (kind, content) in enumerate(interleave(text or "", known))]
-            yield pd.DataFrame(made, columns=["devid", "pos", "type", "content"])
+def interleaved(text: Column, slots: Column) -> Column:
+    """The parts (type, content, slot) of a message: text runs joined, each placeholder in ``slots`` (a map to description and
+    picture) replaced by its description and picture. Unknown ones stay, as parts of their own."""
+    pairs = F.arrays_zip(F.split(text, "`[^`]+`").alias("words"), F.regexp_extract_all(text, F.lit("`[^`]+`"), F.lit(0)).alias("mark"))
+    given = F.flatten(F.transform(pairs, lambda z: F.array(F.struct(F.lit(False).alias("mark"), z["words"].alias("s")), F.struct(F.lit(True).alias("mark"), z["mark"].alias("s")))))
 
-    return rows.mapInPandas(run, f"devid {prompts.schema['devid'].dataType.simpleString()}, pos bigint, type string, content string")
+    def add(parts: Column, piece: Column) -> Column:
+        last = F.try_element_at(parts, F.lit(-1))
+        after_text = F.coalesce(last["type"] == "text", F.lit(False))
+        push = lambda *more: F.concat(parts, F.array(*more))
+        joined = lambda words, *more: F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(part("text", F.concat(last["content"], words)), *more))
+        name = F.substring(piece["s"], F.lit(2), F.length(piece["s"]) - 2)
+        known = F.try_element_at(slots, name)
+        picture = F.when(known["picture"].isNotNull(), part("image_url", known["picture"], name)).otherwise(part("text", piece["s"]))
+        words = F.when(~piece["s"].rlike(r"[^\s]"), parts).when(after_text, joined(piece["s"])).otherwise(push(part("text", piece["s"])))
+        said = known["description"]
+        mark = F.when(known.isNull(), push(part("text", piece["s"]))).when(after_text, joined(F.concat(F.lit(" "), said, F.lit(" ")), picture)).otherwise(push(part("text", F.concat(said, F.lit(" "))), picture))
+        return F.when(piece["mark"], mark).otherwise(words)
+
+    return F.aggregate(F.filter(given, lambda z: z["s"].isNotNull()), F.array().cast(PARTS), add)
+
+
+def messages(prompts: DataFrame, slots: DataFrame) -> DataFrame:
+    """devid, pos, type, content, slot: the message of each prompt (devid, text), with pictures (devid, slot, description, picture) in
+    their places. Of a slot that is given more than once, the greatest picture counts; slot is null in text parts."""
+    one = slots.groupBy("devid", "slot").agg(F.max(F.struct("picture", "description")).alias("s"))
+    each = one.groupBy("devid").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(F.coalesce("s.description", F.lit("")).alias("description"), F.col("s.picture").alias("picture"))))).alias("slots"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<description:string,picture:string>>"))
+    rows = prompts.select("devid", "text").join(each, "devid", "left")
+    made = rows.select("devid", F.posexplode(interleaved(F.coalesce("text", F.lit("")), F.coalesce("slots", none))).alias("pos", "p"))
+    return made.select("devid", F.col("pos").cast("bigint").alias("pos"), "p.type", "p.content", "p.slot")
 
 
 END_VIEW = "last_trajectory_"
@@ -157,33 +151,3 @@ def gallery(prompts: DataFrame, pictures: DataFrame, end_views: bool) -> DataFra
     place = F.row_number().over(W.partitionBy("devid").orderBy("filename", "picture")).cast("bigint")
     text = prompts.select("devid", F.lit(0).cast("bigint").alias("pos"), F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("content"))
     return text.unionByName(chosen.select("devid", place.alias("pos"), F.lit("image_url").alias("type"), F.col("picture").alias("content")))
-
-
-def offline_answer(system: str, message: list[tuple[str, str]]) -> str:
-    """Stands in for a model: says how much it was given."""
-    return f"{len(message)} parts, {sum(len(c) for k, c in message if k == 'text')} characters, {sum(k != 'text' for k, _ in message)} pictures"
-
-
-def answers(parts: DataFrame, system: str, client: Callable[[], Callable[[str, list[tuple[str, str]]], str]] = lambda: offline_answer) -> DataFrame:
-    """devid, response, error_kind, error: a model's answer to every message (devid, pos, type, content).
-
-    ``client`` is called once per task and gives the function that answers; credentials are its own matter. A
-    call that fails gives its row an error ('api' for what the call raises as OSError, else 'general') and
-    never the job. A message must fit a task.
-    """
-    each = parts.groupBy("devid").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "content"))).alias("parts"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = client()
-        for b in batches:
-            made = []
-            for devid, given in zip(b["devid"], b["parts"]):
-                try:
-                    made.append((devid, ask(system, [(p["type"], p["content"]) for p in given]), None, None))
-                except OSError as e:
-                    made.append((devid, None, "api", str(e)))
-                except Exception as e:  # noqa: BLE001  whatever it is, it belongs to this row
-                    made.append((devid, None, "general", str(e)))
-            yield pd.DataFrame(made, columns=["devid", "response", "error_kind", "error"])
-
-    return each.mapInPandas(run, f"devid {parts.schema['devid'].dataType.simpleString()}, response string, error_kind string, error string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.functions import parse
-from wayline.operators import catalog, evaluate, prompts
+from wayline.operators import catalog, evaluate, models, prompts
 from wayline.registry import query, table
 
 from .movement import points_of, r
@@ -331,8 +331,11 @@ def _overall(a: str, b: str, c: str) -> str:
     return f"'\n{a}---\n\n{b}**Overall Trajectory Visuals:**\n{b}* **Visuals:**\n{b}' || {_VIEWS[0]} || '{b}' || {_VIEWS[1]} || '{c}'"
 
 
-@query(with_("part_moves", "steps", "backs", **_PROMPT, **_END, body=f"""SELECT devid, text || '\n**Trajectory End-Point Information:**\n* **Visuals:**\n    * `last_trajectory_view` (A zoomed-in image of the last few points, marked with red dots, with the green line representing the trajectory)\n* **Stats:**\n    * Overall direction of the last five points: '
-    || {direction('b')} || ' (Azimuth: ' || printf('%.2f', round(b, 2)) || '°)\n    * Movement trend of the last ten points: ' || CASE WHEN change > 0.1 THEN 'Speed up' WHEN change < -0.1 THEN 'Slow down' ELSE 'Steady speed' END || '\n    ' || {_overall('    ', '', '    ')} AS text FROM prompts JOIN way USING (devid) JOIN trend USING (devid)"""))
+_TTE = f"""SELECT devid, text || '\n**Trajectory End-Point Information:**\n* **Visuals:**\n    * `last_trajectory_view` (A zoomed-in image of the last few points, marked with red dots, with the green line representing the trajectory)\n* **Stats:**\n    * Overall direction of the last five points: '
+    || {direction('b')} || ' (Azimuth: ' || printf('%.2f', round(b, 2)) || '°)\n    * Movement trend of the last ten points: ' || CASE WHEN change > 0.1 THEN 'Speed up' WHEN change < -0.1 THEN 'Slow down' ELSE 'Steady speed' END || '\n    ' || {_overall('    ', '', '    ')} AS text FROM prompts JOIN way USING (devid) JOIN trend USING (devid)"""
+
+
+@query(with_("part_moves", "steps", "backs", **_PROMPT, **_END, body=_TTE))
 def prompt_tte(spark: SparkSession, d: str) -> DataFrame:
     return prompts.arrival_prompt(parts_of(spark, d))
 
@@ -349,8 +352,11 @@ def prompt_tmi(spark: SparkSession, d: str) -> DataFrame:
     return prompts.mode_prompt(parts_of(spark, d), 2)
 
 
-@query(with_("steps", "backs", **_END, body=f"""SELECT devid, 'Relevant trajectory information:\n- Last 5 points direction: ' || {direction('b')} || ' (bearing: ' || printf('%.2f', round(b, 2)) || '°)\n- Last 10 points speed trend: ' || CASE WHEN change > 0.1 THEN 'accelerating' WHEN change < -0.1 THEN 'decelerating' ELSE 'stable speed' END
-    || '\n\n- Road segment ID for the last points: ' || road_k || '\n' AS text FROM way JOIN trend USING (devid)"""))
+_NEXT_ROAD = f"""SELECT devid, 'Relevant trajectory information:\n- Last 5 points direction: ' || {direction('b')} || ' (bearing: ' || printf('%.2f', round(b, 2)) || '°)\n- Last 10 points speed trend: ' || CASE WHEN change > 0.1 THEN 'accelerating' WHEN change < -0.1 THEN 'decelerating' ELSE 'stable speed' END
+    || '\n\n- Road segment ID for the last points: ' || road_k || '\n' AS text FROM way JOIN trend USING (devid)"""
+
+
+@query(with_("steps", "backs", **_END, body=_NEXT_ROAD))
 def prompt_mp(spark: SparkSession, d: str) -> DataFrame:
     return prompts.next_road_prompt(points_of(spark, d))
 
@@ -360,15 +366,62 @@ def messages_of(spark: SparkSession, d: str) -> DataFrame:
     return prompts.messages(prompts.arrival_prompt(parts_of(spark, d)), slots)
 
 
-@query()
+_SLOTTED = """SELECT devid, concat('image', k) AS slot, concat('file:', filename) AS picture, concat('**Segment ', (k + 1) // 2, CASE WHEN k % 2 = 1 THEN ' POI & Route Detail Map:**' ELSE ' Road Network Map:**' END) AS said FROM places WHERE k <= 10
+    UNION ALL SELECT devid, 'last_trajectory_view', concat('file:last_trajectory_', devid, '_17.png'), '**End-Point Trajectory View:**' FROM ids
+    UNION ALL SELECT devid, 'poi_full_image', concat('file:poi_', devid, '.png'), '**Global POI & Route Detail Map:**' FROM ids
+    UNION ALL SELECT devid, 'road_structure_full_image', concat('file:road_structure_', devid, '.png'), '**Global Road Network Map:**' FROM ids"""
+_PIECES = "SELECT devid, string_split(regexp_replace(text, '(`[^`]+`)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS pieces, held FROM tte JOIN (SELECT devid, list({'slot': slot, 'picture': picture, 'said': said}) AS held FROM slotted GROUP BY devid) USING (devid)"
+# a message is put together piece by piece: `before` says that its last part is text
+_JOINED = """SELECT devid, pieces, held, 1 AS i, CAST([] AS STRUCT(type VARCHAR, content VARCHAR)[]) AS said FROM cut_up UNION ALL
+    SELECT devid, pieces, held, i + 1, CASE
+        WHEN known IS NOT NULL THEN list_append(CASE WHEN before THEN list_append(said[1:len(said) - 1], {'type': 'text', 'content': concat(said[len(said)].content, ' ', known.said, ' ')})
+          ELSE list_append(said, {'type': 'text', 'content': concat(known.said, ' ')}) END, {'type': 'image_url', 'content': known.picture})
+        WHEN marked THEN list_append(said, {'type': 'text', 'content': piece}) WHEN trim(piece, chr(10) || ' ') = '' THEN said
+        WHEN before THEN list_append(said[1:len(said) - 1], {'type': 'text', 'content': concat(said[len(said)].content, piece)}) ELSE list_append(said, {'type': 'text', 'content': piece}) END
+    FROM (SELECT *, pieces[i] AS piece, regexp_full_match(pieces[i], '`[^`]+`') AS marked, len(said) > 0 AND said[len(said)].type = 'text' AS before, list_filter(held, lambda h: concat('`', h.slot, '`') = pieces[i])[1] AS known FROM joined WHERE i <= len(pieces))"""
+_MESSAGES = {
+    **_PROMPT, **_END, "tte": _TTE, "ids": _IDS, "names": _NAMES, "places": "SELECT *, row_number() OVER (PARTITION BY devid ORDER BY filename) AS k FROM names", "slotted": _SLOTTED, "cut_up": _PIECES, "joined": _JOINED,
+    "parts_said": "SELECT devid, unnest(range(0, len(said))) AS pos, unnest(said) AS p FROM joined WHERE i > len(pieces)",
+}
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(recursive(with_("part_moves", "steps", "backs", **_MESSAGES, body="SELECT devid, CAST(pos AS BIGINT) AS pos, p.type AS type, p.content AS content FROM parts_said")))
 def message_assembly(spark: SparkSession, d: str) -> DataFrame:
-    return messages_of(spark, d)
+    return messages_of(spark, d).drop("slot")
+
 
+_TOLD = "SELECT devid, concat(count(*), ' parts, ', sum(CASE WHEN p.type = 'text' THEN length(p.content) ELSE 0 END), ' characters, ', count(*) FILTER (p.type <> 'text'), ' pictures') AS response, CAST(NULL AS VARCHAR) AS error_kind, CAST(NULL AS VARCHAR) AS error FROM parts_said GROUP BY devid"
 
-@query()
+
+@query(recursive(with_("part_moves", "steps", "backs", **_MESSAGES, body=_TOLD)))
 def model_answers(spark: SparkSession, d: str) -> DataFrame:
     """Every message answered by the offline stand-in."""
-    return prompts.answers(messages_of(spark, d), "You estimate arrival times.")
+    return models.answers(messages_of(spark, d), "You estimate arrival times.")
+
+
+def pictures_of(spark: SparkSession, d: str) -> DataFrame:
+    files = consolidated(spark, d).where(catalog.artifact_type(F.col("filename")).isNotNull())
+    return files.select(F.col("devid").cast("bigint").alias("devid"), "filename", F.concat(F.lit("file:"), "filename").alias("picture"))
+
+
+_SHOWN = "SELECT devid, CAST(row_number() OVER (PARTITION BY devid ORDER BY filename) AS BIGINT) AS pos, 'image_url' AS type, concat('file:', filename) AS content FROM names WHERE"
+
+
+@query(with_("points", ids=_IDS, names=_NAMES, body=f"SELECT devid, CAST(0 AS BIGINT) AS pos, 'text' AS type, concat('These are all images for trajectory ', devid, ':') AS content FROM ids UNION ALL {_SHOWN} NOT starts_with(filename, 'last_trajectory_')"))
+def anomaly_messages(spark: SparkSession, d: str) -> DataFrame:
+    """What the model is asked to find anomalies in: one line, then all pictures but those of end points."""
+    asked = points_of(spark, d).select("devid").distinct().select("devid", F.concat(F.lit("These are all images for trajectory "), F.col("devid").cast("string"), F.lit(":")).alias("text"))
+    return prompts.gallery(asked, pictures_of(spark, d), False)
+
+
+@query(with_("steps", "backs", **_END, ids=_IDS, names=_NAMES, body=f"SELECT devid, CAST(0 AS BIGINT) AS pos, 'text' AS type, text AS content FROM ({_NEXT_ROAD}) UNION ALL {_SHOWN} starts_with(filename, 'last_trajectory_') AND devid IN (SELECT devid FROM ({_NEXT_ROAD}))"))
+def next_road_messages(spark: SparkSession, d: str) -> DataFrame:
+    """What the model is asked for the next road: the prompt, then the views of the end point."""
+    return prompts.gallery(prompts.next_road_prompt(points_of(spark, d)), pictures_of(spark, d), True)
 
 
 def folders(spark: SparkSession, d: str) -> DataFrame:

@@ -24,13 +24,52 @@ def parts_of(spark: SparkSession, d: str) -> DataFrame:
     return parts.withColumn("seg", F.col("seg").cast("bigint"))
 
 
-@query()
+_SEEN = f"""SELECT *, {{0}} < 30 AS far, {{1}} < 30 AS near FROM (
+    SELECT devid, seq, lon, lat, road_id, lag(road_id) OVER w AS road0, lag(lon) OVER w AS bx, lag(lat) OVER w AS by_, lag(lon, 5) OVER w AS nx, lag(lat, 5) OVER w AS ny,
+      lag(lon, 6) OVER w AS fx, lag(lat, 6) OVER w AS fy, lead(lon, 5) OVER w AS ax, lead(lat, 5) OVER w AS ay, row_number() OVER w AS rn
+    FROM points WINDOW w AS (PARTITION BY devid ORDER BY seq))""".format(*[sql.angle(f"bx - {k}x", f"by_ - {k}y", "ax - lon", "ay - lat", "180.0") for k in "fn"])
+_ROAD = {
+    "seen": _SEEN,
+    "runs": "SELECT devid, rn - 1 AS i, coalesce(far, false) AS far, coalesce(near, false) AS near, row_number() OVER (PARTITION BY devid ORDER BY seq) AS k FROM seen WHERE rn = 1 OR road_id IS DISTINCT FROM road0",
+    "walked": """SELECT devid, k, i, i AS start FROM runs WHERE k = 1 UNION ALL
+    SELECT r.devid, r.k, r.i, CASE WHEN CASE WHEN w.start < r.i - 5 THEN r.far ELSE w.start = r.i - 5 AND r.near END THEN w.start ELSE r.i END
+    FROM walked w JOIN runs r ON r.devid = w.devid AND r.k = w.k + 1""",
+    "begun": "SELECT devid, start, lead(start) OVER (PARTITION BY devid ORDER BY start) AS next_start FROM (SELECT DISTINCT devid, start FROM walked)",
+    "many": "SELECT devid, count(*) AS n FROM points GROUP BY devid",
+    "apart": "SELECT devid, row_number() OVER (PARTITION BY devid ORDER BY start) - 1 AS seg, start AS lo, coalesce(next_start, n) - 1 AS hi FROM begun JOIN many USING (devid)",
+}
+
+
+@query(with_("points", **_ROAD, body="SELECT devid, CAST(seg AS BIGINT) AS seg, CAST(lo AS BIGINT) AS start_seq, CAST(hi AS BIGINT) AS end_seq, CAST(hi - lo + 1 AS BIGINT) AS n FROM apart").replace("WITH", "WITH RECURSIVE", 1))
 def segment_by_road(spark: SparkSession, d: str) -> DataFrame:
     """Segments by road before small ones are merged."""
     return segmentation.by_road(points_of(spark, d), least=None).groupBy("devid", "seg").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count("*").alias("n"))
 
 
-@query()
+def _joined(a: str, b: str) -> str:
+    """SQL of segment ``a`` with ``b``, which may be null, behind it."""
+    return f"{{'lo': least({a}.lo, coalesce({b}.lo, {a}.lo)), 'hi': greatest({a}.hi, coalesce({b}.hi, {a}.hi)), 'n': {a}.n + coalesce({b}.n, 0)}}"
+
+
+# a segment is told by its least and greatest point and its size; passes 1 to 5 join neighbours, 6 deals out what is still small, 9 is the end
+_MERGED = f"""SELECT devid, CASE WHEN len(s) < 2 THEN 9 ELSE 1 END AS p, s AS src, 1 AS i, CASE WHEN len(s) < 2 THEN s ELSE s[1:0] END AS done, false AS taken, false AS was, CAST(NULL AS STRUCT(lo BIGINT, hi BIGINT, n BIGINT)) AS wait
+    FROM (SELECT devid, list({{'lo': CAST(lo AS BIGINT), 'hi': CAST(hi AS BIGINT), 'n': CAST(hi - lo + 1 AS BIGINT)}} ORDER BY seg) AS s FROM apart GROUP BY devid)
+    UNION ALL SELECT devid,
+      CASE WHEN i <= len(src) THEN p WHEN p = 6 THEN 9 WHEN len(done) < 2 THEN 6 WHEN p = 1 THEN 2 WHEN p = 5 OR list_min(list_transform(done, lambda z: z.n)) >= 30 THEN 6 ELSE p + 1 END,
+      CASE WHEN i <= len(src) OR p = 6 THEN src ELSE done END,
+      CASE WHEN i <= len(src) THEN i + 1 ELSE 1 END,
+      CASE WHEN i > len(src) THEN CASE WHEN p < 6 THEN done[1:0] WHEN len(done) > 0 AND wait IS NOT NULL THEN list_append(done[1:len(done) - 1], {_joined('done[len(done)]', 'wait')}) ELSE done END
+        WHEN p = 6 THEN CASE WHEN x.n >= 30 OR x.n + coalesce(wait.n, 0) >= 30 THEN list_append(done, {_joined('x', 'wait')}) ELSE done END
+        WHEN taken THEN done WHEN x.n < 30 THEN list_append(done, {_joined('x', 'y')})
+        WHEN p = 1 AND i > 1 AND was AND len(done) > 0 AND done[len(done)].n < 30 THEN list_append(done[1:len(done) - 1], {_joined('done[len(done)]', 'x')})
+        ELSE list_append(done, x) END,
+      i < len(src) AND p < 6 AND NOT taken AND x.n < 30,
+      coalesce(x.n < 30, false),
+      CASE WHEN p < 6 OR i > len(src) OR x.n >= 30 OR x.n + coalesce(wait.n, 0) >= 30 THEN NULL ELSE {_joined('x', 'wait')} END
+    FROM (SELECT *, src[i] AS x, src[i + 1] AS y FROM merging WHERE p < 9)"""
+
+
+@query(with_("points", **_ROAD, merging=_MERGED, body="SELECT devid, CAST(seg - 1 AS BIGINT) AS seg, s.lo AS start_seq, s.hi AS end_seq, s.n AS n FROM (SELECT devid, unnest(done) AS s, unnest(range(1, len(done) + 1)) AS seg FROM merging WHERE p = 9)").replace("WITH", "WITH RECURSIVE", 1))
 def segment_merge_small(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.by_road(points_of(spark, d)).groupBy("devid", "seg").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count("*").alias("n"))
 
@@ -62,23 +101,7 @@ _TRIPLES = "SELECT devid, seq, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVE
     CASE WHEN count(*) < 3 THEN 0.0 ELSE round(coalesce(sum(abs(180 - turn)) FILTER (inner_triple), 0.0), 2) END AS angle FROM each GROUP BY devid, seg"""))
 def segment_cost_factors(spark: SparkSession, d: str) -> DataFrame:
     """Of equal parts: variance of speed, road changes, 1 / (points + 1), sum of what turns are short of 180. The step into the next part counts."""
-    from pyspark.sql import Window as W
-
-    points = parts_of(spark, d)
-    order = W.partitionBy("devid").orderBy("seq")
-    ahead = [F.lead(c, k).over(order).alias(f"{c}{k + 1}") for k in (1, 2) for c in ("lon", "lat")]
-    last = F.max("seq").over(W.partitionBy("devid", "seg"))
-    rows = points.select("*", *ahead, F.lead("t").over(order).alias("t2"), F.lead("road_id").over(order).alias("road2"), (F.col("seq") < last).alias("inner_triple"))
-    dt = F.col("t2") - F.col("t")
-    speed = F.when(dt > 0, geo.speed(geo.haversine(*LINE), dt))
-    turn = F.when(F.col("inner_triple"), F.abs(180 - geo.heading_change("lon", "lat", "lon2", "lat2", "lon3", "lat3")))
-    size = F.count("*")
-    return rows.groupBy("devid", "seg").agg(
-        F.when((size < 2) | (F.count(speed) < 2), 0.0).otherwise(F.round(F.var_pop(speed), 5)).alias("speed"),
-        F.when(size < 2, 0.0).otherwise(F.count_if(F.col("road2") != F.col("road_id")).cast("double")).alias("road"),
-        F.round(1.0 / (size + 1), 6).alias("length"),
-        F.when(size < 3, 0.0).otherwise(F.round(F.coalesce(F.sum(turn), F.lit(0.0)), 2)).alias("angle"),
-    )
+    return segmentation.factors(parts_of(spark, d)).select("devid", "seg", r("speed", 5), "road", r("length", 6), r("angle", 2))
 
 
 @query(with_("part_moves", body="SELECT p.devid, p.seg, round(coalesce(sum(m.dist), 0.0), 4) AS distance FROM parts p LEFT JOIN part_moves m USING (devid, seg, seq) GROUP BY p.devid, p.seg"))

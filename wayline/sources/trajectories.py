@@ -6,9 +6,10 @@ seq, so a single shuffle by devid serves steps, segments and statistics.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
+from pyspark.sql import functions as F
 
 from wayline.functions import geo
 
@@ -81,6 +82,12 @@ def bounds(points: DataFrame, buffer: float = 0.01) -> DataFrame:
     return points.groupBy("devid").agg(low("lon").alias("min_lon"), high("lon").alias("max_lon"), low("lat").alias("min_lat"), high("lat").alias("max_lat"))
 
 
+def bounds_over(window: WindowSpec, buffer: float = 0.01) -> dict[str, Column]:
+    """The same beside every point, in a window over its trajectory."""
+    least = {"min_lon": F.min("lon"), "max_lon": F.max("lon"), "min_lat": F.min("lat"), "max_lat": F.max("lat")}
+    return {k: c.over(window) + (buffer if k[:3] == "max" else -buffer) for k, c in least.items()}
+
+
 def pending(work: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """Rows of ``work`` without a result yet."""
     return work.join(done.select(*keys).distinct(), list(keys), "left_anti")

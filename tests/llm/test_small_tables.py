@@ -178,6 +178,29 @@ def test_simhash_links_random_and_crowded(spark, n):
                     assert root[a] == root[c]
 
 
+@pytest.mark.parametrize("most, n", [(2048, 12_000), (128, 3_000)])
+def test_simhash_links_across_chunks_of_a_crowd(spark, most, n):
+    """Fingerprints that share a band but aren't near each other, in several chunks; partners differ in the bits that lead the
+    Gray orders, so that no run has both."""
+    rng = np.random.default_rng(most)
+    fps = rng.integers(0, 2**64, n, dtype=np.uint64) & ~np.uint64(0x1FFF << 20) | np.uint64(0x0AAA << 20)
+    flips = np.uint64(sum(1 << b for b in (15, 31, 47, 63)))
+    fps = np.unique(np.r_[fps, fps[:200] ^ flips])
+    frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    got = simhash.roots_of(frame, len(fps), most=most).toPandas()
+    signed = fps.view(np.int64)
+    pairs = [(k, int(j)) for k in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[k] ^ fps[:k]) <= 4)]
+    assert len(pairs) >= 200
+    wanted = union(len(fps), pairs)
+    root = dict(zip(got["node"].astype("int64"), got["root"].astype("int64")))
+    groups = {}
+    for k, w in enumerate(wanted):
+        groups.setdefault(w, []).append(k)
+    for members in groups.values():
+        low = min(int(signed[k]) for k in members)
+        assert {root.get(int(signed[k]), int(signed[k])) for k in members} == {low}
+
+
 def test_exact(spark, small):
     got = run(spark, "op6_exact_dedup", small)
     groups = {}

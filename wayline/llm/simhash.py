@@ -290,14 +290,14 @@ def meetings(rows: DataFrame, words: list[str], limit: int, most: int = GROUP_MO
     return chunked.join(met, ["g", "chunk"]).select(F.col("met").alias("g"), *[c for c in names if c != "g"])
 
 
-def linked(groups: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """a, b: stars of linked fingerprints within the dealt groups (or runs of them) of (g, fp)."""
+def linked(groups: DataFrame, limit: int = LIMIT, most: int = GROUP_MOST) -> DataFrame:
+    """a, b: stars of linked fingerprints within the dealt groups of (g, fp), or within runs of ``most`` of larger ones."""
 
     def find(rows: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
         member, centre = stars(rows["fp"].view(np.uint64)[None], group, limit)
         return pa.RecordBatch.from_arrays([pa.array(rows["fp"][member]), pa.array(rows["fp"][centre])], names=["a", "b"])
 
-    return searched(groups.select("g", "fp"), find, "a long, b long")
+    return searched(groups.select("g", "fp"), find, "a long, b long", most)
 
 
 def roots_of(fps: DataFrame, n: int, limit: int = LIMIT, most: int = GROUP_MOST) -> DataFrame:
@@ -306,15 +306,15 @@ def roots_of(fps: DataFrame, n: int, limit: int = LIMIT, most: int = GROUP_MOST)
     dealt = fps.select(F.explode(F.array(*keys)).alias("g"), "fp").withColumn("rank", gray_rank(F.col("fp")))
     large = cut(dealt.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > most).select("g"), "large")
     if large.isEmpty():
-        return components(linked(dealt_by_group(dealt, "rank"), limit))
-    edges = linked(dealt_by_group(dealt.join(large, "g", "left_anti"), "rank"), limit)
+        return components(linked(dealt_by_group(dealt, "rank"), limit, most))
+    edges = linked(dealt_by_group(dealt.join(large, "g", "left_anti"), "rank"), limit, most)
     crowds = dealt.join(large, "g", "left_semi")
     for turn in TURNS:
-        edges = edges.unionByName(linked(dealt_in_runs(crowds.withColumn("rank", gray_rank(F.col("fp"), turn)), "rank"), limit))
+        edges = edges.unionByName(linked(dealt_in_runs(crowds.withColumn("rank", gray_rank(F.col("fp"), turn)), "rank"), limit, most))
     edges = cut(edges.distinct(), "stars")
     roots = components(edges)
     known = crowds.join(roots, crowds["fp"] == roots["node"], "left").select("g", "rank", F.coalesce("root", "fp").alias("root"), "fp")
-    more = cut(linked(dealt_by_group(meetings(known, ["fp"], limit, most), "fp"), limit), "more-stars")
+    more = cut(linked(dealt_by_group(meetings(known, ["fp"], limit, most), "fp"), limit, 2 * most), "more-stars")
     return roots if more.isEmpty() else components(edges.unionByName(more))
 
 

@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from wayline.llm import nbest, prefix_tokens
-from wayline.llm.pieces import model_path, open_model
+from wayline.llm.pieces import Merges, model_path, open_model
 
 TEXTS = [
     "The river runs past the old mill and the people walk along it.", "the old mill", "né 𝄞 🙂", "  two  spaces ", "a", "", "tab\there\n\nline", "aaaaaaaaaaaaaaa", "▁▁ <s>x</s> 1234567",
@@ -36,6 +36,20 @@ def test_ids_are_the_library_encoding(docs, library):
     assert got[len(TEXTS)]["ids"] == got[len(TEXTS)]["best"] == [] and got[len(TEXTS)]["n_tokens"] == 0
 
 
+def test_merges_give_the_librarys_ids():
+    rng = random.Random(8)
+    model = open_model(model_path())
+    merges, letters = Merges(model), [c for c in model.ids if len(c) == 1 and c.isalpha()][:300]
+    units = ["▁" * rng.randint(0, 3) + "".join(rng.choices("etaoinshrdluETAOIN", k=rng.randint(2, 14))) for _ in range(800)]
+    units += ["".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(300)] + ["=-" * 30, "▁" * 40, "aa", "▁a", "..." * 10]
+    units = [u for u in units if len(u) > 1 and "".join(model.units(u.replace("▁", " "))).endswith(u)]
+    ids, n = merges.of_many(units)
+    wanted = model.encode_units(units)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == wanted
+    long_ = ["▁" + "ab" * 2_000, "=" * 3_001, "▁" * 999]
+    assert [merges.of_one(u) for u in units[:200] + long_] == wanted[:200] + model.encode_units(long_)
+
+
 def test_paths_in_full(docs):
     encoded = nbest.encode(docs)
     got = {(r["doc_id"], r["place"]): r for r in nbest.paths(encoded).collect()}

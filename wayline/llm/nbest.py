@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SPACE, PieceModel, UnitTable, model_path, open_model, slices
+from .pieces import SPACE, Merges, PieceModel, UnitTable, model_path, open_model, slices
 
 N_BEST = 4
 PIECE = 1 << 40  # what a piece costs beside its rank, so that the number of pieces counts first
@@ -73,7 +73,7 @@ class Lattice(UnitTable):
             self.points[i] = round(model.processor.get_score(i))
         self.cost = PIECE - self.points
         self.cost_of = {piece: (i, int(self.cost[i])) for piece, i in model.ids.items()}
-        self.trie = Trie(model)
+        self.trie, self.merges = Trie(model), Merges(model)
         self.found: dict[tuple[str, int], list[tuple[int, Path]]] = {}
         super().__init__(model, 2)
 
@@ -119,8 +119,27 @@ class Lattice(UnitTable):
                 loss[end] = costs[1][0] - costs[0][0]
         return best, size, last, loss
 
+    def of_sign(self, sign: str) -> list[int]:
+        """A sign is one piece, or its bytes."""
+        return [self.model.ids[sign]] if sign in self.model.ids else self.model.bytes_of(sign)
+
+    def encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The model's ids of the units, end to end, and how many each has, by its merges."""
+        length = np.array(list(map(len, units)))
+        some = np.flatnonzero((length > 1) & (length <= LONG_UNIT))
+        ids, n = self.merges.of_many([units[k] for k in some])
+        rest = np.flatnonzero((length == 1) | (length > LONG_UNIT))
+        single = [self.of_sign(units[k]) if length[k] == 1 else self.merges.of_one(units[k]) for k in rest]
+        sizes = np.zeros(len(units), np.int64)
+        sizes[some], sizes[rest] = n, list(map(len, single))
+        out, first = np.empty(int(sizes.sum()), np.int64), np.cumsum(sizes) - sizes
+        out[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        for k, own in zip(rest, single):
+            out[first[k] : first[k] + len(own)] = own
+        return out, sizes
+
     def learn(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        own = self.model.encode_units(units)
+        own, own_sizes = self.encoded(units)
         sizes, loss, paths = np.zeros(len(units), np.int64), np.full(len(units), NONE), [np.empty((0, 3), np.int64)]  # (unit, place from the end, id)
         length = np.array(list(map(len, units)))
         some = np.flatnonzero((length > 1) & (length <= LONG_UNIT))
@@ -136,8 +155,9 @@ class Lattice(UnitTable):
                 end, k = end - size[end, column], k + 1
                 column, end = column[end > 0], end[end > 0]
         for k in np.flatnonzero((length == 1) | (length > LONG_UNIT)):
-            ids = own[k]  # a sign is one piece, or its bytes
-            if length[k] > 1:
+            if length[k] == 1:
+                ids = self.of_sign(units[k])
+            else:
                 _, size, last, lost = self.forward_one(units[k])
                 nodes = list(steps(size))
                 ids, loss[k] = [last[end] for end in nodes][::-1], min(NONE, *(lost[end] for end in nodes))
@@ -146,7 +166,7 @@ class Lattice(UnitTable):
         path = np.concatenate(paths)
         self.names += units
         self.loss.frombytes(loss.tobytes())
-        return [(np.array([i for ids in own for i in ids]), np.array(list(map(len, own)))), (path[np.lexsort((-path[:, 1], path[:, 0])), 2], sizes)]
+        return [(own, own_sizes), (path[np.lexsort((-path[:, 1], path[:, 0])), 2], sizes)]
 
     def a_star(self, unit: str, n: int) -> list[tuple[int, Path]]:
         """The ``n`` best segmentations (what it loses, ids) of a unit, best first: backward A-star over forward costs."""

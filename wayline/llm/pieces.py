@@ -9,6 +9,7 @@ together from them by its units' numbers.
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -77,6 +78,83 @@ class PieceModel:
         return [self.byte_ids[b] for b in sign.encode()]
 
 
+class Merges:
+    """The encoding of units by the model's own merges: of all neighbours that make a piece together, those of the highest score
+    are joined, the leftmost of equals, until none are left. Many units go on together, a join each at a time."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        whole = [i for p, i in model.ids.items() if len(p) > 1]
+        pairs = [(model.ids[p[:k]] * len(model.piece) + model.ids[p[k:]], i) for i in whole for p in [model.piece[i]] for k in range(1, len(p)) if p[:k] in model.ids and p[k:] in model.ids]
+        keys, made = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
+        self.keys, self.made = keys.copy(), made.copy()
+        self.join = dict(pairs)
+        score = np.array([model.processor.get_score(i) for i in range(len(model.piece))])
+        self.turn = np.empty(len(score), np.int64)
+        self.turn[np.argsort(-score, kind="stable")] = np.arange(len(score))  # lower is earlier
+        same = np.flatnonzero(np.diff(np.sort(score[whole])) == 0)
+        if len(same):
+            self.turn = np.unique(-score, return_inverse=True)[1]
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pieces that neighbours make, -1 for none."""
+        key = left * len(self.model.piece) + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], -1)
+
+    def of_many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units of pieces' signs, end to end, and how many each has."""
+        size = np.array(list(map(len, units)), np.int64)
+        signs, place = np.unique(np.frombuffer("".join(units).encode("utf-32-le"), np.uint32), return_inverse=True)
+        ids = np.array([self.model.ids[chr(c)] for c in signs], np.int64)[place]
+        owner = np.repeat(np.arange(len(units)), size)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        never, far = np.iinfo(np.int64).max, 1 << 32
+        while len(ids):
+            made = np.r_[np.where(owner[1:] == owner[:-1], self.joined(ids[:-1], ids[1:]), -1), -1]
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            rank = np.where(made >= 0, self.turn[made] * far + np.arange(len(ids)), never)
+            least = np.minimum.reduceat(rank, first)
+            ends = least == never
+            over = np.repeat(ends, np.diff(np.r_[first, len(ids)]))
+            done.append((owner[over], ids[over]))
+            at = least[~ends] % far
+            ids = ids.copy()
+            ids[at] = made[at]
+            keep = ~over
+            keep[at + 1] = False
+            owner, ids = owner[keep], ids[keep]
+        owner, ids = (np.concatenate([d[k] for d in done] or [np.empty(0, np.int64)]) for k in (0, 1))
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(units))
+
+    def of_one(self, unit: str) -> list[int]:
+        """The same for one unit of any length."""
+        ids, n, count_ = [self.model.ids[c] for c in unit], len(unit), len(self.model.piece)
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        queue: list[tuple[int, int, int, int]] = []
+
+        def offer(a: int) -> None:
+            b = after[a]
+            if b < n and (made := self.join.get(ids[a] * count_ + ids[b])) is not None:
+                heapq.heappush(queue, (int(self.turn[made]), a, ids[a] * count_ + ids[b], made))
+
+        for k in range(n - 1):
+            offer(k)
+        while queue:
+            _, a, key, made = heapq.heappop(queue)
+            b = after[a] if alive[a] else n
+            if b >= n or ids[a] * count_ + ids[b] != key:
+                continue
+            ids[a], alive[b] = made, False
+            after[a] = after[b]
+            if after[a] < n:
+                before[after[a]] = a
+            offer(a)
+            if before[a] >= 0:
+                offer(before[a])
+        return [ids[k] for k in range(n) if alive[k]]
+
+
 @lru_cache(maxsize=2)
 def open_model(path: str) -> PieceModel:
     return PieceModel(path)

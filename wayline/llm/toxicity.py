@@ -4,15 +4,17 @@ A word is the average of the vectors of its character n-grams and of itself. A b
 of its different words' vectors, and a linear softmax on it gives the two classes. Words never seen share
 the vectors of their n-grams, so a misspelling or a new ending of a toxic word lies near it.
 
-A text is scored in overlapping windows of several lengths, each a bag, and as a whole. The most toxic window of each
-length counts, so that neither a toxic passage is averaged away in a long text nor toxic words that are strewn thinly
-are missed; a bag of few words is filled up with neutral ones, and a word counts again only after AGAIN others.
-Learned on texts that the vectors weren't trained on, a logistic sum of these logits is the score.
+A text is scored in overlapping windows of several lengths, each a bag, as a whole, and by the bags of its few most toxic
+different words. The most toxic window of each length counts, so that neither a toxic passage is averaged away in a long text
+nor toxic words that are strewn thinly are missed; a bag of few words is filled up with neutral ones, and a word counts again only after AGAIN others.
+Learned on texts that the vectors weren't trained on, a logistic sum of these logits is the score, shifted so that even odds stand at
+the threshold.
 After training, vectors and softmax weights fold into one number a word.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +31,8 @@ PER_LABEL = 3_000  # labelled documents of either label to fit on
 SIZES = (3, 4, 5)
 DIMENSIONS = 8
 SCALES = (12, 48, 192)  # words of a window
+WORST = (1, 2, 3, 4, 6)  # different words of a bag of the most toxic ones
+BAGS = len(SCALES) + 1 + len(WORST)  # that score a text
 TRAINED = (96, 12)  # words of the bags of the first training and of the second
 AGAIN = 256  # words after which a word counts again
 RIDGE = 0.1
@@ -53,7 +57,7 @@ def subwords(word: str) -> list[str]:
 class SubwordSoftmax:
     weight: dict[str, float]  # per subword: its part of the toxic logit less the other; 0 for all others
     bias: float = 0.0
-    scale: tuple[np.ndarray, float] = (np.zeros(len(SCALES) + 1), 0.0)
+    scale: tuple[np.ndarray, float] = (np.zeros(BAGS), 0.0)
     cache: dict[str, int] = field(default_factory=dict, repr=False)
     score_of: list[float] = field(default_factory=lambda: [0.0], repr=False)
 
@@ -63,7 +67,7 @@ class SubwordSoftmax:
         that the first model finds most toxic, since the label holds for the text and not for all of it."""
         labels = np.array([int(k) for _, k in sample], int)
         if len(set(labels.tolist())) < 2:  # nothing to tell apart: no text is called toxic
-            return cls({}, 0.0, (np.zeros(len(SCALES) + 1), -1.0))
+            return cls({}, 0.0, (np.zeros(BAGS), -1.0))
         rng = np.random.default_rng(seed)
         calibrates = rng.permutation(len(sample)) % 4 == 0
         texts = [WORDS.findall(t.lower()) for t, _ in sample]
@@ -80,7 +84,7 @@ class SubwordSoftmax:
         bags = []
         for k in train:
             if labels[k] == 1:
-                sums, step = made.window_sums(made.word_scores(texts[k]), narrow)
+                sums, step = made.window_sums(made.word_scores(texts[k])[0], narrow)
                 worst = np.argsort(-sums, kind="stable")[: each[1]]
                 worst = [w for w in worst if sums[w] / narrow + made.bias > 0] or worst[:1]
                 bags += [(texts[k][w * step : w * step + narrow], 1) for w in worst]
@@ -147,8 +151,8 @@ class SubwordSoftmax:
         self.cache[word] = len(self.score_of) - 1
         return len(self.score_of) - 1
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """The number of each word; 0 for one that stood within the last AGAIN words."""
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word, 0 for one that stood within the last AGAIN words; and those of the different words."""
         scores, places = np.empty(len(words)), np.empty(len(words), np.int64)
         number: dict[str, int] = {}
         for at in range(0, len(words), 4096):  # a part at a time, as places are reused when the cache is full
@@ -160,8 +164,9 @@ class SubwordSoftmax:
             places[at : at + len(part)] = [number.setdefault(w, len(number)) for w in part]
         order = np.argsort(places, kind="stable")
         again = (places[order][1:] == places[order][:-1]) & (np.diff(order) <= AGAIN)
+        different = scores[order[np.r_[True, places[order][1:] != places[order][:-1]]]] if len(words) else scores
         scores[order[1:][again]] = 0.0
-        return scores
+        return scores, different
 
     @staticmethod
     def window_sums(scores: np.ndarray, window: int) -> tuple[np.ndarray, int]:
@@ -171,19 +176,23 @@ class SubwordSoftmax:
         return upto[np.minimum(starts + window, len(scores))] - upto[starts], step
 
     def logits(self, words: list[str]) -> list[float]:
-        """Of the most toxic window of each length and of the whole text; the bias alone without words."""
-        scores = self.word_scores(words)
+        """Of the most toxic window of each length, of the whole text, and of its most toxic different words; the bias alone without words."""
+        scores, different = self.word_scores(words)
         each = [self.window_sums(scores, window)[0].max() / window for window in SCALES]
-        return [self.bias + x for x in (*each, scores.sum() / max(SCALES[-1], len(scores)))]
+        most = min(len(different), WORST[-1])
+        worst = np.zeros(WORST[-1])  # neutral words fill it up
+        worst[:most] = np.sort(np.maximum(0.0, np.partition(different, len(different) - most)[len(different) - most :]))[::-1] if most else 0.0
+        upto = np.cumsum(worst)
+        return [self.bias + x for x in (*each, scores.sum() / max(SCALES[-1], len(scores)), *(upto[k - 1] / k for k in WORST))]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         a, b = self.scale
-        logits = np.array([self.logits(WORDS.findall((t or "").lower())) for t in texts]).reshape(len(texts), len(SCALES) + 1)
+        logits = np.array([self.logits(WORDS.findall((t or "").lower())) for t in texts]).reshape(len(texts), BAGS)
         return 1 / (1 + np.exp(-np.clip(logits @ a + b, -50, 50)))
 
 
 def calibrated(logit: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
-    """Slopes and shift that make rows of logits probabilities, on texts that training has not seen; smoothed targets."""
+    """Slopes and shift that make rows of logits odds of even ones at THRESHOLD, on texts that training has not seen; smoothed targets."""
     if len(set(label.tolist())) < 2:
         return np.full(logit.shape[1], 1 / logit.shape[1]), 0.0
     goal = np.where(label == 1, (label.sum() + 1) / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
@@ -199,7 +208,7 @@ def calibrated(logit: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return w[:-1] / spread, float(w[-1] - (w[:-1] * mean / spread).sum())
+    return w[:-1] / spread, float(w[-1] - (w[:-1] * mean / spread).sum()) + math.log(THRESHOLD / (1 - THRESHOLD))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> SubwordSoftmax:

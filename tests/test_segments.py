@@ -39,14 +39,23 @@ KINDS = ["random", "onward", "to and fro", "speeds"]
 OTHER = ({"speed": 0.1, "road": 0.3, "length": 2.0, "angle": 0.01}, {"speed": 5.0, "road": 200.0, "length": 1.0, "angle": 1e5})
 
 
+EVEN = ({"speed": 1.0, "road": 0.0, "length": 0.01, "angle": 0.0}, {"speed": 50.0, "road": 20.0, "length": 1.0, "angle": 1000.0})
+
+
 @pytest.mark.parametrize("kind", KINDS)
 @pytest.mark.parametrize("n", [2, 9, 10, 19, 20, 100, 333, 700])
 def test_same_cuts_as_all_starts(kind, n):
-    for weights, upper, least in ((segmentation.WEIGHTS, segmentation.UPPER, 10), (*OTHER, 7), ({**segmentation.WEIGHTS, "angle": -0.5}, segmentation.UPPER, 10)):
+    for weights, upper, least in ((segmentation.WEIGHTS, segmentation.UPPER, 10), (*OTHER, 7), (*EVEN, 10), ({**segmentation.WEIGHTS, "angle": -0.5}, segmentation.UPPER, 10)):
         costs = segmentation.Costs(*way(n, kind, n), weights, upper)
         assert segmentation.best_cuts(costs, least) == quadratic(costs, least)
 
 
+def test_even_speeds_are_cut_apart():
+    costs = segmentation.Costs(*way(700, "speeds", 1), *EVEN)
+    starts = segmentation.best_cuts(costs)
+    assert starts == quadratic(costs, 10) and len(starts) > 20
+
+
 def test_starts_are_dropped_for_good():
     costs = segmentation.Costs(*way(20_000, "random"), segmentation.WEIGHTS, segmentation.UPPER)
     seen = []

@@ -117,16 +117,16 @@ def planar_point_segment_distance(px: Value, py: Value, x1: Value, y1: Value, x2
     return F.sqrt(dx * dx + dy * dy)
 
 
-def destination(lat: Value, lon: Value, angle: Column, metres: float) -> tuple[Column, Column]:
+def destination(lat: Value, lon: Value, angle: Column, metres: float | Column) -> tuple[Column, Column]:
     """(lon, lat) after ``metres`` along a bearing given in radians."""
     lat1, lon1, reach = F.radians(col(lat)), F.radians(col(lon)), metres / EQUATOR_RADIUS
-    sine, cosine = math.sin(reach), math.cos(reach)
+    sine, cosine = (F.sin(reach), F.cos(reach)) if isinstance(reach, Column) else (math.sin(reach), math.cos(reach))
     lat2 = F.asin(F.sin(lat1) * cosine + F.cos(lat1) * sine * F.cos(angle))
     lon2 = lon1 + F.atan2(F.sin(angle) * sine * F.cos(lat1), cosine - F.sin(lat1) * F.sin(lat2))
     return F.degrees(lon2), F.degrees(lat2)
 
 
-def extend_line(lon: Value, lat: Value, to_lon: Value, to_lat: Value, metres: float = 100.0) -> tuple[Column, Column]:
+def extend_line(lon: Value, lat: Value, to_lon: Value, to_lat: Value, metres: float | Column = 100.0) -> tuple[Column, Column]:
     """(lon, lat) ``metres`` from a start towards another point, the direction taken in plain degrees; the start if both coincide."""
     dx, dy = col(to_lon) - col(lon), col(to_lat) - col(lat)
     still = (dx == 0) & (dy == 0)
@@ -134,10 +134,10 @@ def extend_line(lon: Value, lat: Value, to_lon: Value, to_lat: Value, metres: fl
     return F.when(still, col(lon)).otherwise(lon2), F.when(still, col(lat)).otherwise(lat2)
 
 
-def arrow_points(lat: Value, lon: Value, angle: Value, size: float = 20.0) -> Column:
+def arrow_points(lat: Value, lon: Value, angle: Value, size: float | Column = 20.0) -> Column:
     """Tip, left and right wing of an arrow head: an array of (lat, lon)."""
     wings = [destination(lat, lon, F.radians(col(angle)) + math.radians(side), size) for side in (150, -150)]
-    return F.array(*(F.struct(y.alias("lat"), x.alias("lon")) for x, y in [(col(lon), col(lat)), *wings]))
+    return F.array(*(F.named_struct(F.lit("lat"), y, F.lit("lon"), x) for x, y in [(col(lon), col(lat)), *wings]))
 
 
 def midpoint(lon1: Value, lat1: Value, lon2: Value, lat2: Value) -> tuple[Column, Column]:
@@ -213,7 +213,7 @@ def style_tier(diagonal: Value) -> Column:
     tiers = ((500.0, 6.0, 0.8, 2.5), (1000.0, 5.8, 0.8, 2.0), (1500.0, 5.0, 0.7, 1.8), (2000.0, 4.5, 0.7, 1.5), (math.inf, 4.0, 0.6, 1.2))
     chosen = None
     for most, radius, opacity, width in tiers:
-        tier = F.struct(F.lit(radius).alias("radius"), F.lit(opacity).alias("opacity"), F.lit(width).alias("width"))
+        tier = F.named_struct(F.lit("radius"), F.lit(radius), F.lit("opacity"), F.lit(opacity), F.lit("width"), F.lit(width))
         test = col(diagonal) <= most
         chosen = F.when(test, tier) if chosen is None else chosen.when(test, tier)
     return chosen

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
+from wayline.functions import geo
+from wayline.functions.geodesic import geodesic
 from wayline.operators.segmentation import UPPER, WEIGHTS, Costs, best_cuts, merge_small, road_starts
 
 # bodies in SQL, so that Catalyst inlines them
@@ -24,6 +26,45 @@ FUNCTIONS = {
     "bearing_name(degrees DOUBLE) RETURNS STRING": "element_at(array('North', 'Northeast', 'East', 'Southeast', 'South', 'Southwest', 'West', 'Northwest'), CAST(floor((degrees + 22.5D) / 45) AS INT) % 8 + 1)",
     "speed_of(metres DOUBLE, seconds DOUBLE) RETURNS DOUBLE": "CASE WHEN seconds = 0 THEN 0D ELSE metres / seconds END",
 }
+# functions of functions have no SQL text of their own, so this one is written out
+LINE_MIDPOINT = """CASE WHEN size(line) < 2 THEN try_element_at(line, 1) ELSE aggregate(
+    transform(sequence(1, size(line) - 1), i -> struct(line[i - 1] AS a, line[i] AS b, sqrt(pow(line[i].lon - line[i - 1].lon, 2D) + pow(line[i].lat - line[i - 1].lat, 2D)) AS n)),
+    struct(aggregate(transform(sequence(1, size(line) - 1), i -> sqrt(pow(line[i].lon - line[i - 1].lon, 2D) + pow(line[i].lat - line[i - 1].lat, 2D))), 0D, (x, y) -> x + y) / 2 AS rest, false AS found, line[0] AS spot),
+    (acc, s) -> struct(acc.rest - s.n AS rest, acc.found OR acc.rest <= s.n AS found,
+      CASE WHEN acc.found OR acc.rest > s.n THEN acc.spot ELSE struct(s.a.lon + (s.b.lon - s.a.lon) * coalesce(try_divide(acc.rest, s.n), 0D) AS lon, s.a.lat + (s.b.lat - s.a.lat) * coalesce(try_divide(acc.rest, s.n), 0D) AS lat) END AS spot)).spot END"""
+
+
+POINT, LINE = "DOUBLE", "ARRAY<STRUCT<lon: DOUBLE, lat: DOUBLE>>"
+PAIR = "lat1 lon1 lat2 lon2"
+# name: (what it is, its arguments, names of the parts of a result that has several)
+GEOMETRY: dict[str, tuple] = {
+    "vector_angle": (geo.vector_angle, "x1 y1 x2 y2", None),
+    "heading_change": (geo.heading_change, "lon1 lat1 lon2 lat2 lon3 lat3", None),
+    "turn_angle": (geo.turn_angle, "x1 y1 x2 y2", None),
+    "edge_turn_angle": (geo.edge_turn_angle, "line1:line line2:line", None),
+    "turn_type": (geo.turn_type, "angle", None),
+    "point_segment_metres": (geo.point_segment_distance, f"lat lon {PAIR}", None),
+    "point_segment_degrees": (geo.planar_point_segment_distance, "px py x1 y1 x2 y2", None),
+    "extend_line": (geo.extend_line, "lon lat to_lon to_lat metres", ("lon", "lat")),
+    "arrow_points": (geo.arrow_points, "lat lon angle size", None),
+    "midpoint": (geo.midpoint, "lon1 lat1 lon2 lat2", ("lon", "lat")),
+    "position_on_line": (geo.position_on_line, "lon1 lat1 lon2 lat2 share", ("lat", "lon")),
+    "out_of_china": (geo.out_of_china, "lat lon", None),
+    "gcj_to_wgs": (geo.gcj_to_wgs, "lat lon", ("lat", "lon")),
+    "wgs_to_gcj": (geo.wgs_to_gcj, "lat lon", ("lat", "lon")),
+    "style_tier": (geo.style_tier, "diagonal", None),
+}
+
+
+def as_sql(spark: SparkSession, name: str) -> str:
+    """The statement that makes a geometry function from its Column expression, so that it is written once."""
+    function, given, parts = GEOMETRY[name]
+    typed = [(a.split(":")[0], LINE if a.endswith(":line") else POINT) for a in given.split()]
+    frame = spark.range(1).select(*[F.lit(None).cast(kind).alias(a) for a, kind in typed])
+    made = function(*[F.col(a) for a, _ in typed])
+    made = made if parts is None else F.named_struct(*[x for k, c in zip(parts, made) for x in (F.lit(k), c)])
+    body = frame.select(made.alias("x"))._jdf.queryExecution().analyzed().expressions().head().child().sql()
+    return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{a} {kind}' for a, kind in typed)}) RETURN {body}"
 
 
 def merged_by_road(lon: tuple, lat: tuple, road: tuple, angle: float = 30.0, reach: int = 5, least: int | None = 30) -> list[list[int]]:
@@ -111,12 +152,16 @@ class SegmentsByCost(Segmented):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the functions known to the session: ``SELECT haversine_metres(...)``,
+    """Makes the functions known to the session: ``SELECT haversine_metres(...)``, the other geometry by its names in ``GEOMETRY``,
     ``SELECT * FROM road_segments(TABLE(points) PARTITION BY devid ORDER BY seq)``, and, for a devid of any type and with all the
     table's columns, ``SELECT * FROM segments_by_road(TABLE(points), least => 30)`` (no merging where least is NULL) and
     ``segments_by_cost(TABLE(points), least => 10)``. A partition's points must fit a task."""
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    for name in GEOMETRY:
+        spark.sql(as_sql(spark, name))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION line_midpoint(line {LINE}) RETURN {LINE_MIDPOINT}")
+    spark.udf.register("geodesic_metres", geodesic)
     spark.udtf.register("road_segments", F.udtf(RoadSegments, returnType="devid bigint, seq bigint, segment bigint"))
     spark.udtf.register("segments_by_road", F.udtf(SegmentsByRoad))
     spark.udtf.register("segments_by_cost", F.udtf(SegmentsByCost))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +13,12 @@ from wayline.functions import parse
 ROAD_TASKS, ANOMALY = ["TTE", "Anomaly Detection", "Mobility Prediction"], ["Anomaly Detection"]
 ANOMALY_PATH, ARRIVAL_PATH = "Anomaly Detection/consolidated_data", "TTE/consolidated_data"
 # fixed values: (dataset, source path, folder prefix, priority, tasks)
-SOURCES = [(c, path, prefix, priority, tasks) for c in ("Chengdu", "Porto", "Xian") for path, prefix, priority, tasks in ((ARRIVAL_PATH, "consolidated_", 1, ROAD_TASKS), (ANOMALY_PATH, "consolidated_anomaly_", 2, ANOMALY))]
-SOURCES.append(("Beijing", "", "", 1, ["TMI"]))
+SOURCES = [
+    ("Chengdu", ARRIVAL_PATH, "consolidated_", 1, ROAD_TASKS), ("Chengdu", ANOMALY_PATH, "consolidated_anomaly_", 2, ANOMALY),
+    ("Porto", ARRIVAL_PATH, "consolidated_", 1, ROAD_TASKS), ("Porto", ANOMALY_PATH, "consolidated_anomaly_", 2, ANOMALY),
+    ("Xian", ARRIVAL_PATH, "consolidated_", 1, ROAD_TASKS), ("Xian", ANOMALY_PATH, "consolidated_anomaly_", 2, ANOMALY),
+    ("Beijing", "", "", 1, ["TMI"]),
+]
 # fixed values: (task, user prompt file, output file)
 TASKS = [
     ("TTE", "dynamically_generated_stats_prompt.txt", "o4-mini.txt"), ("Anomaly Detection", None, "ad-o4-mini.txt"),
@@ -81,6 +88,19 @@ def prompts(found: DataFrame, texts: DataFrame, system: DataFrame, spark: SparkS
     return wanted.join(user, ["dataset", "full_name", "filename"], "left").join(F.broadcast(system), ["dataset", "task"], "left").select("dataset", "id", "task", "system_prompt", "user_prompt")
 
 
+def read_system_prompts(path: str | None = None) -> list[dict]:
+    """The versions of the system prompts: task, datasets, version, text, placeholders (picture slots that the task's messages have), answer (an example)."""
+    with open(path or os.path.join(os.path.dirname(__file__), "system_prompts.json"), encoding="utf-8") as f:
+        return json.load(f)
+
+
+def system_prompts(spark: SparkSession, version: int | None = None, given: list[dict] | None = None) -> DataFrame:
+    """dataset, task, version, system_prompt: the latest text of each, or the latest up to ``version``."""
+    rows = [(d, p["task"], p["version"], p["text"]) for p in given or read_system_prompts() for d in p["datasets"] if version is None or p["version"] <= version]
+    all_ = spark.createDataFrame(rows, "dataset string, task string, version int, system_prompt string")
+    return all_.groupBy("dataset", "task").agg(F.max_by(F.struct("version", "system_prompt"), "version").alias("p")).select("dataset", "task", "p.*")
+
+
 def artifact_type(name: Column) -> Column:
     """The first kind that a file name contains."""
     return F.when(name.contains("poi"), "poi").when(name.contains("road_structure"), "road_structure").when(name.contains("last_trajectory"), "last_trajectory").otherwise("other")

@@ -21,6 +21,23 @@ def first_per(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
     return rows.groupBy(key).agg(F.min(row).alias("first")).select(key, *[F.col(f"first.{c}").alias(c) for c in rest])
 
 
+ID_FIELDS = ("id", "traj_id", "trajectory_id", "devid", "device_id")  # fixed values
+
+
+def first_match(asked: DataFrame, rows: DataFrame, order: str, fields: tuple[str, ...] = ID_FIELDS) -> DataFrame:
+    """``asked`` (key) with the columns of the row that is the first by ``order`` to have the key, as text, in any of the id ``fields`` it has.
+
+    Keys without a row are left out. Rows are reduced to one per id before they meet the keys. ``order`` tells rows apart: a line
+    number, or struct(_metadata.file_path, _metadata.row_index) of rows that were read from Parquet files.
+    """
+    present = [F.col(c).cast("string") for c in fields if c in rows.columns]
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    each = rows.select(F.explode(F.array_distinct(F.array(*present))).alias("\x00id"), F.col(order).alias("\x00order"), whole.alias("\x00row")).where("`\x00id` is not null")
+    first = each.groupBy("\x00id").agg(F.min_by("\x00row", "\x00order").alias("\x00row"))
+    met = asked.join(first, asked["key"].cast("string") == first["\x00id"])
+    return met.select(*[asked[c] for c in asked.columns], *[F.col(f"`\x00row`.`{c}`") for c in rows.columns if c not in asked.columns])
+
+
 def arrival_errors(answers: DataFrame, trips: DataFrame) -> DataFrame:
     """Per answer (devid, text) of trips (devid, start_ts, end_ts): eta, error_s, duration_s; NULLs where an answer or its trip is missing. Of a repeated trip the first counts."""
     rows = answers.withColumn("eta", parse.eta("text")).join(first_per(trips, "devid"), "devid", "left")

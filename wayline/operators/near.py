@@ -121,6 +121,12 @@ def spots_near(points: DataFrame, spots: DataFrame, metres: float, cell: float =
     return met.where(F.col("dist") <= metres).groupBy("devid", "id").agg(F.min("dist").alias("dist"))
 
 
+def too_close(spots: DataFrame, points: DataFrame, metres: float = 30.0, most: int = LEAF_MOST) -> DataFrame:
+    """``spots`` (id, lon, lat) with close: whether a point of any trajectory is nearer than ``metres``, so that a label there would hide it."""
+    near = spots_near(points, spots, metres, most=most).where(F.col("dist") < metres).select("id").distinct().withColumn("close", F.lit(True))
+    return spots.join(near, "id", "left").withColumn("close", F.coalesce("close", F.lit(False)))
+
+
 def spots_in_view(view: DataFrame, spots: DataFrame, cell: float = 0.02, most: int = LEAF_MOST) -> DataFrame:
     """devid, id: spots inside each view (devid, min_lon, max_lon, min_lat, max_lat), edges included."""
     seen = view.select("devid", F.col("min_lon").alias("x1"), F.col("max_lon").alias("x2"), F.col("min_lat").alias("y1"), F.col("max_lat").alias("y2"))

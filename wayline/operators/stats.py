@@ -64,24 +64,44 @@ def road_average(observed: DataFrame) -> DataFrame:
     return observed.groupBy("road_id").agg(F.avg("speed").alias("avg_speed"), F.count("speed").alias("n"))
 
 
-def adaptive_average(observed: DataFrame, asked: DataFrame, least: int = 50, windows: tuple[int, ...] = (2, 4, 6, 8, 10)) -> DataFrame:
+EXACT = "decimal(38,12)"  # sums of speeds, so that differences of sums lose nothing
+BUCKET = 86_400  # seconds
+
+
+def sums_until(seconds: DataFrame, edges: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``edges`` (road_id, x, high, ...) with n and s: count and sum of the observations (road_id, t, n, s) before x, and at x too if high.
+
+    Prefix sums in two levels: buckets of time are summed up first and counted on within a road, then seconds within a bucket. A road
+    with very many observations is no task's alone.
+    """
+    rest = [c for c in edges.columns if c not in ("road_id", "x", "high")]
+    seen = seconds.select("road_id", F.col("t").cast("double").alias("x"), F.lit(1).alias("turn"), F.col("n").cast("long").alias("n"), F.col("s").cast(EXACT).alias("s"))
+    asked = edges.select("road_id", F.col("x").cast("double").alias("x"), F.when(F.col("high"), 2).otherwise(0).alias("turn"), F.lit(0).cast("long").alias("n"), F.lit(0).cast(EXACT).alias("s"), *rest)
+    both = seen.unionByName(asked, allowMissingColumns=True).withColumn("bucket", F.floor(F.col("x") / bucket))
+    totals = both.groupBy("road_id", "bucket").agg(F.sum("n").alias("n"), F.sum("s").cast(EXACT).alias("s"))
+    before = W.partitionBy("road_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    base = totals.select("road_id", "bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast(EXACT if c == "s" else "long").alias(f"{c}_before") for c in ("n", "s")])
+    within = W.partitionBy("road_id", "bucket").orderBy("x", "turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = both.select("road_id", "bucket", "x", "turn", *rest, F.sum("n").over(within).alias("n"), F.sum("s").over(within).cast(EXACT).alias("s")).where("turn <> 1")
+    found = summed.join(base, ["road_id", "bucket"])
+    return found.select("road_id", "x", (F.col("turn") == 2).alias("high"), *rest, (F.col("n") + F.col("n_before")).alias("n"), (F.col("s") + F.col("s_before")).cast(EXACT).alias("s"))
+
+
+def adaptive_average(observed: DataFrame, asked: DataFrame, least: int = 50, windows: tuple[int, ...] = (2, 4, 6, 8, 10), bucket: int = BUCKET) -> DataFrame:
     """``asked`` (ask_id, road_id, moment) with speed: the mean over the narrowest window of seconds around ``moment`` that has ``least`` observations, else over all of the road.
 
-    Observations are summed per second, and meet the questions by road and slot of time, so a question reads
-    what is near it only; one aggregation has a pair of conditional sums a window. Like questions are asked once.
+    A window is the difference of two prefix sums of its road, so what a question costs doesn't depend on how wide windows are or how
+    many observations they hold. Like questions are asked once.
     """
-    wide = max(windows)
     per_second = observed.where("speed is not null").groupBy("road_id", "t").agg(F.sum("speed").alias("s"), F.count("*").alias("n"))
-    per_second = per_second.withColumn("slot", F.floor(F.col("t") / wide))
-    once = asked.select("road_id", "moment").distinct()
-    slots = once.withColumn("slot", F.explode(F.sequence(F.floor((F.col("moment") - wide) / wide), F.floor((F.col("moment") + wide) / wide))))
-    gap = F.abs(F.col("t") - F.col("moment"))
-    near = slots.join(per_second, ["road_id", "slot"]).where(gap <= wide).groupBy("road_id", "moment").agg(
-        *[F.sum(F.when(gap <= w, F.col("n"))).alias(f"n{w}") for w in windows], *[F.sum(F.when(gap <= w, F.col("s"))).alias(f"s{w}") for w in windows]
-    )
-    whole = per_second.groupBy("road_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    once = asked.select("road_id", "moment").where("road_id is not null and moment is not null").distinct()
+    ends = [F.struct(F.lit(w).alias("w"), F.lit(high).alias("high"), (F.col("moment") + (w if high else -w)).cast("double").alias("x")) for w in windows for high in (False, True)]
+    sums = sums_until(per_second, once.select("road_id", "moment", F.explode(F.array(*ends)).alias("e")).select("road_id", "moment", "e.*"), bucket)
+    part = lambda c, w: F.sum(F.when(F.col("w") == w, F.when(F.col("high"), F.col(c)).otherwise(-F.col(c))))
+    near = sums.groupBy("road_id", "moment").agg(*[part("n", w).alias(f"n{w}") for w in windows], *[part("s", w).cast("double").alias(f"s{w}") for w in windows])
+    whole = per_second.groupBy("road_id").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast(EXACT)).cast("double").alias("s"))
     found = F.coalesce(*[F.when(F.col(f"n{w}") >= least, F.try_divide(f"s{w}", f"n{w}")) for w in windows], F.try_divide("s", "n"))
-    answers = once.join(near, ["road_id", "moment"], "left").join(whole, "road_id", "left").select("road_id", "moment", found.alias("speed"))
+    answers = near.join(whole, "road_id", "left").select("road_id", "moment", found.alias("speed"))
     return asked.join(answers, ["road_id", "moment"], "left")
 
 

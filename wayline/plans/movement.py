@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from wayline.functions import geo
 from wayline.functions.geodesic import geodesic
 from wayline.operators import near, stats, steps
-from wayline.registry import query, table
+from wayline.registry import ORACLE, query, table
 from wayline.sources import roads, trajectories
 
 from . import sql
@@ -76,7 +76,7 @@ def line_in_bounds(spark: SparkSession, d: str) -> DataFrame:
     return lines_in_bounds(spark, d, points_of(spark, d))
 
 
-@query()
+@query(ORACLE["line_in_bounds"])
 def line_in_bounds_all(spark: SparkSession, d: str) -> DataFrame:
     """The same under its earlier name, tested against brute force."""
     return lines_in_bounds(spark, d, points_of(spark, d))

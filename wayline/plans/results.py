@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from wayline.functions import parse
 from wayline.operators import catalog, evaluate, models, prompts
 from wayline.registry import query, table
+from wayline.sources import files as files_source
+from wayline.sources import trajectories
 
 from .movement import points_of, r
 from .segments import parts_of
@@ -95,6 +97,16 @@ def parse_top5(spark: SparkSession, d: str) -> DataFrame:
     return road_answers(spark, d)[0].select("devid", F.array_join(parse.top5("text"), "|").alias("top5"))
 
 
+@query("""WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey + 1 END AS devid, o_custkey % 50 AS label FROM orders),
+    k AS (SELECT o_orderkey, unnest([id, devid]) AS key, label FROM r) SELECT c_custkey AS key, min(o_orderkey) AS o_orderkey, min_by(label, o_orderkey) AS label FROM customer JOIN k ON c_custkey = key GROUP BY c_custkey""")
+def mp_first_match(spark: SparkSession, d: str) -> DataFrame:
+    """The first row, in the order of a file, that has a customer's key in one of its id fields."""
+    key, owner = F.col(ORDER), F.col("o_custkey")
+    rows = table(spark, d, "orders").select(ORDER, F.when(key % 3 == 0, owner).alias("id"), F.when(key % 3 != 0, owner + 1).alias("devid"), (owner % 50).alias("label"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    return evaluate.first_match(asked, rows, ORDER).select("key", ORDER, "label")
+
+
 @query(f"SELECT devid, shape = 0 AS hit1, shape IN (1, 2) AS hit5 FROM ({_ROAD}) WHERE shape < 4")
 def mp_eval(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.next_road_hits(*road_answers(spark, d)).select("devid", "hit1", "hit5")
@@ -187,6 +199,11 @@ def tmi_class_distribution(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.class_distribution(rides(spark, d))
 
 
+@query(f"SELECT vec_id, truth, prediction FROM ({_RIDES}) WHERE prediction IS NOT NULL AND truth <> prediction")
+def tmi_misclassified(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.misclassified(rides(spark, d))
+
+
 @query("SELECT o_orderkey, [o_orderkey, o_custkey] AS ids FROM orders")
 def parse_id_list(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", parse.id_list(F.concat_ws(",", "o_orderkey", "o_custkey")).alias("ids"))
@@ -279,6 +296,28 @@ def catalog_images(spark: SparkSession, d: str) -> DataFrame:
     return catalog.images(files).drop("dataset")
 
 
+_CITY = "['Chengdu', 'Porto', 'Xian', 'Beijing'][1 + CAST(devid % 4 AS INT)]"
+
+
+@query(with_("points", ids=_IDS, names=_NAMES, images=_IMAGES.replace("SELECT ", f"SELECT {_CITY} AS dataset, ", 1), body="""SELECT dataset, id, CASE WHEN dataset = 'Beijing' THEN replace(filename, concat('_', id), '') ELSE filename END AS filename, context, role, number,
+    CASE role WHEN 'segment' THEN concat('segment ', number) WHEN 'last_trajectory' THEN concat('last trajectory ', CASE WHEN number <= 17 THEN 'small' WHEN number <= 18 THEN 'medium' ELSE 'large' END) END AS label FROM images WHERE dataset <> 'Beijing' OR role <> 'last_trajectory'"""))
+def catalog_images_cities(spark: SparkSession, d: str) -> DataFrame:
+    """The pictures of four cities; one has no ids in its names and no views of the end point."""
+    id_ = F.col("devid").try_cast("bigint")
+    city = F.element_at(F.array(*map(F.lit, ("Chengdu", "Porto", "Xian", "Beijing"))), (id_ % 4 + 1).cast("int"))
+    name = F.when(city == "Beijing", F.replace("filename", F.concat(F.lit("_"), "devid"), F.lit(""))).otherwise(F.col("filename"))
+    return catalog.images(consolidated(spark, d).select(city.alias("dataset"), F.col("devid").alias("id"), name.alias("filename")))
+
+
+@query(with_("points", body="SELECT devid, count(*) AS n FROM points GROUP BY devid HAVING devid % 7 <> 0 AND devid % 5 <> 0"))
+def consistent_trajectories(spark: SparkSession, d: str) -> DataFrame:
+    """Trajectories whose arrays agree; every seventh has lost a time, every fifth has a road too many."""
+    nested = trajectories.nest(points_of(spark, d))
+    short = F.when(F.col("devid") % 7 == 0, F.slice("times", 1, F.size("times") - 1)).otherwise(F.col("times"))
+    more = F.when(F.col("devid") % 5 == 0, F.concat("road_ids", F.array(F.lit(-1).cast("bigint")))).otherwise(F.col("road_ids"))
+    return trajectories.consistent(nested.withColumns({"times": short, "road_ids": more})).select("devid", F.size("points").cast("bigint").alias("n"))
+
+
 @query(with_("points", ids=_IDS, names=_NAMES, places="SELECT *, row_number() OVER (PARTITION BY devid ORDER BY filename) AS k FROM names", body="""SELECT devid, concat('image', k) AS slot, filename FROM (SELECT CAST(devid AS VARCHAR) AS devid, k, filename FROM places) WHERE k <= 10
     UNION ALL SELECT CAST(devid AS VARCHAR), 'last_trajectory_view', concat('last_trajectory_', devid, '_17.png') FROM ids UNION ALL SELECT CAST(devid AS VARCHAR), 'poi_full_image', concat('poi_', devid, '.png') FROM ids
     UNION ALL SELECT CAST(devid AS VARCHAR), 'road_structure_full_image', concat('road_structure_', devid, '.png') FROM ids"""))
@@ -405,7 +444,7 @@ def model_answers(spark: SparkSession, d: str) -> DataFrame:
 
 def pictures_of(spark: SparkSession, d: str) -> DataFrame:
     files = consolidated(spark, d).where(catalog.artifact_type(F.col("filename")).isNotNull())
-    return files.select(F.col("devid").cast("bigint").alias("devid"), "filename", F.concat(F.lit("file:"), "filename").alias("picture"))
+    return files.select(F.col("devid").try_cast("bigint").alias("devid"), "filename", F.concat(F.lit("file:"), "filename").alias("picture"))
 
 
 _SHOWN = "SELECT devid, CAST(row_number() OVER (PARTITION BY devid ORDER BY filename) AS BIGINT) AS pos, 'image_url' AS type, concat('file:', filename) AS content FROM names WHERE"
@@ -454,6 +493,15 @@ def catalog_tasks(spark: SparkSession, d: str) -> DataFrame:
     return catalog.lookup(listed, listed.select("dataset", "id").distinct(), False).select("dataset", "id", F.array_join("tasks", "|").alias("tasks"))
 
 
+@query(f"SELECT dataset, folder, id, source_path FROM (SELECT *, CASE WHEN dataset = 'Beijing' THEN concat('010_train_', key) WHEN source_path LIKE 'Anomaly%' THEN concat('consolidated_anomaly_', key) ELSE concat('consolidated_', key) END AS folder FROM ({_FOLDERS}))")
+def catalog_folders(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog from paths of files, as a listing of the result folders gives them."""
+    root = "hdfs://store/results"
+    files = folders(spark, d).select(F.concat_ws("/", F.lit(root), "dataset", F.when(F.col("source_path") != "", F.col("source_path")), "folder", F.lit("image_order.json")).alias("path"), "folder")
+    listed = catalog.trajectories(files_source.in_sources(files, root).select("dataset", "source_path", "folder").distinct(), spark)
+    return listed.select("dataset", F.col("full_name").alias("folder"), "id", "source_path")
+
+
 def looked_up(spark: SparkSession, d: str) -> DataFrame:
     listed = catalog.trajectories(folders(spark, d), spark)
     asked = listed.select("dataset", "id").distinct().join(F.broadcast(catalog.tasks(spark).select("task")))
@@ -486,8 +534,10 @@ def catalog_outputs(spark: SparkSession, d: str) -> DataFrame:
 _USER = "CASE task WHEN 'TTE' THEN 'dynamically_generated_stats_prompt.txt' WHEN 'Mobility Prediction' THEN 'dynamically_generated_stats_prompt_MP.txt' END"
 
 
-@query(f"SELECT dataset, id, task, CASE WHEN (dataset = 'Beijing') = (task = 'TMI') THEN concat('system ', task, ' ', dataset) END AS system_prompt, CASE WHEN key % 3 <> 0 AND {_USER} IS NOT NULL THEN 'text of ' || {_USER} || ' ' || key END AS user_prompt FROM ({_LOOKED})")
+_SYSTEM = ", ".join("('{}', '{}', '{}')".format(d, p["task"], p["text"].replace("'", "''")) for p in catalog.read_system_prompts() for d in p["datasets"])
+
+
+@query(f"SELECT dataset, id, task, system_prompt, CASE WHEN key % 3 <> 0 AND {_USER} IS NOT NULL THEN 'text of ' || {_USER} || ' ' || key END AS user_prompt FROM ({_LOOKED}) LEFT JOIN (VALUES {_SYSTEM}) AS s(dataset, task, system_prompt) USING (dataset, task)")
 def catalog_prompts(spark: SparkSession, d: str) -> DataFrame:
-    cities = {c for c, *_ in catalog.SOURCES}
-    system = [(c, t, f"system {t} {c}") for c in sorted(cities) for t, *_ in catalog.TASKS if (c == "Beijing") == (t == "TMI")]
-    return catalog.prompts(looked_up(spark, d), result_texts(spark, d), spark.createDataFrame(system, "dataset string, task string, system_prompt string"), spark)
+    system = catalog.system_prompts(spark).drop("version")
+    return catalog.prompts(looked_up(spark, d), result_texts(spark, d), system, spark)

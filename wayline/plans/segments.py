@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayline.functions import geo
 from wayline.functions.geodesic import geodesic
 from wayline.operators import anomaly, near, segmentation, stats, steps
-from wayline.registry import query, table
+from wayline.registry import ORACLE, query, table
 from wayline.sources import roads, trajectories
 
 from . import sql
@@ -85,7 +85,34 @@ def segment_continuity(spark: SparkSession, d: str) -> DataFrame:
     return full.select("devid", "seg", F.count("*").over(W.partitionBy("devid", "seg")).alias("size"), "seq")
 
 
-@query()
+_W, _U = segmentation.WEIGHTS, segmentation.UPPER
+_LIMITED = lambda k, x: f"{_W[k]} * least(1.0, greatest(0.0, ({x}) / {_U[k]}))"
+_COST = " + ".join([
+    _LIMITED("speed", "CASE WHEN h - d >= 2 AND c[s] - c[d + 1] >= 2 THEN greatest(0.0, (v2[s] - v2[d + 1]) / (c[s] - c[d + 1]) - pow((v[s] - v[d + 1]) / (c[s] - c[d + 1]), 2)) ELSE 0.0 END"),
+    _LIMITED("road", "CASE WHEN h - d >= 2 THEN g[s] - g[d + 1] ELSE 0.0 END"), _LIMITED("length", "1.0 / (h - d + 1)"),
+    _LIMITED("angle", "CASE WHEN h - d >= 3 AND k > d + 1 THEN u[k] - u[d + 1] ELSE 0.0 END"),
+])
+# prefix sums of a trajectory as lists, then the least cost of its first h points for h = 10, 11, ..., then the cuts from the end
+_CHEAPEST = {
+    "means": "SELECT devid, avg(speed) FILTER (dt > 0) AS m FROM steps GROUP BY devid",
+    "each": f"""SELECT p.devid, p.seq, CASE WHEN s.dt > 0 THEN 1.0 ELSE 0.0 END AS c1, CASE WHEN s.dt > 0 THEN s.speed - m ELSE 0.0 END AS v1, CASE WHEN s.road2 <> s.road_id THEN 1.0 ELSE 0.0 END AS g1,
+      abs(180 - {sql.angle('t.lon2 - t.lon', 't.lat2 - t.lat', 't.lon3 - t.lon2', 't.lat3 - t.lat2', '0.0')}) AS u1
+      FROM points p JOIN steps s USING (devid, seq) JOIN means USING (devid) LEFT JOIN (SELECT devid, seq, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, lead(lon, 2) OVER w AS lon3, lead(lat, 2) OVER w AS lat3 FROM points WINDOW w AS (PARTITION BY devid ORDER BY seq)) t USING (devid, seq)""",
+    "sums": """SELECT devid, seq, sum(c1) OVER w AS c, sum(v1) OVER w AS v, sum(v1 * v1) OVER w AS v2, sum(g1) OVER w AS g, CASE WHEN u1 IS NOT NULL THEN sum(u1) OVER w END AS u
+      FROM each WINDOW w AS (PARTITION BY devid ORDER BY seq)""",
+    "lists": """SELECT devid, count(*) + 1 AS n, list_prepend(0.0, list(c ORDER BY seq)) AS c, list_prepend(0.0, list(v ORDER BY seq)) AS v, list_prepend(0.0, list(v2 ORDER BY seq)) AS v2, list_prepend(0.0, list(g ORDER BY seq)) AS g,
+      list_prepend(0.0, list(u ORDER BY seq) FILTER (u IS NOT NULL)) AS u FROM sums GROUP BY devid""",
+    "best": f"""SELECT devid, 9 AS h, [0.0, 1e300, 1e300, 1e300, 1e300, 1e300, 1e300, 1e300, 1e300, 1e300] AS dp, [0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS back FROM lists UNION ALL
+      SELECT devid, h, list_append(dp, list_min(totals)), list_append(back, CAST(list_position(totals, list_min(totals)) - 1 AS INT)) FROM (
+        SELECT devid, h, dp, back, list(dp[d + 1] + {_COST} ORDER BY d) AS totals FROM (
+          SELECT *, greatest(d, least(h, n - 1)) + 1 AS s, greatest(d, least(h - 1, n - 2)) + 1 AS k FROM (SELECT b.devid, b.h + 1 AS h, b.dp, b.back, l.* EXCLUDE (devid), unnest(range(0, b.h - 8)) AS d FROM best b JOIN lists l USING (devid) WHERE b.h < l.n))
+        GROUP BY devid, h, dp, back)""",
+    "cuts_at": """SELECT devid, n AS stop, CASE WHEN n < 10 THEN 0 ELSE back[n + 1] END AS start, back FROM best JOIN lists USING (devid) WHERE h = n OR n < 10 AND h = 9 UNION ALL
+      SELECT devid, start, back[start + 1], back FROM cuts_at WHERE start > 0""",
+}
+
+
+@query(with_("points", "steps", **_CHEAPEST, body="SELECT devid, CAST(row_number() OVER (PARTITION BY devid ORDER BY start) - 1 AS BIGINT) AS seg, CAST(start AS BIGINT) AS start_seq, CAST(stop - 1 AS BIGINT) AS end_seq, CAST(stop - start AS BIGINT) AS n FROM cuts_at").replace("WITH", "WITH RECURSIVE", 1))
 def segment_dp(spark: SparkSession, d: str) -> DataFrame:
     return segmentation.by_cost(points_of(spark, d)).groupBy("devid", "seg").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count("*").alias("n"))
 
@@ -174,7 +201,7 @@ def adaptive_avg_speed(spark: SparkSession, d: str) -> DataFrame:
     return asked_speeds(points, points)
 
 
-@query()
+@query(ORACLE["adaptive_avg_speed"])
 def adaptive_avg_speed_all(spark: SparkSession, d: str) -> DataFrame:
     """The same under its earlier name, tested against brute force."""
     points = points_of(spark, d)
@@ -290,6 +317,18 @@ def lights_near_path(spark: SparkSession, d: str) -> DataFrame:
     return near.spots_near(points_of(spark, d), roads.lights_of(points_of(spark, d)), 20.0).select("devid", "id", r("dist", 4))
 
 
+_LABELS = "SELECT fid, (lon1 + lon2) / 2 AS lon, (lat1 + lat2) / 2 AS lat FROM edges"
+_HIDING = f"SELECT DISTINCT fid FROM labels l JOIN points p ON abs(l.lat - p.lat) < 0.001 AND abs(l.lon - p.lon) < 0.001 WHERE {sql.haversine('l.lat', 'l.lon', 'p.lat', 'p.lon')} < 30"
+
+
+@query(with_("points", "edges", labels=_LABELS, hiding=_HIDING, body="SELECT fid, fid IN (SELECT fid FROM hiding) AS close FROM labels"))
+def label_too_close(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the label at an edge's middle would be less than 30 m from a trajectory."""
+    middle = geo.line_midpoint("geometry")
+    labels = edges_of(spark, d).select(F.col("fid").alias("id"), middle["lon"].alias("lon"), middle["lat"].alias("lat"))
+    return near.too_close(labels, points_of(spark, d)).select(F.col("id").alias("fid"), "close")
+
+
 @query(with_("boxes", "lights", body="SELECT devid, id FROM boxes JOIN lights ON lon BETWEEN min_lon AND max_lon AND lat BETWEEN min_lat AND max_lat"))
 def lights_in_view(spark: SparkSession, d: str) -> DataFrame:
     return near.spots_in_view(trajectories.bounds(points_of(spark, d)), roads.lights_of(points_of(spark, d)))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .features import read_features, read_lights  # noqa: F401  the files of a network
+
 CELL = 1000000.0 / 1000  # grid cells a degree of the event trajectories' road ids
 
 
@@ -33,18 +35,6 @@ def read_attributes(spark: SparkSession, path: str) -> DataFrame:
     return attributes(text.select("line", F.split("value", ",").alias("fields")))
 
 
-def read_lights(spark: SparkSession, path: str) -> DataFrame:
-    """lights(id, lon, lat) from a JSON file with an ``elements`` list."""
-    raw = spark.read.schema("elements array<struct<id: bigint, lat: double, lon: double>>").json(path, multiLine=True)
-    return raw.select(F.explode("elements").alias("e")).select("e.id", "e.lon", "e.lat")
-
-
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON features, one row each: properties as JSON text and the coordinates as they stand."""
-    raw = spark.read.schema("features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>").json(path, multiLine=True)
-    return raw.select(F.explode("features").alias("f")).select("f.properties", "f.geometry.type", "f.geometry.coordinates")
-
-
 def numbered(rows: DataFrame, name: str, bucket: str, *order: str) -> DataFrame:
     """Adds 0, 1, 2, ... in the order of (bucket, order): counts per bucket are summed first, so no task has all rows."""
     counts = rows.groupBy(bucket).agg(F.count("*").alias("n"))

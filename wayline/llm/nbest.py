@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
 from .pieces import SPACE, Merges, PieceModel, UnitTable, model_path, open_model, slices
 
 N_BEST = 4
@@ -320,7 +321,7 @@ def encode(docs: DataFrame, n: int = N_BEST, path: str | None = None) -> DataFra
 
     ddl = """doc_id long, n_chars long, ids array<int>, n_tokens long, score long, best array<int>,
         nbest array<struct<n_tokens: long, score: long, changes: array<struct<at: int, drop: int, ids: array<int>>>>>, decoded_sha256 string, exact boolean"""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), ddl)
 
 
 def paths(encoded: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, label_sample
+from .common import id_bucket, label_sample, tidied
 
 PER_LABEL = 2_000  # labelled documents of either label to fit on
 PAIRS = 60_000
@@ -143,7 +143,7 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (id_bucket("doc_id", 5) == 0).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
@@ -157,4 +157,4 @@ def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(ranker.scores(b.column(place).to_pylist()) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

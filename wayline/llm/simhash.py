@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidied
 from .components import components
 from .exact_dedup import possible
 from .shingles import shingle_digests
@@ -353,7 +353,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, made.T.copy())], names=["doc_id", "text_hash", "key", "size", *FPS])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, size long, " + ", ".join(f"{w} long" for w in FPS))
+    return rows.mapInArrow(tidied(run), "doc_id long, text_hash long, key long, size long, " + ", ".join(f"{w} long" for w in FPS))
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -466,9 +466,9 @@ def alike(docs: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, liken
     once = texts.where("times = 1").select("key", "text")
     if not wanted.where("times > 1").isEmpty():
         once = once.unionByName(texts.where("times > 1").groupBy("key").agg(F.min("text").alias("text")))
-    sets = cut(once.mapInArrow(shingled, "key long, shingles binary"), "sets")
+    sets = cut(once.mapInArrow(tidied(shingled), "key long, shingles binary"), "sets")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return seats.join(sets, "key").select("meeting", "key", "others", "shingles").repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(compared, "a long, b long")
+    return seats.join(sets, "key").select("meeting", "key", "others", "shingles").repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(tidied(compared), "a long, b long")
 
 
 def like_groups(docs: DataFrame, width: int = NEAR_WIDTH, limit: int = REACH, likeness: float = LIKENESS, most: int = NEAR_MOST, aim: int = NEAR_AIM) -> DataFrame:

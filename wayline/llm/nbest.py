@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tidied
-from .pieces import SPACE, Merges, PieceModel, UnitTable, model_path, open_model, slices
+from .pieces import NEVER, SPACE, Lookup, Merges, PieceModel, UnitTable, model_path, open_model, slices
 
 N_BEST = 4
 PIECE = 1 << 40  # what a piece costs beside its rank, so that the number of pieces counts first
@@ -54,15 +54,14 @@ class Trie:
         self.token = np.full(len(node), -1)
         self.token[[node[p] for p in model.ids]] = list(model.ids.values())
         keys = np.array([node[p[:-1]] * self.signs + self.sign[ord(p[-1])] for p in node if p])
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], np.array([n for p, n in node.items() if p])[order]
+        self.edges = Lookup(keys, np.array([n for p, n in node.items() if p]))
 
     def down(self, node: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the nodes have an edge for their sign, and the nodes that these lead to."""
         key = node * self.signs + sign
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        there = self.keys[at] == key
-        return there, self.child[at[there]]
+        child = self.edges.get(key)
+        there = child < NEVER
+        return there, child[there]
 
 
 class Lattice(UnitTable):

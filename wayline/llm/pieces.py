@@ -22,6 +22,7 @@ import sentencepiece
 
 SPACE = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
+NEVER = 1 << 62
 MOST_UNITS = 400_000  # kept in a table
 MOST_FLAT = 1 << 24  # numbers kept in one of its arrays
 SLICE = 1 << 21  # characters of the texts that are worked on together; a longer text is alone
@@ -78,6 +79,37 @@ class PieceModel:
         return [self.byte_ids[b] for b in sign.encode()]
 
 
+class Lookup:
+    """Numbers by numbers of 0 or more, for many at once: a hash table with open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(3 * len(keys)).bit_length())
+        self.keys, self.values = np.full((1 << self.bits) + 64, -1, np.int64), np.zeros((1 << self.bits) + 64, np.int64)
+        for key, at, value in zip(keys.tolist(), self.place(keys).tolist(), values.tolist()):
+            while self.keys[at] >= 0:
+                at += 1
+            self.keys[at], self.values[at] = key, value
+        if self.keys[-1] >= 0:
+            raise ValueError("the numbers don't spread over the table")
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, NEVER for keys that aren't there."""
+        at = self.place(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], NEVER)
+        on = np.flatnonzero((there != keys) & (there >= 0))
+        while len(on):
+            at[on] += 1
+            there = self.keys[at[on]]
+            hit = there == keys[on]
+            out[on[hit]] = self.values[at[on[hit]]]
+            on = on[~hit & (there >= 0)]
+        return out
+
+
 class Merges:
     """The encoding of units by the model's own merges: of all neighbours that make a piece together, those of the highest score
     are joined, the leftmost of equals, until none are left. Many units go on together, a join each at a time."""
@@ -87,45 +119,65 @@ class Merges:
         whole = [i for p, i in model.ids.items() if len(p) > 1]
         pairs = [(model.ids[p[:k]] * len(model.piece) + model.ids[p[k:]], i) for i in whole for p in [model.piece[i]] for k in range(1, len(p)) if p[:k] in model.ids and p[k:] in model.ids]
         keys, made = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
-        self.keys, self.made = keys.copy(), made.copy()
         self.join = dict(pairs)
         score = np.array([model.processor.get_score(i) for i in range(len(model.piece))])
-        self.turn = np.empty(len(score), np.int64)
-        self.turn[np.argsort(-score, kind="stable")] = np.arange(len(score))  # lower is earlier
-        same = np.flatnonzero(np.diff(np.sort(score[whole])) == 0)
-        if len(same):
-            self.turn = np.unique(-score, return_inverse=True)[1]
+        self.turn = np.unique(-score, return_inverse=True)[1]  # lower is earlier
+        self.found = Lookup(keys, (self.turn[made] << 20) + made)
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The pieces that neighbours make, -1 for none."""
-        key = left * len(self.model.piece) + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], -1)
+        """What neighbours make together: turn << 20 | piece, NEVER if nothing."""
+        return self.found.get(left * len(self.model.piece) + right)
 
     def of_many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units of pieces' signs, end to end, and how many each has."""
+        """Ids of units of pieces' signs, end to end, and how many each has.
+
+        All that have as many parts now are rows of one table; a turn joins a pair in each of them, and takes in those that begin
+        with one part less."""
         size = np.array(list(map(len, units)), np.int64)
         signs, place = np.unique(np.frombuffer("".join(units).encode("utf-32-le"), np.uint32), return_inverse=True)
-        ids = np.array([self.model.ids[chr(c)] for c in signs], np.int64)[place]
-        owner = np.repeat(np.arange(len(units)), size)
+        flat = np.array([self.model.ids[chr(c)] for c in signs], np.int64)[place]
+        first = np.cumsum(size) - size
+        order = np.argsort(-size, kind="stable")
+        begins = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0)) + 1), "left")  # those of a size or more come before
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        never, far = np.iinfo(np.int64).max, 1 << 32
-        while len(ids):
-            made = np.r_[np.where(owner[1:] == owner[:-1], self.joined(ids[:-1], ids[1:]), -1), -1]
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            rank = np.where(made >= 0, self.turn[made] * far + np.arange(len(ids)), never)
-            least = np.minimum.reduceat(rank, first)
-            ends = least == never
-            over = np.repeat(ends, np.diff(np.r_[first, len(ids)]))
-            done.append((owner[over], ids[over]))
-            at = least[~ends] % far
-            ids = ids.copy()
-            ids[at] = made[at]
-            keep = ~over
-            keep[at + 1] = False
-            owner, ids = owner[keep], ids[keep]
-        owner, ids = (np.concatenate([d[k] for d in done] or [np.empty(0, np.int64)]) for k in (0, 1))
-        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(units))
+        ids, made, unit = np.empty((0, 0), np.int64), np.empty((0, 0), np.int64), np.empty(0, np.int64)
+        for n in range(int(size.max(initial=0)), 0, -1):
+            new = order[begins[n] : begins[n - 1]]
+            if len(new):
+                more = flat[first[new][:, None] + np.arange(n)]
+                pairs = self.joined(more[:, :-1].ravel(), more[:, 1:].ravel()).reshape(len(new), n - 1)
+                ids, made, unit = (np.concatenate([x, y]) if len(unit) else y for x, y in ((ids, more), (made, pairs), (unit, new)))
+            if not len(unit):
+                continue
+            if n == 1:
+                done.append((unit, ids))
+                break
+            rows = np.arange(len(unit))
+            at = (made >> 20).argmin(1)  # the leftmost of equals
+            best = made[rows, at]
+            over = best == NEVER
+            if over.any():
+                done.append((unit[over], ids[over]))
+                ids, made, unit, at, best = ids[~over], made[~over], unit[~over], at[~over], best[~over]
+                rows = np.arange(len(unit))
+            columns = np.arange(n - 1)
+            ids[rows, at] = best & (1 << 20) - 1
+            ids = np.take_along_axis(ids, columns + (columns > at[:, None]), 1)
+            if n > 2:
+                columns = columns[:-1]
+                made = np.take_along_axis(made, columns + (columns >= at[:, None]), 1)
+                left, right = at > 0, at < n - 2
+                made[rows[left], at[left] - 1] = self.joined(ids[rows[left], at[left] - 1], ids[rows[left], at[left]])
+                made[rows[right], at[right]] = self.joined(ids[rows[right], at[right]], ids[rows[right], at[right] + 1])
+            else:
+                made = np.empty((len(unit), 0), np.int64)
+        counts = np.zeros(len(units), np.int64)
+        for own, parts in done:
+            counts[own] = parts.shape[1]
+        out, start = np.empty(int(counts.sum()), np.int64), np.cumsum(counts) - counts
+        for own, parts in done:
+            out[start[own][:, None] + np.arange(parts.shape[1])] = parts
+        return out, counts
 
     def of_one(self, unit: str) -> list[int]:
         """The same for one unit of any length."""

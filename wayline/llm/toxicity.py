@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -70,7 +71,8 @@ class SubwordSoftmax:
             return cls({}, 0.0, (np.zeros(BAGS), -1.0))
         rng = np.random.default_rng(seed)
         calibrates = rng.permutation(len(sample)) % 4 == 0
-        texts = [WORDS.findall(t.lower()) for t, _ in sample]
+        kept: dict[str, str] = {}  # a word is one object, however often it stands there
+        texts = [[kept.setdefault(w, w) for w in WORDS.findall(t.lower())] for t, _ in sample]
         train = np.flatnonzero(~calibrates)
         of_label = np.bincount(labels[train], minlength=2)
         each = np.clip(MOST_BAGS // np.maximum(1, of_label), 4, BAGS_EACH)
@@ -101,19 +103,22 @@ class SubwordSoftmax:
         """Vectors and softmax by AdaGrad on the cross-entropy of small batches of bags (of ``full`` words, neutral ones
         included), both labels weighing the same."""
         uses = Counter(w for words, _ in bags for w in set(words))
-        parts = {w: subwords(w) for w in uses}
+        least = max(LEAST_SEEN, LEAST_SHARE * len(bags))
         seen: Counter = Counter()
         for w, n in uses.items():
-            for gram in parts[w]:
-                seen[gram] += n
-        known = {gram: k for k, gram in enumerate(sorted(g for g, n in seen.items() if n >= max(LEAST_SEEN, LEAST_SHARE * len(bags))))}
-        ids_of = {w: np.array([known[g] for g in grams if g in known], np.int32) for w, grams in parts.items()}
-        rows = []
-        for words, _ in bags:
-            own = sorted(set(words))
-            got = [ids_of[w] for w in own]
-            each = np.array([1 / (len(parts[w]) * max(full, len(own))) for w in own], np.float32)
-            rows.append((np.concatenate([*got, np.empty(0, np.int32)]), np.repeat(each, [len(g) for g in got])))
+            for gram in subwords(w):
+                if gram[0] != "=" or n >= least:  # a word itself is seen as often as it is used
+                    seen[gram] += n
+        known = {gram: k for k, gram in enumerate(sorted(g for g, n in seen.items() if n >= least))}
+        del seen
+        number, size, part_of, flat = {w: k for k, w in enumerate(uses)}, np.empty(len(uses), np.int64), np.empty(len(uses), np.float32), array("i")
+        for k, w in enumerate(uses):
+            own = subwords(w)
+            held = len(flat)
+            flat.extend(known[g] for g in own if g in known)
+            size[k], part_of[k] = len(flat) - held, 1 / len(own)
+        grams, first = np.array(flat, np.int32), np.cumsum(size) - size
+        rows = [np.array(sorted({number[w] for w in words}), np.int32) for words, _ in bags]
         labels = np.array([k for _, k in bags], int)
         balance = np.array([0.5 / max(1, (labels == k).sum()) for k in (0, 1)]) * len(bags)
         vectors = rng.normal(0, 0.1, (len(known), DIMENSIONS)).astype(np.float32)
@@ -124,8 +129,11 @@ class SubwordSoftmax:
             rng.shuffle(order)
             for at in range(0, len(order), 64):
                 batch = order[at : at + 64]
-                ids, share = (np.concatenate([rows[k][j] for k in batch]) for j in (0, 1))
-                owner = np.repeat(np.arange(len(batch)), [len(rows[k][0]) for k in batch])
+                words, many = np.concatenate([rows[k] for k in batch]), np.array([len(rows[k]) for k in batch])
+                each = size[words]
+                ids = grams[np.repeat(first[words] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+                owner = np.repeat(np.repeat(np.arange(len(batch)), many), each)
+                share = np.repeat(part_of[words], each) / np.maximum(full, many)[owner]
                 hidden = np.stack([np.bincount(owner, vectors[ids, d] * share, len(batch)) for d in range(DIMENSIONS)], 1)
                 out = hidden @ softmax + bias
                 p = np.exp(out - out.max(1, keepdims=True))

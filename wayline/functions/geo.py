@@ -29,10 +29,10 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def haversine(lat1: Value, lon1: Value, lat2: Value, lon2: Value) -> Column:
-    """Metres on a sphere."""
-    lat1, lon1, lat2, lon2 = map(col, (lat1, lon1, lat2, lon2))
-    half_lat, half_lon = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
-    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
+    """Metres on a sphere. Differences are taken of radians: of degrees, they would be off by up to 3e-10 of a short step from the SQL's."""
+    lat1, lon1, lat2, lon2 = (F.radians(col(x)) for x in (lat1, lon1, lat2, lon2))
+    half_lat, half_lon = F.sin((lat2 - lat1) / 2), F.sin((lon2 - lon1) / 2)
+    a = half_lat * half_lat + F.cos(lat1) * F.cos(lat2) * (half_lon * half_lon)
     return F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1 - a))) * (2 * MEAN_RADIUS)
 
 

@@ -34,6 +34,11 @@ def stat(label: str, value: Column, unit: str = "") -> Column:
     return F.coalesce(F.concat(F.lit(f"    *   **{label}: "), value.cast("string"), F.lit(f"{unit} **\n")), F.lit(""))
 
 
+def plain(value: Column, digits: int) -> Column:
+    """A number rounded to ``digits`` as text, never with an exponent: 12345678.5 and not 1.23456785E7."""
+    return F.regexp_replace(F.round(value, digits).cast(f"decimal(38,{digits})").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def segment_texts(stats: DataFrame, *lines: Column) -> DataFrame:
     """devid, text: per trajectory the numbered segments with their statistics, in order."""
     n = (F.col("seg") + 1).cast("int")
@@ -47,7 +52,7 @@ def segment_prompt(segmented: DataFrame) -> DataFrame:
     starts = segmented.groupBy("devid", "seg").agg(F.min_by("t", "seq").alias("t"))
     stats = segment_distance(segmented).join(starts, ["devid", "seg"])
     start = F.when(F.col("seg") == 0, parse.stamp("t"))
-    return segment_texts(stats, stat("Start Time", start), stat("Distance (meters)", F.round("distance", 4), " meters"))
+    return segment_texts(stats, stat("Start Time", start), stat("Distance (meters)", plain(F.col("distance"), 4), " meters"))
 
 
 def arrival_prompt(segmented: DataFrame) -> DataFrame:
@@ -60,7 +65,7 @@ def arrival_prompt(segmented: DataFrame) -> DataFrame:
 
 def mode_prompt(segmented: DataFrame, digits: int | None = None) -> DataFrame:
     """Transport mode: all kinematics of each segment, in full precision unless ``digits`` says otherwise."""
-    shown = lambda c: F.col(c) if digits is None else F.round(c, digits)
+    shown = lambda c: F.col(c) if digits is None else plain(F.col(c), digits)
     lines = [("Start Time", parse.stamp("start_t")), ("End Time", parse.stamp("end_t")), ("Duration (minutes)", F.col("minutes")), ("Total Distance (meters)", shown("total_distance"))]
     lines += [("Average Speed (m/s)", shown("avg_speed")), ("Maximum Speed (m/s)", shown("max_speed")), ("Minimum Speed (m/s)", shown("min_speed")), ("Maximum Acceleration (m/s²)", shown("max_acceleration"))]
     made = segment_texts(kinematics(segmented), *[stat(label, value) for label, value in lines])

@@ -64,7 +64,7 @@ def road_average(observed: DataFrame) -> DataFrame:
     return observed.groupBy("road_id").agg(F.avg("speed").alias("avg_speed"), F.count("speed").alias("n"))
 
 
-EXACT = "decimal(38,12)"  # sums of speeds, so that differences of sums lose nothing
+EXACT = "decimal(37,20)"  # sums of speeds, so that differences of sums lose nothing; with 38 digits each addition would cut one off the scale
 BUCKET = 86_400  # seconds
 
 
@@ -91,18 +91,19 @@ def adaptive_average(observed: DataFrame, asked: DataFrame, least: int = 50, win
     """``asked`` (ask_id, road_id, moment) with speed: the mean over the narrowest window of seconds around ``moment`` that has ``least`` observations, else over all of the road.
 
     A window is the difference of two prefix sums of its road, so what a question costs doesn't depend on how wide windows are or how
-    many observations they hold. Like questions are asked once.
+    many observations they hold. Like questions are asked once. A column ``least`` of ``asked`` goes before the argument.
     """
+    own = ["least"] if "least" in asked.columns else []
     per_second = observed.where("speed is not null").groupBy("road_id", "t").agg(F.sum("speed").alias("s"), F.count("*").alias("n"))
-    once = asked.select("road_id", "moment").where("road_id is not null and moment is not null").distinct()
+    once = asked.select("road_id", "moment", *own).where("road_id is not null and moment is not null").distinct()
     ends = [F.struct(F.lit(w).alias("w"), F.lit(high).alias("high"), (F.col("moment") + (w if high else -w)).cast("double").alias("x")) for w in windows for high in (False, True)]
-    sums = sums_until(per_second, once.select("road_id", "moment", F.explode(F.array(*ends)).alias("e")).select("road_id", "moment", "e.*"), bucket)
+    sums = sums_until(per_second, once.select("road_id", "moment", *own, F.explode(F.array(*ends)).alias("e")).select("road_id", "moment", *own, "e.*"), bucket)
     part = lambda c, w: F.sum(F.when(F.col("w") == w, F.when(F.col("high"), F.col(c)).otherwise(-F.col(c))))
-    near = sums.groupBy("road_id", "moment").agg(*[part("n", w).alias(f"n{w}") for w in windows], *[part("s", w).cast("double").alias(f"s{w}") for w in windows])
+    near = sums.groupBy("road_id", "moment", *own).agg(*[part("n", w).alias(f"n{w}") for w in windows], *[part("s", w).cast("double").alias(f"s{w}") for w in windows])
     whole = per_second.groupBy("road_id").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast(EXACT)).cast("double").alias("s"))
-    found = F.coalesce(*[F.when(F.col(f"n{w}") >= least, F.try_divide(f"s{w}", f"n{w}")) for w in windows], F.try_divide("s", "n"))
-    answers = near.join(whole, "road_id", "left").select("road_id", "moment", found.alias("speed"))
-    return asked.join(answers, ["road_id", "moment"], "left")
+    found = F.coalesce(*[F.when(F.col(f"n{w}") >= (F.col("least") if own else least), F.try_divide(f"s{w}", f"n{w}")) for w in windows], F.try_divide("s", "n"))
+    answers = near.join(whole, "road_id", "left").select("road_id", "moment", *own, found.alias("speed"))
+    return asked.join(answers, ["road_id", "moment", *own], "left")
 
 
 def segment_maxspeed(segmented: DataFrame, limits: DataFrame) -> DataFrame:

@@ -57,3 +57,16 @@ def test_no_leaf_is_heavy(crowded):
     held = placed.groupBy("level", F.expr(f"shiftright(fx, {depth} - level)"), F.expr(f"shiftright(fy, {depth} - level)")).agg(F.count("*").alias("n"), F.max("shares").alias("shares")).collect()
     assert all(r["n"] <= most * r["shares"] for r in held) and any(r["shares"] > 1 for r in held) and any(0 < r["level"] < depth for r in held)
     assert near.leaves(points, "lon", "lat", near.CELL, 10**6, depth).count() == 0
+
+
+@pytest.mark.parametrize("most", [10, 10**6])
+def test_lines_in_view_once(spark, crowded, most):
+    """A line with several vertices in a view is one row, and no shuffle comes after the join that makes the pairs."""
+    _, spots = crowded
+    lines = spots.select("id", F.array(*[F.struct((F.col("lon") + k * 3e-4).alias("lon"), (F.col("lat") - k * 2e-4).alias("lat")) for k in range(4)]).alias("geometry"))
+    view = spark.createDataFrame([(1, 104.06, 104.0606, 30.65, 30.6507), (2, 104.0, 104.1, 30.6, 30.7), (3, 104.065, 104.0651, 30.65, 30.67)], "devid long, min_lon double, max_lon double, min_lat double, max_lat double")
+    every = view.crossJoin(lines).where(near.in_bounds("geometry")).select("devid", "id")
+    found = near.lines_in_view(view, lines, most=most)
+    assert rows(found) == rows(every) and len(rows(every)) > 80
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.startswith(("Aggregate", "Deduplicate"))

@@ -129,8 +129,20 @@ def too_close(spots: DataFrame, points: DataFrame, metres: float = 30.0, most: i
 
 def spots_in_view(view: DataFrame, spots: DataFrame, cell: float = 0.02, most: int = LEAF_MOST) -> DataFrame:
     """devid, id: spots inside each view (devid, min_lon, max_lon, min_lat, max_lat), edges included."""
-    seen = view.select("devid", F.col("min_lon").alias("x1"), F.col("max_lon").alias("x2"), F.col("min_lat").alias("y1"), F.col("max_lat").alias("y2"))
-    return met_in_leaves(spots.select("id", "lon", "lat"), seen, cell=cell, most=most).select("devid", "id")
+    return met_in_leaves(spots.select("id", "lon", "lat"), box_of(view), cell=cell, most=most).select("devid", "id")
+
+
+def lines_in_view(view: DataFrame, lines: DataFrame, cell: float = 0.02, most: int = LEAF_MOST) -> DataFrame:
+    """devid, id: lines (id, geometry) with a vertex inside each view. A line is found at its first vertex inside and at no other, so
+    pairs, which may be many more than points, are made once and never shuffled."""
+    corners = lines.select("id", "geometry", F.posexplode("geometry").alias("k", "p"))
+    corners = corners.select("id", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"), F.slice("geometry", F.lit(1), F.col("k")).alias("before"))
+    inside = lambda p: F.coalesce(p["lon"].between(F.col("x1"), F.col("x2")) & p["lat"].between(F.col("y1"), F.col("y2")), F.lit(False))
+    return met_in_leaves(corners, box_of(view), cell=cell, most=most).where(~F.exists("before", inside)).select("devid", "id")
+
+
+def box_of(view: DataFrame) -> DataFrame:
+    return view.select("devid", F.col("min_lon").alias("x1"), F.col("max_lon").alias("x2"), F.col("min_lat").alias("y1"), F.col("max_lat").alias("y2"))
 
 
 def connected(edges: DataFrame, strict: bool = True) -> DataFrame:

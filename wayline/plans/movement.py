@@ -83,8 +83,8 @@ def line_in_bounds_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lines_in_bounds(spark: SparkSession, d: str, points: DataFrame) -> DataFrame:
-    corners = edges_of(spark, d).select("fid", F.explode("geometry").alias("p")).select(F.col("fid").alias("id"), "p.lon", "p.lat")
-    return near.spots_in_view(trajectories.bounds(points), corners).distinct().withColumnRenamed("id", "fid")
+    lines = edges_of(spark, d).select(F.col("fid").alias("id"), "geometry")
+    return near.lines_in_view(trajectories.bounds(points), lines).withColumnRenamed("id", "fid")
 
 
 @query("SELECT c_custkey, NOT (c_custkey % 180 BETWEEN 72.004 AND 137.8347 AND c_custkey % 90 BETWEEN 0.8293 AND 55.8271) AS away FROM customer")

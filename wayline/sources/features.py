@@ -189,7 +189,7 @@ def read_features(spark: SparkSession, path: str, part_bytes: int = PART_BYTES,
     """properties, type, coordinates of GeoJSON features, with ``boxes`` also their box; properties as a map to text, coordinates as JSON text.
     Several tasks read one file."""
     kind = "properties map<string, string>, geometry struct<type: string, coordinates: string>"
-    raw = read_records(spark, path, "type,geometry", part_bytes)
+    raw = read_records(spark, path, "geometry", part_bytes)  # not every writer gives a feature its type
     return raw.select(F.from_json("json", kind).alias("f"), *BOX).select("f.properties", "f.geometry.type", "f.geometry.coordinates", *(BOX if boxes else ()))
 
 

@@ -100,3 +100,21 @@ def test_null_and_repeated_ids_lose_no_unrelated_text(spark):
     empty = [row for row in kept if not row[1]]
     assert len(empty) == 1 and empty[0][0] is None
     assert sorted(map(repr, (row for row in kept if row[1]))) == sorted(map(repr, [(None, a), (None, b), (3, c), (5, d), (5, e)]))
+
+
+def test_a_crowd_that_is_not_alike_enough_makes_few_pairs(spark, monkeypatch):
+    """Edits of a template, 0.4 to 0.9 alike: the pairs compared grow with the texts, not with their square, and no link is lost."""
+    rng = np.random.default_rng(11)
+    words, texts = [f"w{x}" for x in rng.integers(0, 5000, 150)], []
+    for k in range(400):
+        other = list(words)
+        for at in rng.choice(150, rng.integers(1, 10), replace=False):
+            other[at] = f"x{k}-{at}"
+        texts.append(" ".join(other))
+    compared, alike = [], simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda docs, heads, pairs, *rest: compared.append(pairs.count()) or alike(docs, heads, pairs, *rest))
+    root = {r["doc_id"]: r["root"] for r in simhash.like_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    wanted = wanted_groups(texts)
+    pairs = {(wanted[k], root[k]) for k in range(len(texts))}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({r for _, r in pairs})
+    assert sum(compared) < 10 * len(texts)

@@ -18,6 +18,9 @@ index of ``LIKENESS`` or more. 64 bits can't tell 0.8 from chance among very man
 ``WORDS`` x 64 bits of the shingle set. Each of some tables deals them by other chosen bits; with n texts a table has
 log2(n / NEAR_AIM) bits, and there are as many tables as make ``MISS`` of the pairs at exactly ``LIKENESS`` meet in none
 (n ** 0.24 or so). The same index finds the candidates in a group, whose shingle sets are then compared exactly.
+A group with very many candidates sends a spanning forest of the nearest ones only, and what these connect is contracted.
+Its texts meet again by their rarest shingles (``meeting_shingles``): two texts that are alike enough share one of them,
+while those of a template whose edits are their own don't, so the pairs that are just not alike enough are never made.
 """
 
 from __future__ import annotations
@@ -54,6 +57,10 @@ NEAR_AIM, NEAR_MOST = 2048, 8192  # as GROUP_AIM and GROUP_MOST: larger groups m
 BLOCK_SHINGLES = 1 << 15
 PAIRS_EACH = 4  # candidate pairs a fingerprint that a group sends on; where there are more, it is treated as a crowd
 TURNS = (0, 16, 32, 48)
+COUNT_BITS, COUNT_BLOCK = 22, 14  # how often shingles are there is counted in 2 ** COUNT_BITS buckets at most, which move in blocks of 2 ** COUNT_BLOCK
+ODD = [f"odd{k}" for k in range(8)]  # words of a sketch
+HELD = 1 << 18  # pairs that a task keeps before it thins them out
+SLACK = 1e-5  # for what is left over of a whole number in floating point
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -213,7 +220,39 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray
         label = merge(label, a[chosen], b[chosen])
 
 
-Find = Callable[[np.ndarray, np.ndarray], pa.RecordBatch]
+def thinned(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b of the pairs (a, b, bits) that are found; where a group has over PAIRS_EACH of them a row, a spanning forest of its pairs only. Third, the rows that have a pair that is left out."""
+    n, held = np.bincount(group), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    sent, crowded = np.zeros(len(n), np.int64), np.zeros(len(group), bool)
+
+    def fewer() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, bits = (np.concatenate(x) for x in zip(*held))
+        keep = ~(sent > PAIRS_EACH * n)[group[a]]
+        inside = np.flatnonzero(~keep)
+        keep[inside[forest(len(group), a[inside], b[inside], bits[inside])]] = True
+        crowded[a[~keep]] = crowded[b[~keep]] = True
+        return a[keep], b[keep], bits[keep]
+
+    for a, b, bits in found:
+        sent += np.bincount(group[a], minlength=len(n))
+        held.append((a, b, bits))
+        if sum(len(x) for x, _, _ in held) > HELD:
+            held = [fewer()]
+    a, b, _ = fewer()
+    return a, b, np.flatnonzero(crowded)
+
+
+PAIRS = "a long, b long, g long"
+
+
+def key_pairs(rows: np.ndarray, a: np.ndarray, b: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
+    """a, b: the smaller and the larger key of each pair, and a row (key, NULL, g) for each crowded row."""
+    key, pair = rows["key"], np.arange(len(a) + len(crowded)) < len(a)
+    x, y = np.r_[np.minimum(key[a], key[b]), key[crowded]], np.r_[np.maximum(key[a], key[b]), key[crowded]]
+    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y, mask=~pair), pa.array(np.r_[key[a], rows["g"][crowded]], mask=pair)], names=["a", "b", "g"])
+
+
+Find = Callable[[np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
 
 
 def searched(rows: DataFrame, find: Find, schema: str, most: int = GROUP_MOST) -> DataFrame:
@@ -240,9 +279,9 @@ def searched(rows: DataFrame, find: Find, schema: str, most: int = GROUP_MOST) -
         for block in blocks():
             first = np.flatnonzero(np.r_[True, block["g"][1:] != block["g"][:-1]])
             within = np.arange(len(block)) - np.repeat(first, np.diff(np.r_[first, len(block)]))
-            yield find(block, np.cumsum(within % most == 0) - 1)
+            yield from find(block, np.cumsum(within % most == 0) - 1)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def dealt_by_group(rows: DataFrame, *order: str | F.Column) -> DataFrame:
@@ -250,22 +289,23 @@ def dealt_by_group(rows: DataFrame, *order: str | F.Column) -> DataFrame:
     return rows.repartition(parts, "g").sortWithinPartitions("g", *order)
 
 
-def dealt_in_runs(rows: DataFrame, *order: str | F.Column) -> DataFrame:
+def dealt_in_runs(rows: DataFrame, *order: str | F.Column, parts: int | None = None) -> DataFrame:
     """Large groups, split over the partitions by ranges of their order."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "g", *order).sortWithinPartitions("g", *order)
 
 
-def meetings(rows: DataFrame, words: list[str], limit: int, most: int = GROUP_MOST) -> DataFrame:
+def meetings(rows: DataFrame, words: list[str], limit: int, most: int = GROUP_MOST, runs: int | None = None) -> DataFrame:
     """The rows (g, rank, root, words, ...) of large groups, dealt to new groups of at most 2 * ``most`` in which any two
     rows of a group meet, unless they have one root or are seen to differ in over ``limit`` bits.
 
     Rows of a root stand together and are cut into chunks. The bits that a whole chunk shares make it an upper
-    node: two chunks whose shared bits differ too often, or that are of one and the same root, don't meet.
+    node: two chunks whose shared bits differ too often, or that are of one and the same root, don't meet. A chunk ends where
+    one of the ``runs`` (partitions) does, so with fewer of these fewer meet.
     """
     names = [c for c in rows.columns if c != "rank"]
 
-    def find(block: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+    def find(block: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
         ends = np.flatnonzero(np.r_[True, (block["root"][1:] != block["root"][:-1]) | (run[1:] != run[:-1]), True])
         long_ = np.diff(ends) >= most // 8  # a long run of one root is chunks of its own
         edge = np.zeros(len(block) + 1, bool)
@@ -275,10 +315,10 @@ def meetings(rows: DataFrame, words: list[str], limit: int, most: int = GROUP_MO
         begun = TaskContext.get().partitionId() << 40
         find.chunks += 1
         chunk = begun + (find.chunks << 20) + np.cumsum(edge[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(chunk), *[pa.array(block[c]) for c in names]], names=["chunk", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(chunk), *[pa.array(block[c]) for c in names]], names=["chunk", *names])
 
     find.chunks = 0
-    chunked = cut(searched(dealt_in_runs(rows, "root", "rank").select(*names), find, "chunk long, " + ", ".join(f"{c} long" for c in names), most), "chunks")
+    chunked = cut(searched(dealt_in_runs(rows, "root", "rank", parts=runs).select(*names), find, "chunk long, " + ", ".join(f"{c} long" for c in names), most), "chunks")
     whole = [F.min("root").alias("low"), F.max("root").alias("high"), *[F.bit_and(w).alias(f"all_{w}") for w in words], *[F.bit_or(w).alias(f"any_{w}") for w in words]]
     node = chunked.groupBy("g", "chunk").agg(*whole)
     node = cut(node.select("g", "chunk", "low", "high", *[f"all_{w}" for w in words], *[F.bitwise_not(F.col(f"all_{w}").bitwiseXOR(F.col(f"any_{w}"))).alias(f"fixed_{w}") for w in words]), "nodes")
@@ -293,9 +333,9 @@ def meetings(rows: DataFrame, words: list[str], limit: int, most: int = GROUP_MO
 def linked(groups: DataFrame, limit: int = LIMIT, most: int = GROUP_MOST) -> DataFrame:
     """a, b: stars of linked fingerprints within the dealt groups of (g, fp), or within runs of ``most`` of larger ones."""
 
-    def find(rows: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+    def find(rows: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         member, centre = stars(rows["fp"].view(np.uint64)[None], group, limit)
-        return pa.RecordBatch.from_arrays([pa.array(rows["fp"][member]), pa.array(rows["fp"][centre])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows["fp"][member]), pa.array(rows["fp"][centre])], names=["a", "b"])
 
     return searched(groups.select("g", "fp"), find, "a long, b long", most)
 
@@ -375,34 +415,22 @@ def tables(n: int, likeness: float = LIKENESS, miss: float = MISS, aim: int = NE
     return made
 
 
-def candidates(groups: DataFrame, limit: int, likeness: float, whole: bool, most: int) -> DataFrame:
-    """a, b: keys of candidate pairs of different roots in the dealt groups of (g, key, size, words and, if not the key, root), and a row (g, NULL) for each group
-    that has more than it sends on: then only a spanning forest of it is here. With ``whole`` every pair of different roots is.
+def candidates(groups: DataFrame, limit: int, likeness: float, most: int) -> DataFrame:
+    """a, b: keys of candidate pairs in the dealt groups of (g, key, size, words). Of a group with very many only a spanning
+    forest is here, and a row (key, NULL, g) for each key with a pair that isn't.
     Sets can't be ``likeness`` alike if their sizes differ by more than that, so such pairs are none."""
 
-    rooted = "root" in groups.columns
+    def find(rows: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fps, size = np.stack([rows[w].view(np.uint64) for w in FPS]), rows["size"]
 
-    def find(rows: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
-        fps = np.stack([rows[w].view(np.uint64) for w in FPS])
-        key, size, found = rows["key"], rows["size"], []
-        root = rows["root"] if rooted else key
-        for a, b, bits in GrayIndex(fps, group).pairs(fps, group, limit):
-            fits = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= likeness * np.maximum(size[a], size[b]) - 1e-6)
-            found.append((a[fits], b[fits], bits[fits]))
-        a, b, bits = (np.concatenate(x) for x in zip(*found))
-        crowded = np.empty(0, np.int64)
-        if not whole:
-            many = np.bincount(group[a], minlength=group[-1] + 1) > PAIRS_EACH * np.bincount(group)
-            if many.any():
-                crowded = np.unique(rows["g"][many[group]])
-                inside = np.flatnonzero(many[group[a]])
-                keep = ~many[group[a]]
-                keep[inside[forest(len(rows), a[inside], b[inside], bits[inside])]] = True
-                a, b = a[keep], b[keep]
-        x, y = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
-        return pa.RecordBatch.from_arrays([pa.array(np.r_[x, crowded]), pa.array(np.r_[y, crowded], mask=np.arange(len(x) + len(crowded)) >= len(x))], names=["a", "b"])
-
-    return searched(groups.select("g", *["root"] * rooted, "key", "size", *FPS), find, "a long, b long", most)
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for a, b, bits in GrayIndex(fps, group).pairs(fps, group, limit):
+                fits = np.minimum(size[a], size[b]) >= likeness * np.maximum(size[a], size[b]) - 1e-6
+                yield a[fits], b[fits], bits[fits]
+
+        yield key_pairs(rows, *thinned(found(), group))
+
+    return searched(groups.select("g", "key", "size", *FPS), find, PAIRS, most)
 
 
 def packed(hashes: np.ndarray) -> bytes:
@@ -417,13 +445,8 @@ def unpacked(made: bytes) -> np.ndarray:
     return rows.view(">u8").ravel().astype(np.uint64)
 
 
-def alike(docs: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, likeness: float) -> DataFrame:
-    """The ``pairs`` (a, b) of keys whose shingle sets have a Jaccard index of ``likeness`` or more.
-
-    The sets themselves are compared, as hashes of 40 bits. No set moves once for every pair: keys with a common
-    neighbour are put into blocks of BLOCK_SHINGLES shingles or so, and a set goes to each meeting of two
-    blocks that has a pair of it. A meeting's memory is that of two blocks, however long the texts or large the crowd.
-    """
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """key, shingles (packed) of the ``wanted`` keys (key, text_hash, times)."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -432,6 +455,136 @@ def alike(docs: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, liken
                 sets = [packed(shingle_set(t, width)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
+    marked = possible(docs.select("text"), F.xxhash64("text"), wanted.select("text_hash"), wanted.count())
+    texts = marked.where("`\x00maybe`").select(F.xxhash64("text").alias("text_hash"), "text").join(wanted.select("key", "text_hash", "times"), "text_hash")
+    once = texts.where("times = 1").select("key", "text")
+    if not wanted.where("times > 1").isEmpty():
+        once = once.unionByName(texts.where("times > 1").groupBy("key").agg(F.min("text").alias("text")))
+    return cut(once.mapInArrow(tidied(shingled), "key long, shingles binary"), "sets")
+
+
+def bucket_counts(sets: DataFrame, bits: int) -> np.ndarray:
+    """How many shingles of the ``sets`` are in each of 2 ** bits buckets (a shingle's lowest bits). Tasks send sums, not shingles."""
+    low = min(bits, COUNT_BLOCK)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int32)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                bucket, n = np.unique(unpacked(b"".join(b.column(0).slice(at, 256).to_pylist())) & np.uint64(len(total) - 1), return_counts=True)
+                total[bucket] += n.astype(np.int32)
+        yield from blocks({k: part for k, part in enumerate(total.reshape(-1, 1 << low)) if part.any()})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(part, np.int32)
+        yield from blocks(total)
+
+    def blocks(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, part in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
+
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = "block long, counts binary"
+    counts = np.zeros((1 << (bits - low), 1 << low), np.int32)
+    for r in sets.select("shingles").mapInArrow(tidied(counted), made).repartition(parts, "block").mapInArrow(summed, made).collect():
+        counts[r["block"]] = np.frombuffer(r["counts"], np.int32)
+    return counts.ravel()
+
+
+def first_ones(n: np.ndarray, least: float) -> np.ndarray:
+    """How many of the rarest of a set of ``n`` shingles hold one that it shares with any set with which it shares ``least`` * n."""
+    return n - np.ceil(least * n - SLACK).astype(np.int64) + 1
+
+
+def meeting_shingles(known: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """g, place, shallow, size, a sketch and the columns of ``known`` (key, words) for each of the rarest shingles of the sets; g is the shingle.
+
+    All sets are put into one order of shingles, rare ones first. Two that share k shingles then have one in common among
+    the first |x| - k + 1 of x and |y| - k + 1 of y. Alike sets share ``likeness`` of the larger one and 2 * likeness / (1 + likeness)
+    of the smaller one: a place among the first ones of the latter kind is ``shallow``. How rare a shingle is taken to be
+    (it shares a bucket's count) is of no matter to what is found, only to how many meet; one that is alone in its bucket is of this set only.
+    A bit of the sketch tells whether an odd number of shingles fall on it, so two sets differ in as many shingles at least as their sketches do in bits.
+    """
+    shingles = known.agg(F.sum("size")).first()[0] or 1
+    counts = bucket_counts(sets, max(10, min(COUNT_BITS, math.ceil(math.log2(shingles)))))
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    carried = [c for c in known.columns if c != "size"]
+    names, width = ["g", "place", "shallow", "size", *ODD, *carried], 64 * len(ODD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                made = part.column("shingles").to_pylist()
+                n = np.array([len(m) // 5 for m in made])
+                shingle, own = unpacked(b"".join(made)), np.repeat(np.arange(len(n)), n)
+                often = counts[shingle & np.uint64(len(counts) - 1)]
+                odd = np.bincount(own * width + (shingle >> np.uint64(COUNT_BITS)).astype(np.int64) % width, minlength=len(n) * width) & 1
+                odd = np.packbits(odd.astype(np.uint8).reshape(len(n), width), axis=1).view(np.int64)
+                order = np.lexsort((shingle, often, own))
+                place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                sent = np.flatnonzero((place < first_ones(n, likeness)[own]) & (often[order] > 1))
+                own, place = own[sent], place[sent]
+                shallow = (place < first_ones(n, 2 * likeness / (1 + likeness))[own]).astype(np.int64)
+                columns = [shingle[order[sent]].astype(np.int64), place, shallow, n[own], *odd.T[:, own]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *[part.column(c).take(pa.array(own)) for c in carried]], names=names)
+
+    return known.join(sets, "key").select(*carried, "shingles").mapInArrow(tidied(run), ", ".join(f"{c} long" for c in names))
+
+
+def late_candidates(groups: DataFrame, limit: int, likeness: float, whole: bool, most: int) -> DataFrame:
+    """a, b: keys of the candidate pairs of different roots in the dealt groups of ``meeting_shingles``: all of them with ``whole``, else as ``candidates``.
+
+    One of a pair is shallow, and one isn't of the root that most of a group are of: whichever are fewer are looked for among all.
+    """
+
+    def find(rows: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fps = np.stack([rows[w].view(np.uint64) for w in FPS])
+        size, root, place, shallow = (rows[c] for c in ("size", "root", "place", "shallow"))
+        order = np.lexsort((root, group))
+        first = np.flatnonzero(np.r_[True, (np.diff(root[order]) != 0) | (np.diff(group[order]) != 0)])
+        n, of = np.diff(np.r_[first, len(order)]), group[order[first]]
+        longest = np.lexsort((n, of))[np.cumsum(np.bincount(of)) - 1]
+        other = root != root[order[first[longest]]][group]
+        fewer = np.bincount(group, other) < np.bincount(group, shallow)
+        asked = np.where(fewer[group], other, shallow == 1)
+        asking = np.flatnonzero(asked)
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            index = GrayIndex(fps, group)
+            for at in range(0, len(asking), BLOCK):
+                block = asking[at : at + BLOCK]
+                q, b, bits = index.search(fps[:, block], group[block], limit)
+                a = block[q]
+                both = np.ceil(likeness / (1 + likeness) * (size[a] + size[b]) - SLACK)  # shingles that alike sets of these sizes share
+                fits = (root[a] != root[b]) & (~asked[b] | (a > b)) & (place[a] <= size[a] - both) & (place[b] <= size[b] - both)
+                fits &= np.minimum(size[a], size[b]) >= likeness * np.maximum(size[a], size[b]) - SLACK
+                a, b, bits, both = a[fits], b[fits], bits[fits], both[fits]
+                odd = sum((np.bitwise_count((rows[w][a] ^ rows[w][b]).view(np.uint64)).astype(np.int64) for w in ODD), np.zeros(len(a), np.int64))
+                fits = odd <= size[a] + size[b] - 2 * both
+                yield a[fits], b[fits], bits[fits]
+
+        if whole:
+            yield from (key_pairs(rows, a, b, asking[:0]) for a, b, _ in found())
+        else:
+            yield key_pairs(rows, *thinned(found(), group))
+
+    return searched(groups.select("g", "root", "key", "size", "place", "shallow", *ODD, *FPS), find, PAIRS, most)
+
+
+def alike(docs: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, likeness: float, sets: DataFrame | None = None) -> DataFrame:
+    """The ``pairs`` (a, b) of keys whose shingle sets have a Jaccard index of ``likeness`` or more.
+
+    The sets themselves are compared, as hashes of 40 bits. No set moves once for every pair: keys with a common
+    neighbour are put into blocks of BLOCK_SHINGLES shingles or so, and a set goes to each meeting of two
+    blocks that has a pair of it. A meeting's memory is that of two blocks, however long the texts or large the crowd.
+    ``sets`` are those of ``shingle_sets``, where they are there already.
+    """
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns]))
         found: list[tuple[int, int]] = []
@@ -461,12 +614,8 @@ def alike(docs: DataFrame, heads: DataFrame, pairs: DataFrame, width: int, liken
     seats = met.select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("meeting"), F.explode(seat).alias("seat"))
     seats = seats.groupBy("meeting", F.col("seat.key").alias("key")).agg(F.collect_list("seat.other").alias("others"))
 
-    marked = possible(docs.select("text"), F.xxhash64("text"), wanted.select("text_hash"), wanted.count())
-    texts = marked.where("`\x00maybe`").select(F.xxhash64("text").alias("text_hash"), "text").join(wanted.select("key", "text_hash", "times"), "text_hash")
-    once = texts.where("times = 1").select("key", "text")
-    if not wanted.where("times > 1").isEmpty():
-        once = once.unionByName(texts.where("times > 1").groupBy("key").agg(F.min("text").alias("text")))
-    sets = cut(once.mapInArrow(tidied(shingled), "key long, shingles binary"), "sets")
+    if sets is None:
+        sets = shingle_sets(docs, wanted, width)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return seats.join(sets, "key").select("meeting", "key", "others", "shingles").repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(tidied(compared), "a long, b long")
 
@@ -477,35 +626,66 @@ def like_groups(docs: DataFrame, width: int = NEAR_WIDTH, limit: int = REACH, li
     Texts are linked if they are candidates (they meet in a table, their fingerprints are within ``limit`` bits) and their
     shingle sets are ``likeness`` or more alike; texts of one shingle set, those without words among them, are one.
     """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(sketches(docs, width), "sketches")
     heads = cut(rows.groupBy("key").agg(F.min("size").alias("size"), F.min("text_hash").alias("text_hash"), F.count("*").alias("times"), *[F.min(w).alias(w) for w in FPS]), "heads")
     masked = [F.xxhash64(F.lit(k), *[F.col(w).bitwiseAND(F.lit(m).cast("long")) for w, m in zip(FPS, table)]) for k, table in enumerate(tables(heads.count(), likeness, aim=aim))]
     dealt = heads.where("size > 0").select(F.explode(F.array(*masked)).alias("g"), "key", "size", *FPS)
     large = cut(dealt.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > most).select("g"), "large")
     small, crowds = (dealt, None) if large.isEmpty() else (dealt.join(large, "g", "left_anti"), dealt.join(large, "g", "left_semi"))
-    found = candidates(dealt_by_group(small, gray_rank(F.col("w0"))), limit, likeness, False, most)
+    found = candidates(dealt_by_group(small, gray_rank(F.col("w0"))), limit, likeness, most)
     if crowds is not None:
         for word, turn in [(w, t) for w in FPS[:2] for t in TURNS[::2]]:
-            found = found.unionByName(candidates(dealt_in_runs(crowds, gray_rank(F.col(word), turn)), limit, likeness, False, most))
+            found = found.unionByName(candidates(dealt_in_runs(crowds, gray_rank(F.col(word), turn)), limit, likeness, most))
     found = cut(found.distinct(), "candidates")
-    pairs = found.where("b is not null")
+    pairs = found.where("b is not null").select("a", "b")
     links = cut(alike(docs, heads, pairs, width, likeness), "links")
     roots = components(links)
-    dense = cut(found.where("b is null").select(F.col("a").alias("g")).unionByName(large).distinct(), "dense")
+    dense = found.where("b is null").select("g", F.col("a").alias("key"))
+    if crowds is not None:
+        dense = dense.unionByName(crowds.select("g", "key"))
+    dense = cut(dense.distinct(), "dense")
     if not dense.isEmpty():
-        again = dealt.join(dense, "g", "left_semi")
-        for whole in (False, True):  # first a forest of nearest ones, which connects most of a crowd; then whatever is left
-            known = again.join(roots, again["key"] == roots["node"], "left").select("g", gray_rank(F.col("w0")).alias("rank"), F.coalesce("root", "key").alias("root"), "key", "size", *FPS)
-            met = dealt_by_group(meetings(known, FPS, limit, most), F.col("w0"))
-            more = candidates(met, limit, likeness, whole, 2 * most).where("b is not null").distinct()
-            more = cut(more.join(pairs, ["a", "b"], "left_anti"), "more-candidates")
+        known = with_roots(dense, roots)
+        split = known.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("g")
+        known = cut(heads.select("key", "size", *FPS).join(known.join(split, "g", "left_semi"), "key", "left_semi"), "crowd")
+        sets = shingle_sets(docs, heads.join(known, "key", "left_semi").select("key", "text_hash", "times"), width)
+        entries = cut(meeting_shingles(known, sets, likeness), "rarest")
+        for whole in (False, True):  # first a forest of nearest ones in crowded lists, which connects most of a crowd; then whatever is left of these
+            held = with_roots(entries, roots)
+            lists = held.groupBy("g").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("shallow").alias("shallow"))
+            lists = cut(lists.where("low < high and shallow = 1").select("g", "n"), "lists")
+            few, many = lists.where(F.col("n") <= most), lists.where(F.col("n") > most)
+            more = late_candidates(dealt_by_group(held.join(few, "g", "left_semi"), gray_rank(F.col("w0"))), limit, likeness, whole, most)
+            crowded = many.agg(F.sum("n")).first()[0]
+            if crowded:
+                crowds = held.join(many, "g", "left_semi")
+                if whole:
+                    met = meetings(crowds.withColumn("rank", gray_rank(F.col("w0"))), FPS, limit, most, runs=min(parts, crowded // most))
+                    more = more.unionByName(late_candidates(dealt_by_group(met, F.col("w0")), limit, likeness, True, 2 * most))
+                else:
+                    for word, turn in [(w, t) for w in FPS[:2] for t in TURNS[::2]]:
+                        more = more.unionByName(late_candidates(dealt_in_runs(crowds, gray_rank(F.col(word), turn)), limit, likeness, False, most))
+            more = cut(more.distinct(), "late-candidates")
+            left = more.where("b is null").select("g", F.col("a").alias("key"))
+            if crowded:
+                left = left.unionByName(held.join(many, "g", "left_semi").select("g", "key"))
+            more = cut(more.where("b is not null").select("a", "b").join(pairs, ["a", "b"], "left_anti"), "more-candidates")
             if not more.isEmpty():
                 pairs = pairs.unionByName(more)
-                links = cut(links.unionByName(alike(docs, heads, more, width, likeness)), "links")
+                links = cut(links.unionByName(alike(docs, heads, more, width, likeness, sets)), "links")
                 roots = components(links)
+            if left.isEmpty():
+                break
+            entries = entries.join(left.distinct(), ["g", "key"], "left_semi")
     return rows.join(roots, rows["key"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("root"))
 
 
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the root of each key: itself where it has no link."""
+    return rows.join(roots, rows["key"] == roots["node"], "left").select(*[rows[c] for c in rows.columns], F.coalesce("root", "key").alias("root"))
+
+
 def drop_near(docs: DataFrame, width: int = NEAR_WIDTH, limit: int = REACH, likeness: float = LIKENESS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id (a null one only if there is no
     other), then the smallest text_hash. Components are told apart by their root, so null or repeated ids of
